@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -103,5 +104,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> D
     return df.mapInArrow(fn, schema)
 
 
+def plus(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
+    """The schema of ``df`` and further (name, type) fields."""
+    more = [f for name, kind in fields for f in T.StructType().add(name, kind).fields]
+    return T.StructType([*df.schema.fields, *more])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -8,7 +8,8 @@
 3. Components of these links are found with large-star and small-star.
 4. Only members of one bucket whose components still differ are compared with
    each other. The Jaccard distance is a metric, so the distances to the shared
-   bucket centre rule out most of these pairs.
+   bucket centre rule out most of these pairs; so do set sizes and, in crowded
+   buckets, the shingles that no other document there has. All are exact bounds.
 
 A pair at a similarity of exactly 0.75 shares no bucket with probability
 (1 - 0.75**4)**32 = 5e-6; more similar pairs less often.
@@ -31,6 +32,8 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Signatures this far under the threshold are about five standard deviations away.
 SIGNATURE_SLACK = 0.2
+#: Pairs of one bucket over which its documents' unshared shingles are counted first.
+CROWDED = 2000
 
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -118,6 +121,29 @@ def _sets(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
+def _singles(batches: Batches) -> Batches:
+    """Shingles of these documents, how many have them, and one that does; merged before they leave the task."""
+    wait: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> pa.RecordBatch:
+        x = np.concatenate([s for s, _ in wait])
+        owner = np.concatenate([d for _, d in wait])
+        u, first, n = np.unique(x, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array(owner[first])], names=["shingle", "n", "doc_id"])
+
+    size = 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            s = shingle_set(words_of(text.as_py()))
+            wait.append((s, np.full(len(s), doc_id, np.int64)))
+            size += len(s)
+            if size > 1_000_000:
+                yield merged()
+                size, wait = 0, []
+    if wait:
+        yield merged()
+
+
 def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
     """Estimated similarity: equal signature bytes, less what chance makes equal."""
     if not len(left):
@@ -148,7 +174,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: flo
     )
     close = est.where(F.col("est") >= threshold - SIGNATURE_SLACK)
     ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
     sets = scratch.save(map_arrow(texts, _sets, "doc_id bigint, shingles binary"), "sets")
     half = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}"))
     size = lambda k: (F.octet_length(f"set_{k}") / 8).cast("long")
@@ -201,7 +227,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     real = table.where("n_shingles > 0 and doc_id is not null")
     reps = scratch.save(real.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     own = real.join(reps.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi")
-    sigs = scratch.save(own.select("doc_id", "sig", "bands").dropDuplicates(["doc_id", "sig"]), "representatives")
+    sigs = scratch.save(own.select("doc_id", "n_shingles", "sig", "bands").dropDuplicates(["doc_id", "sig"]), "representatives")
 
     rows = sigs.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -225,7 +251,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         .select("bucket", "a", "comp_a", (F.col("comp_a") != F.col("comp_b")).alias("foreign"), "least", "most"),
         "mixed",
     )
+    # In crowded buckets, what no other text there has can't be shared: it bounds every pair's intersection.
+    crowded = mixed.groupBy("bucket").agg((F.count("*") * F.count_if("foreign")).alias("pairs")).where(F.col("pairs") > CROWDED)
+    crowd = mixed.join(crowded, "bucket", "left_semi").select(F.col("a").alias("doc_id")).distinct()
+    once = map_arrow(docs.join(crowd.hint("merge"), "doc_id", "left_semi"), _singles, "shingle long, n long, doc_id long")
+    once = once.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    alone = crowd.join(once.groupBy("doc_id").agg(F.count("*").alias("alone")), "doc_id", "left")
+    bound = sigs.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(alone.withColumn("crowded", F.lit(True)), "doc_id", "left")
+    bound = bound.select(
+        F.col("doc_id").alias("a"),
+        "n_shingles",
+        F.coalesce("crowded", F.lit(False)).alias("crowded"),
+        (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("sharable"),
+    )
+    mixed = scratch.save(mixed.join(bound, "a"), "bounded")
     x, y = mixed.where("foreign").alias("x"), mixed.alias("y")
+    needed = threshold / (1 + threshold) * (F.col("x.n_shingles") + F.col("y.n_shingles")) - 1e-6
     gap = 1 - threshold + 1e-9
     rest = (
         x.join(
@@ -234,7 +275,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
             & (F.col("x.comp_a") != F.col("y.comp_a"))
             & (~F.col("y.foreign") | (F.col("x.a") < F.col("y.a")))
             & (F.col("x.least") - F.col("y.most") <= gap)
-            & (F.col("y.least") - F.col("x.most") <= gap),
+            & (F.col("y.least") - F.col("x.most") <= gap)
+            & (F.least("x.n_shingles", "y.n_shingles") >= needed)
+            & (~F.col("x.crowded") | ~F.col("y.crowded") | (F.least("x.sharable", "y.sharable") >= needed)),
         )
         .select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"))
         .distinct()
