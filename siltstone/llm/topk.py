@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +34,16 @@ LIMIT = 2**25
 
 def integer_vectors(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix of floor(1024 * x)) of each length; rows with null, NaN, infinite or out-of-range parts are left out."""
-    rows = pa.table({"id": ids, "v": vectors}).filter(pa.compute.and_(pa.compute.is_valid(ids), pa.compute.is_valid(vectors)))
+    rows = pa.table({"id": ids, "v": vectors}).filter(pc.and_(pc.is_valid(ids), pc.is_valid(vectors)))
     if not rows.num_rows:
         return
     got, lists = rows["id"].combine_chunks(), rows["v"].combine_chunks()
-    lengths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     for d in np.unique(lengths):
         if d == 0:
             continue
         pick = pa.array(np.flatnonzero(lengths == d))
-        flat = pa.compute.list_flatten(lists.take(pick)).cast(pa.float64())
+        flat = pc.list_flatten(lists.take(pick)).cast(pa.float64())
         m = flat.to_numpy(zero_copy_only=False).reshape(-1, d)  # nulls turn into NaN
         m = np.floor(m * SCALE)
         ok = np.isfinite(m).all(axis=1) & (np.abs(m) <= LIMIT).all(axis=1)
