@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Batches, map_arrow
+from siltstone.llm.common import Batches, Scratch, map_arrow
 
 #: Fixed: element names by their role in a page.
 RAW = frozenset("script style noscript template iframe textarea title svg math select button option object canvas xmp noembed noframes audio video".split())
@@ -50,6 +50,8 @@ _MARK = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden)\b\s*(?:=\s*(
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 MAX_DEPTH = 60
+#: Bytes of templates (as stored) up to which they are broadcast.
+MAX_BROADCAST = 16 * 1024 * 1024
 
 
 def host_of(url: str | None) -> str:
@@ -339,6 +341,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     fields = [c for c in _TALLY if c != "host"]
     grouped = often.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("rows"))
     templates = map_arrow(grouped, _templates, "host string, template string")
+    templates = Scratch(pages.sparkSession, "html").save(templates, "templates")
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), "^.*@", ""), ":.*$", ""))
-    both = pages.withColumn("host", host).join(templates, "host", "left")
+    # Templates that fit go to the pages; many hosts' templates meet their pages in a shuffled join, whose hot hosts adaptive execution splits.
+    size = int(str(templates._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    both = pages.withColumn("host", host).join(F.broadcast(templates) if size <= MAX_BROADCAST else templates.hint("merge"), "host", "left")
     return map_arrow(both.select("page_id", "url", "html", "template"), _extract, "page_id long, url string, text string, n_chars long")
