@@ -1 +1,9 @@
-"""Siltstone functions."""
+"""Column functions: text, predicates, scores, keys, dates and maps."""
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def as_column(x) -> Column:
+    """A column, or the column of that name."""
+    return x if isinstance(x, Column) else F.col(x)
