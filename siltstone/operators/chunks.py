@@ -30,10 +30,11 @@ CHUNKER_VERSION = "1"
 
 def _meta(*pairs: tuple[str, Column]) -> Column:
     """The document's metadata with further keys; null values are left out."""
-    new = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs)), lambda e: e["value"].isNotNull()))
-    old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
-    names = [k for k, _ in pairs]
-    return F.map_concat(F.map_filter(old, lambda k, _: ~(k.isin(*names) & F.map_contains_key(new, k))), new)
+    out = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    for k, v in pairs:
+        rest = F.map_filter(out, lambda name, _: name != k)
+        out = F.when(v.isNull(), out).otherwise(F.map_concat(rest, F.create_map(F.lit(k), v)))
+    return out
 
 
 def finished(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -310,7 +311,7 @@ def go_parts(body: str) -> list[tuple[str, str, dict[str, str]]] | None:
     if depth or mode or begin is not None or not package:
         return None
     imports = re.findall(r'"([^"\n]+)"', "\n".join(re.findall(r"(?ms)^import\s*(\([^)]*\)|\"[^\"]*\")", body)))
-    heads = [re.sub(r"\s*\{\s*$", "", s) for *_, s in found]
+    heads = [re.sub(r"\s*\{[^{]*$", "", s) for *_, s in found]
     overview = [f"package {package}", *(["imports: " + ", ".join(imports)] if imports else []), *heads]
     out = [(f"package {package}", "\n".join(overview), {"lang": "go", "package": package, "kind": "file"})]
     for a, b, doc, first in found:

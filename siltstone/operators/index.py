@@ -155,7 +155,7 @@ class Snapshots:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/_current"
+        return f"{self.root}/{table}/CURRENT"
 
     def version(self, table: str) -> str | None:
         fs, p = self._fs(self._pointer(table))

@@ -178,8 +178,8 @@ def test_alert_webhook(spark):
     body = '{"version":"4","externalURL":"https://a.x","alerts":[{"status":"firing","labels":{"alertname":"High","severity":"page","zone":"eu"},"annotations":{"summary":"too high","runbook_url":"https://r.x"},"startsAt":"2026-05-01T10:00:00Z","fingerprint":"abc123"},{"status":"firing","labels":{"alertname":"NoFingerprint","severity":"warning","zone":"eu"},"annotations":{},"startsAt":"2026-05-01T10:00:00Z"}]}'
     e = E.alert_events(spark.createDataFrame([(body,)], "value string"))
     rows = e.orderBy("id").collect()
-    assert rows[1].id == "alertmanager:abc123:alert.firing:2026-05-01T10:00:00Z" and rows[1].severity == "critical" and rows[1].subject.title == "High: too high"
-    assert rows[0].subject.id == "alertname=NoFingerprint,severity=warning,zone=eu"
+    assert rows[0].id == "alertmanager:abc123:alert.firing:2026-05-01T10:00:00Z" and rows[0].severity == "critical" and rows[0].subject.title == "High: too high"
+    assert rows[1].subject.id == "alertname=NoFingerprint,severity=warning,zone=eu"
     note = N.rendered(E.project_alerts(e)).where("title = 'High: too high'").first()
     assert [b.text for b in note.buttons] == ["Runbook", "Alertmanager"] and note.labels == ["severity: page"] and note.text.startswith("🔥 _Firing:_ **")
 
