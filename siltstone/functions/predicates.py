@@ -222,12 +222,12 @@ def unbound(chunk_id, point_id) -> Column:
 
 def system_note_kind(body) -> Column:
     """``assigned``, ``review_requested``, ``approved``, ``unapproved`` or null."""
-    b = F.lower(F.trim(_c(body)))
+    b = _c(body)
     return (
-        F.when(F.startswith(b, F.lit("requested review from")), "review_requested")
-        .when(F.startswith(b, F.lit("assigned to")) | F.contains(b, F.lit("and assigned to")), "assigned")
-        .when(F.startswith(b, F.lit("unapproved this merge request")), "unapproved")
-        .when(F.startswith(b, F.lit("approved this merge request")), "approved")
+        F.when(b.rlike("^(requested review from |removed review request for )"), "review_requested")
+        .when(b.rlike("^(assigned to |unassigned )| and assigned "), "assigned")
+        .when(b == "unapproved this merge request", "unapproved")
+        .when(b == "approved this merge request", "approved")
     )
 
 
@@ -237,7 +237,7 @@ def assigned_at_creation(complete, items) -> Column:
 
 
 def actionable(verdict) -> Column:
-    return _c(verdict).isin("needs_investigation", "known_issue", "solved", "escalate")
+    return _c(verdict).isin("solved", "known_issue", "needs_investigation")
 
 
 def safe_path(path) -> Column:

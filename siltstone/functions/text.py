@@ -119,24 +119,25 @@ def comment_snippet(body, n: int = 280) -> Column:
 
 
 def summary(text, sentences: int = 3, n: int = 500) -> Column:
-    """Leading sentences within both limits; a sentence over the limit is left out and a mark stands for it."""
+    """Leading sentences within both limits, then a mark if any text is left out.
+
+    A sentence that would pass the length limit is left out whole; an ellipsis
+    stands for it before the mark.
+    """
     flat = collapsed(text)
-    all_ = F.regexp_extract_all(F.concat(flat, F.lit("")), F.lit(r"[^.!?]*[.!?]+|[^.!?]+$"), F.lit(0))
-    all_ = F.filter(F.transform(all_, lambda s: F.trim(s)), lambda s: s != "")
-    start = F.struct(F.lit("").alias("said"), F.lit(0).alias("k"), F.lit(False).alias("stop"))
+    found = F.regexp_extract_all(flat, F.lit(r"[^.!?]*[.!?]+"), F.lit(0))
+    start = F.struct(F.lit("").alias("said"), F.lit(False).alias("over"))
 
     def step(acc: Column, s: Column) -> Column:
-        joined = F.when(acc["said"] == "", s).otherwise(F.concat(acc["said"], F.lit(" "), s))
-        full = acc["stop"] | (acc["k"] >= sentences) | (F.char_length(joined) > n)
-        return F.struct(
-            F.when(full, acc["said"]).otherwise(joined).alias("said"),
-            F.when(full, acc["k"]).otherwise(acc["k"] + 1).alias("k"),
-            full.alias("stop"),
-        )
-
-    return F.aggregate(
-        all_, start, step, lambda a: F.when(a["stop"], F.trim(F.concat(a["said"], F.lit(" …")))).otherwise(a["said"])
-    )
+        over = acc["over"] | (F.char_length(acc["said"]) + F.char_length(s) > n)
+        return F.struct(F.when(over, acc["said"]).otherwise(F.concat(acc["said"], s)).alias("said"), over.alias("over"))
+
+    def finish(acc: Column) -> Column:
+        said = acc["said"]
+        room = F.when(F.char_length(said) < n, F.lit("…")).otherwise("")
+        return F.when(acc["over"], F.concat(said, room, F.lit(" …"))).when(F.char_length(said) < F.char_length(flat), F.concat(said, F.lit(" …"))).otherwise(said)
+
+    return F.aggregate(F.slice(found, 1, sentences), start, step, finish)
 
 
 def line_slice(body, start, end) -> Column:
@@ -158,28 +159,29 @@ def escape_markdown(text) -> Column:
 
 
 def hard_breaks(text) -> Column:
-    """Paragraphs whose lines end in hard breaks; fenced code stays as it is, empty paragraphs go."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"), F.lit(True).alias("gap"))
+    """Paragraphs between blank lines, whose lines end in hard breaks; fenced code stays as it is and empty paragraphs go."""
+    none = F.lit(None).cast("string")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("para"), none.alias("fence"))
+
+    def flushed(acc: Column) -> Column:
+        return F.when(acc["para"] == "", acc["out"]).otherwise(F.array_append(acc["out"], acc["para"]))
 
     def step(acc: Column, line: Column) -> Column:
-        fence = F.startswith(F.trim(line), F.lit("```"))
-        inside = acc["code"] | fence
-        blank = ~inside & (F.trim(line) == "")
-        clean = F.when(inside, line).otherwise(F.rtrim(line))
-        return F.struct(
-            F.when(blank & acc["gap"], acc["out"]).when(blank, F.array_append(acc["out"], F.lit(""))).otherwise(F.array_append(acc["out"], clean)).alias("out"),
-            F.when(fence, ~acc["code"]).otherwise(acc["code"]).alias("code"),
-            blank.alias("gap"),
-        )
-
-    kept = F.aggregate(F.split(_c(text), "\n"), start, step, lambda a: F.array_join(a["out"], "\n"))
-    kept = F.regexp_replace(kept, r"\n+$", "")
-    # A line that another follows ends in a hard break, outside fences and blank lines.
-    parts = F.transform(
-        F.split(kept, "(?m)^(?=```)"),
-        lambda p, i: F.when(i % 2 == 1, p).otherwise(F.regexp_replace(p, r"(?<=[^\n ])[ ]*\n(?=[^\n`])", "  \n")),
-    )
-    return F.array_join(parts, "")
+        mark = F.startswith(F.trim(line), F.lit("```"))
+        inside = acc["fence"].isNotNull()
+        grown = F.concat(acc["fence"], F.lit("\n"), line)
+        clean = F.regexp_replace(line, r"[ \t]+$", "")
+        blank = clean == ""
+        out = F.when(inside & mark, F.array_append(acc["out"], grown)).when(inside, acc["out"]).when(mark | blank, flushed(acc)).otherwise(acc["out"])
+        para = F.when(inside, acc["para"]).when(mark | blank, F.lit("")).when(acc["para"] == "", clean).otherwise(F.concat(acc["para"], F.lit("  \n"), clean))
+        fence = F.when(inside & mark, none).when(inside, grown).when(mark, line)
+        return F.struct(out.alias("out"), para.alias("para"), fence.alias("fence"))
+
+    def finish(acc: Column) -> Column:
+        kept = F.when(acc["fence"].isNotNull(), F.array_append(acc["out"], acc["fence"])).otherwise(flushed(acc))
+        return F.array_join(kept, "\n\n")
+
+    return F.aggregate(F.split(F.replace(_c(text), F.lit("\r\n"), F.lit("\n")), "\n"), start, step, finish)
 
 
 def mentions_at(body) -> Column:

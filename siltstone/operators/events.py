@@ -25,7 +25,7 @@ PERSON = "struct<username:string,name:string>"
 COMMENTS = "array<struct<id:string,thread_id:string,author:string,body:string,mentions:array<string>,url:string,created_at:timestamp>>"
 PAYLOADS = {
     "mr.updated": f"state string, author string, assignees array<string>, reviewers array<string>, updated_by string, updated_at timestamp, assigned_by string, assigned_at timestamp, review_requested_by string, review_requested_at timestamp, merged_by string, merged_at timestamp, approvals array<struct<username:string,at:timestamp>>, comments {COMMENTS}, threads array<struct<id:string,resolved_by:string,resolved_at:timestamp,participants:array<string>,url:string>>",
-    "mr.conflict": "author string, assignees array<string>, sha string, target_branch string",
+    "mr.conflict": "author string, assignees array<string>, sha string, source_branch string, target_branch string",
     "issue.updated": f"assignee string, assigned_by string, assigned_at timestamp, updated_by string, comments {COMMENTS}",
     "alert": "labels map<string,string>, annotations map<string,string>, external_url string, starts_at timestamp, ends_at timestamp",
     "investigation.completed": "job_id string, verdict string, title string, findings string, actions array<string>, links array<struct<text:string,url:string>>",
@@ -231,7 +231,8 @@ def project_merge_requests(events: DataFrame, now: Column, max_age: int = 0) ->
 def project_conflicts(events: DataFrame) -> DataFrame:
     e, _ = decoded(events.where("type = 'mr.conflict'"), "mr.conflict")
     rows = e.select("*", F.explode(_people(F.array(F.col("p.author")), F.col("p.assignees"))).alias("_to"))
-    said = F.concat(F.lit("Cannot be merged into "), F.coalesce(F.nullif(F.col("p.target_branch"), F.lit("")), F.lit("the target branch")))
+    branch, into = F.nullif(F.col("p.source_branch"), F.lit("")), F.coalesce(F.nullif(F.col("p.target_branch"), F.lit("")), F.lit("the target branch"))
+    said = F.concat(F.coalesce(F.concat(branch, F.lit(" can no longer be merged into ")), F.lit("Cannot be merged into ")), into, F.lit(": rebase or resolve the conflicts."))
     return _note(rows, "mr_conflict", F.col("_to"), "gitlab", F.lit(None).cast("string"), _id("gitlab_mr_conflict", "subject.id", "p.sha", "_to"), F.col("occurred_at"), description=said)
 
 
@@ -255,7 +256,7 @@ def _annotated(notes: Column, word: str, text: str) -> Column:
 def project_alerts(events: DataFrame) -> DataFrame:
     """Alert notes for broadcast; their recipient is empty."""
     e, _ = decoded(events.where("type in ('alert.firing', 'alert.resolved')"), "alert")
-    labels = F.filter(F.array(*(F.concat(F.lit(f"{k}: "), F.nullif(F.col("p.labels")[k], F.lit(""))) for k in LABELS_SHOWN)), lambda x: x.isNotNull())
+    labels = F.filter(F.array(*(F.concat(F.lit(f"{k}="), F.nullif(F.col("p.labels")[k], F.lit(""))) for k in LABELS_SHOWN)), lambda x: x.isNotNull())
     notes = F.coalesce(F.col("p.annotations"), F.create_map().cast("map<string,string>"))
     outside = F.when(F.coalesce(F.col("p.external_url"), F.lit("")) != "", F.array(F.struct(F.lit("Alertmanager").alias("text"), F.col("p.external_url").alias("url"))))
     none = F.array().cast("array<struct<text:string,url:string>>")
@@ -295,7 +296,11 @@ def project(events: DataFrame, now: Column, max_age: int = 0) -> DataFrame:
 
 def investigations(events: DataFrame, floor: str | None = None) -> DataFrame:
     """Events over a severity floor as investigation jobs: ``idempotency_key, description``."""
-    attributes = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
-    said = T.labelled_lines(("Source", "source"), ("Type", "type"), ("Title", F.col("subject.title")), ("URL", F.col("subject.url")), ("Severity", "severity"), ("Actor", F.col("actor.display")), ("Attributes", attributes))
+    title = F.coalesce(F.concat(F.lit(" — "), F.nullif(F.col("subject.title"), F.lit(""))), F.lit(""))
+    first = F.concat(F.lit("Investigate this "), "source", F.lit(" event: "), "type", title, F.lit("."))
+    facts = T.labelled_lines(("Severity", "severity"), ("Occurred at", rfc3339(F.col("occurred_at"))), ("Source URL", F.col("subject.url")))
+    attributes = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), e["value"]))
+    listed = F.when(F.size(attributes) > 0, F.concat(F.lit("Attributes:\n"), F.array_join(attributes, "\n")))
+    said = F.concat(F.concat_ws("\n", first, F.nullif(facts, F.lit("")), listed), F.lit("\n"))
     return events.where(P.over_floor("severity", floor)).select(F.col("id").alias("idempotency_key"), said.alias("description"))
 

@@ -42,15 +42,16 @@ def rendered(notes: DataFrame) -> DataFrame:
     """Notes with ``text``, their Markdown message; unknown types get a plain line."""
     kind = F.col("type")
     emoji, verb, layout = (_style(kind, i) for i in range(3))
-    title = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("["), T.escape_markdown("title"), F.lit("]("), F.col("url"), F.lit(")"))).otherwise(T.escape_markdown("title"))
+    plain, said = T.escape_markdown(F.trim("title")), F.nullif(T.escape_markdown("description"), F.lit(""))
+    title = F.when((F.trim(F.coalesce("url", F.lit(""))) != "") & (plain != ""), F.concat(F.lit("["), plain, F.lit("]("), F.trim("url"), F.lit(")"))).otherwise(plain)
     actor = F.coalesce(F.nullif(F.col("actor.display"), F.lit("")), F.nullif(F.col("actor.key"), F.lit("")), F.lit("Someone"))
-    line = F.concat_ws(" ", emoji, T.escape_markdown(actor), verb, title)
+    line = F.concat_ws(" ", emoji, F.concat(F.lit("**"), T.escape_markdown(actor), F.lit("**")), verb, title)
     state = F.concat(emoji, F.lit(" _"), verb, F.lit(":_ "))
-    fenced = F.when(F.size("labels") > 0, F.concat(F.lit("```\n"), F.array_join("labels", "\n"), F.lit("\n```")))
+    fenced = F.when(F.size("labels") > 0, F.concat(F.lit("```\n"), F.replace(F.array_join("labels", "\n"), F.lit("`"), F.lit("")), F.lit("\n```")))
     text = (
-        F.when(layout == "comment", F.concat_ws("\n\n", line, F.nullif(F.col("description"), F.lit(""))))
-        .when(layout == "conflict", F.concat_ws("\n\n", F.concat(state, title), F.nullif(F.col("description"), F.lit(""))))
-        .when(layout == "alert", F.concat_ws("\n\n", F.concat(state, F.lit("**"), title, F.lit("**")), F.nullif(T.escape_markdown("description"), F.lit("")), fenced))
+        F.when(layout == "comment", F.concat_ws("\n\n", line, said))
+        .when(layout == "conflict", F.concat_ws("\n\n", F.concat(state, title), said))
+        .when(layout == "alert", F.concat_ws("\n\n", F.concat(state, F.lit("**"), title, F.lit("**")), said, fenced))
         .when(layout == "report", F.concat_ws("\n\n", F.concat(state, F.lit("**"), title, F.lit("**")), F.nullif(F.col("body"), F.lit(""))))
         .otherwise(line)
     )

@@ -29,19 +29,26 @@ def degraded(search_backend, queries: DataFrame) -> DataFrame:
 def context(results: DataFrame) -> DataFrame:
     """One row for each query: numbered source blocks, and the set of URLs an answer may cite."""
     m = F.col("metadata")
-    head = F.concat(F.lit("--- Source "), F.col("rank").cast("string"), F.lit(": "), F.coalesce("title", F.lit("")), F.lit(" <"), F.coalesce(m["source_url"], F.lit("")), F.lit("> [source: "), F.coalesce(m["source"], F.lit("")), F.lit("] ---\n"))
-    block = F.struct("rank", F.concat(head, "text").alias("said"))
+    some = lambda a, c, b: F.coalesce(F.concat(F.lit(a), F.nullif(c, F.lit("")), F.lit(b)), F.lit(""))
+    head = F.concat(F.lit("--- Source "), F.col("rank").cast("string"), some(": ", F.col("title"), ""), some(" <", m["source_url"], ">"), some(" [source: ", m["source"], "]"), F.lit(" ---\n"))
+    block = F.struct("rank", F.concat(head, "text", F.lit("\n\n")).alias("said"))
     url = F.nullif(m["source_url"], F.lit(""))
     return results.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["said"]), "\n\n").alias("context"), F.array_sort(F.collect_set(url)).alias("allowed_urls")
+        F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["said"]), "").alias("context"), F.array_sort(F.collect_set(url)).alias("allowed_urls")
     )
 
 
-def answer(results: DataFrame) -> DataFrame:
-    """An extractive answer for each query from its best results, with their sources."""
-    line = F.concat(F.lit("- "), F.coalesce(F.nullif("title", F.lit("")), F.lit("untitled")), F.lit(": "), T.summary("text", 1, 200))
-    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("said"))))
-    return results.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["said"]), "\n").alias("answer"), F.count("*").alias("n_sources"))
+def answer(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """An extractive answer for each query ``query_id, text``: the question, its numbered sources, and a note on confidence."""
+    m = F.col("metadata")
+    told = lambda key, label: F.coalesce(F.concat(F.lit(f" [{label}"), m[key], F.lit("]")), F.lit(""))
+    cut = F.when(F.char_length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("…"))).otherwise(F.col("text"))
+    entry = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce(F.nullif("title", F.lit("")), F.lit("(Untitled)")), told("source", "source: "), told("source_url", ""), F.lit("\n   "), T.trimmed(cut), F.lit("\n\n"))
+    lines = F.array_sort(F.collect_list(F.struct("rank", entry.alias("said"))))
+    found = results.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["said"]), "").alias("_said"))
+    both = queries.select("query_id", F.col("text").alias("_q")).join(found, "query_id", "left")
+    body = F.coalesce(F.concat(F.lit("Relevant sources:\n"), "_said"), F.lit("No relevant context was found to answer this question.\n\n"))
+    return both.select("query_id", F.concat(F.lit("Question: "), "_q", F.lit("\n\n"), body, F.lit("Confidence: low (LLM disabled)")).alias("answer"))
 
 
 def allowed_buttons(buttons, allowed) -> F.Column:

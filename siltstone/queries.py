@@ -102,9 +102,9 @@ def line_slice(t):
     return t.documents.select("doc_id", T.line_slice("text", (1 + F.col("doc_id") % 3).cast("int"), (3 + F.col("doc_id") % 3).cast("int")).alias("lines"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(trim(regexp_replace(text, '\s+', ' ', 'g')), '[^.!?]*[.!?]+|[^.!?]+$'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
-c AS (SELECT doc_id, p, (SELECT max(k) FROM range(0, 4) r(k) WHERE k <= len(p) AND length(array_to_string(p[1:k], ' ')) <= 500) AS k FROM s)
-SELECT doc_id, CASE WHEN k < len(p) THEN trim(array_to_string(p[1:k], ' ') || ' …') ELSE array_to_string(p[1:k], ' ') END AS summary FROM c""")
+@query(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents), p AS (SELECT doc_id, f, regexp_extract_all(f, '[^.!?]*[.!?]+') AS p FROM s),
+c AS (SELECT doc_id, f, p, (SELECT max(k) FROM range(0, 4) r(k) WHERE k <= len(p) AND length(array_to_string(p[1:k], '')) <= 500) AS k FROM p), d AS (SELECT *, array_to_string(p[1:k], '') AS said FROM c)
+SELECT doc_id, said || CASE WHEN k < least(3, len(p)) THEN CASE WHEN length(said) < 500 THEN '…' ELSE '' END || ' …' WHEN length(said) < length(f) THEN ' …' ELSE '' END AS summary FROM d""")
 def summary_stub(t):
     return t.documents.select("doc_id", T.summary("text").alias("summary"))
 

@@ -11,7 +11,7 @@ from siltstone.functions.scoring import stable_id
 
 # What a file becomes, and how far it is trusted.
 KIND_SOURCE = {"doc": "git_docs:", "manifest": "git_manifest:", "code": "git_code:"}
-KIND_AUTHORITY = {"doc": "high", "manifest": "medium", "code": "medium"}
+KIND_AUTHORITY = {"doc": "high", "manifest": "medium", "code": "low"}
 
 
 def _by(kind: Column, values: dict[str, str]) -> Column:
@@ -113,8 +113,9 @@ def commit_documents(commits: DataFrame) -> DataFrame:
 
 
 def tag_documents(tags: DataFrame) -> DataFrame:
-    """Documents of tags: an annotated one's message, else what it points to."""
-    plain = F.format_string("Lightweight tag pointing to %s", F.substring("target", 1, 12))
+    """Documents of tags: an annotated one's message, else what it points to; a lightweight tag's message is its commit's."""
+    subject = F.trim(F.split(F.coalesce("message", F.lit("")), "\n")[0])
+    plain = F.format_string("Lightweight tag pointing to %s: %s", F.substring("target", 1, 12), subject)
     body = F.when(F.col("annotated") & (T.trimmed("message") != ""), T.trimmed("message")).otherwise(plain)
     source, source_id = F.concat(F.lit("git_tags:"), "repo"), F.concat(F.col("repo"), F.lit("@tag:"), F.col("name"))
     return tags.select(

@@ -131,7 +131,7 @@ def test_text_functions(spark):
         T.byte_capped(F.lit("é" * 10), 5), T.hard_breaks(F.lit("a\nb\n\n\n\nc\n")), T.paragraphs(F.lit("a\n\n\nb\nc\n \nd")), P.command_parts(F.lit("/Find@bot some text")), P.command_parts(F.lit("hi")),
     )
     assert r.c0 == ["al", "bo-b"] and r.c1 == ["5b", "joe"] and r.c2 == 42 and r.c3 == 0 and r.c4 == "ab_c-1" and r.c5 == "https://x.y/z"
-    assert r.c6 == "b\nc" and r.c7 == "" and r.c8 == 3 and r.c9 is None and r.c10 == "H" and r.c11 == "b" and r.c12 == "One. Two! …"
+    assert r.c6 == "b\nc" and r.c7 == "" and r.c8 == 3 and r.c9 is None and r.c10 == "H" and r.c11 == "b" and r.c12 == "One. Two!… …"
     assert r.c13 == "éé" and r.c14 == "a  \nb\n\nc" and r.c15 == ["a", "b\nc", "d"] and (r.c16.name, r.c16.rest) == ("find", "some text") and r.c17 is None
 
 
@@ -181,7 +181,7 @@ def test_alert_webhook(spark):
     assert rows[0].id == "alertmanager:abc123:alert.firing:2026-05-01T10:00:00Z" and rows[0].severity == "critical" and rows[0].subject.title == "High: too high"
     assert rows[1].subject.id == "alertname=NoFingerprint,severity=warning,zone=eu"
     note = N.rendered(E.project_alerts(e)).where("title = 'High: too high'").first()
-    assert [b.text for b in note.buttons] == ["Runbook", "Alertmanager"] and note.labels == ["severity: page"] and note.text.startswith("🔥 _Firing:_ **")
+    assert [b.text for b in note.buttons] == ["Runbook", "Alertmanager"] and note.labels == ["severity=page"] and note.text.startswith("🔥 _Firing:_ **")
 
 
 def test_delivery_is_idempotent(spark):
@@ -193,7 +193,7 @@ def test_delivery_is_idempotent(spark):
     e = merge_request(spark, assignees=["bob", "dan"])
     out, jobs = D.deliver(e.unionByName(e), users, subs, peers, chats, outbox, F.lit(T0))
     rows = out.collect()
-    assert [(r.peer_id, r.text) for r in rows] == [(11, "🔀 dan assigned you to [T](https://h.x/1)")] and jobs.count() == 1
+    assert [(r.peer_id, r.text) for r in rows] == [(11, "🔀 **dan** assigned you to [T](https://h.x/1)")] and jobs.count() == 1
     again, _ = D.deliver(e, users, subs, peers, chats, out.select(*outbox.columns), F.lit(T0))
     assert again.count() == 0
 
