@@ -131,10 +131,13 @@ class Encoder:
         if not text or not self.by_word:
             x = self.ids(text)
             return x, np.empty(0, np.int64), np.empty(0, bool)
-        words = text.encode().split()
-        pieces = self.pieces(words)
+        raw = text.encode()
+        pieces = self.pieces(raw.split())
         at = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // self.dtype.itemsize
-        stops = np.fromiter((w[-1] in b".!?" for w in words), bool, len(words))
+        codes = np.frombuffer(raw, np.uint8)
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        last = codes[~space & np.append(space[1:], True)]  # of each word
+        stops = (last == 46) | (last == 33) | (last == 63)
         return np.frombuffer(b"".join(pieces), self.dtype), at, stops
 
 
