@@ -691,3 +691,43 @@ def backoff(t):
 
 
 FLAGSHIP = "hybrid_search"
+
+
+# Streams
+
+
+def _streamed(t, run, name: str) -> DataFrame:
+    """Run a stream over the events' file to its end and return what its batches wrote."""
+    import tempfile
+    import uuid
+
+    from siltstone.streaming import jobs
+
+    spark = t._spark
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-stream-")
+    out = f"{base.rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(t.events.schema).parquet(f"{t._root}/event[s].parquet")  # a pattern: the source wants a folder or one
+    stream = run(events)
+    jobs.start(stream, lambda batch, _: batch.write.mode("append").parquet(f"{out}/rows"), f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+_SESSIONS = f"SELECT user_id, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM ({_GAPS})) GROUP BY user_id, s"
+
+
+@query(f"SELECT user_id, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_at, n FROM ({_SESSIONS}) WHERE last_at + INTERVAL 45 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def stream_sessions(t):
+    """Gap sessions that the watermark has passed at the end of the stream."""
+    from siltstone.streaming import jobs
+
+    done = _streamed(t, lambda e: jobs.sessions(e, "user_id", "ts"), "sessions")
+    return done.select("user_id", F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"), "n")
+
+
+@query("SELECT event_id FROM events")
+def stream_dedup(t):
+    """Every event twice in, once out."""
+    from siltstone.streaming import jobs
+
+    twice = lambda e: jobs.deduplicated(e.unionByName(e), id_="event_id", at="ts")
+    return _streamed(t, twice, "dedup").select("event_id")

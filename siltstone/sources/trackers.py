@@ -213,3 +213,12 @@ def cursor_of(states: DataFrame, source: str) -> str | None:
 def usable(raw: DataFrame) -> DataFrame:
     """Comments worth keeping."""
     return raw.where(~P.trivial_comment("body"))
+
+
+def release_documents(items: DataFrame, project: str) -> DataFrame:
+    """Releases as documents that keep the object's columns for the chunker."""
+    sid = F.concat_ws("/", F.lit(project), F.lit("releases"), "tag_name")
+    body = F.concat_ws("\n\n", F.concat(F.lit("Release "), F.coalesce(F.nullif("name", F.lit("")), F.col("tag_name"))), F.nullif("description", F.lit("")))
+    meta = F.create_map(F.lit("project"), F.lit(project), F.lit("tag"), F.col("tag_name"), F.lit("authority"), F.lit("medium_high"))
+    return items.select("*", stable_id(F.lit("gitlab_release"), sid).alias("id"), F.lit("gitlab_release").alias("source"), sid.alias("source_id"), F.coalesce(F.nullif("name", F.lit("")), F.col("tag_name")).alias("title"),
+                        body.alias("body"), T.body_hash(body).alias("body_hash"), meta.alias("metadata"))
