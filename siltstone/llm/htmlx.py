@@ -63,7 +63,7 @@ def host_of(url: str | None) -> str:
 def _marks(attributes: str) -> str:
     if "=" not in attributes and "hidden" not in attributes.lower():
         return ""
-    out = []
+    out = ["hidden:"] if "display:none" in attributes.replace(" ", "").lower() else []
     for m in _MARK.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "aria-label":
@@ -99,6 +99,7 @@ class Page:
         self._links = 0
         self._stack: list[tuple[str, str, int]] = []
         self._in_link = False
+        self._mute = False  # within a paragraph or item that is boilerplate itself
         if source:
             self._read(source)
         self._end_block()
@@ -109,7 +110,7 @@ class Page:
             text = " ".join(html.unescape(raw).split())
             if text:
                 parts = [p for _, _, p in self._stack]
-                self.blocks.append((text, len(self.tokens) - 1, -1 in parts, 1 in parts, self._links / max(1, len(raw))))
+                self.blocks.append((text, len(self.tokens) - 1, self._mute or -1 in parts, 1 in parts, self._links / max(1, len(raw))))
             self._text, self._links = [], 0
 
     def _read(self, s: str) -> None:
@@ -145,8 +146,11 @@ class Page:
                 self._add(" ")
             elif name in BLOCKS:
                 self._end_block()
+                self._mute = False
                 if name in CONTAINERS:
                     self._container(name, bool(closing), attributes)
+                elif not closing and "=" in attributes:
+                    self._mute = _part(name, _marks(attributes)) < 0
 
     def _add(self, text: str) -> None:
         self._text.append(text)

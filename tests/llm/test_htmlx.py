@@ -49,7 +49,7 @@ def test_template_without_content_elements():
 
 
 def test_boilerplate_inside_the_article():
-    body = '<article><header><h1>Title</h1></header><p>One<br>two</p><aside>side</aside><div class="comments"><p>Nice!</p></div><form><p>Mail</p></form><p>Three</p></article>'
+    body = '<article><header><h1>Title</h1></header><p>One<br>two</p><aside>side</aside><div class="comments"><p>Nice!</p></div><p class="ad">Buy</p><div style="display: none">no</div><form><p>Mail</p></form><p>Three</p></article>'
     assert main_text(page(body), deduce(tally([page(body)] * 3))) == "Title\n\nOne two\n\nThree"
 
 

@@ -41,3 +41,22 @@ def test_trees():
 
 def test_empty(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_against_plain_draws(spark):
+    import hashlib
+    import math
+    import zlib
+
+    def plain(key, node):
+        while node.shard is None:
+            u = {c.name: (int(hashlib.md5(f"{key}:{c.name}".encode()).hexdigest()[:12], 16) + 1) / 2**48 for c in node.children}
+            node = max(node.children, key=lambda c: math.log(u[c.name]) / c.weight)
+        return node.shard
+
+    rows = [(i, f"é{i}", None) for i in range(300)]
+    old, new = tree_of(40), tree_of(41)
+    for r in shard_documents(spark.createDataFrame(rows, SCHEMA)).collect():
+        raw = f"é{r.doc_id}".encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "key")
+        assert (r.shard, r.grown_shard) == (plain(r.doc_id, old), plain(r.doc_id, new))
