@@ -52,7 +52,7 @@ def query(sql: str | None = None):
 
 
 NOW = "2024-01-31 00:00:00"
-_now = F.lit(NOW).cast("timestamp")
+_now = lambda: F.lit(NOW).cast("timestamp")
 _r9 = lambda c: F.round(c, 9)
 
 # Text functions
@@ -208,7 +208,7 @@ def severity_floor(t):
 @query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 72 HOUR OR event_id % 50 = 0")
 def freshness(t):
     at = F.when(F.col("event_id") % 50 != 0, F.col("ts"))
-    return t.events.where(P.fresh(at, _now, 72 * 3600)).select("event_id")
+    return t.events.where(P.fresh(at, _now(), 72 * 3600)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE NOT (user_id % 5 = event_id % 5)")
@@ -425,7 +425,7 @@ def keyed_upsert(t):
 @query("""SELECT peer_type, peer_id, CASE WHEN peer_id % 3 = 0 THEN 1 WHEN peer_id % 2 = 0 AND peer_id <= 60 THEN 9 ELSE 1 END AS access_hash, CASE WHEN peer_id % 4 = 0 AND peer_id <= 60 AND peer_id % 2 = 0 THEN 'new' ELSE c_name END AS username
 FROM (SELECT 'user' AS peer_type, c_custkey AS peer_id, c_name FROM customer WHERE c_custkey <= 100)""")
 def peer_merge(t):
-    base = t.customer.where("c_custkey <= 100").select(F.lit("user").alias("peer_type"), F.col("c_custkey").alias("peer_id"), F.lit(1).cast("long").alias("access_hash"), F.col("c_name").alias("username"), F.lit("").alias("first_name"), F.lit("").alias("last_name"), _now.alias("last_seen"))
+    base = t.customer.where("c_custkey <= 100").select(F.lit("user").alias("peer_type"), F.col("c_custkey").alias("peer_id"), F.lit(1).cast("long").alias("access_hash"), F.col("c_name").alias("username"), F.lit("").alias("first_name"), F.lit("").alias("last_name"), _now().alias("last_seen"))
     p = F.col("peer_id")
     new = base.where((p % 2 == 0) & (p <= 60)).withColumn("access_hash", F.when(p % 3 == 0, 0).otherwise(9).cast("long")).withColumn("username", F.when(p % 4 == 0, "new").otherwise(""))
     return I.merged_peers(base, new).select("peer_type", "peer_id", F.col("access_hash").cast("int").alias("access_hash"), "username")
@@ -533,7 +533,7 @@ def event_dedup(t):
 
 @query("SELECT event_id, n_nationkey AS peer_id, sha256('channel:' || n_nationkey || ':' || event_id) AS dedup_key FROM events, nation WHERE event_type = 'error' AND n_nationkey % 2 = 0")
 def broadcast_fanout(t):
-    chats = t.nation.select(F.lit("channel").alias("peer_type"), F.col("n_nationkey").cast("long").alias("peer_id"), (F.col("n_nationkey") % 2 == 0).alias("enabled"), _now.alias("created_at"))
+    chats = t.nation.select(F.lit("channel").alias("peer_type"), F.col("n_nationkey").cast("long").alias("peer_id"), (F.col("n_nationkey") % 2 == 0).alias("enabled"), _now().alias("created_at"))
     peers = chats.limit(0).select("peer_type", "peer_id", F.lit(1).cast("long").alias("access_hash"))
     e = t.events.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"), F.lit("alertmanager").alias("source"), F.lit("alert.firing").alias("type"), F.struct(F.lit("o").alias("id"), F.lit("").alias("url"), F.lit("t").alias("title")).alias("subject"), F.col("ts").cast("timestamp").alias("occurred_at"), F.lit("{}").alias("payload"), F.lit(1).alias("payload_version"))
     out = N.broadcast(E.project_alerts(e), chats, peers)
@@ -594,13 +594,13 @@ SELECT 'mr_commented:' || o || ':' || seq || ':' || watcher AS event_id FROM n W
 def coalesce_per_thread(t):
     c = F.struct(
         F.col("l_linenumber").cast("string").alias("id"), F.concat(F.lit("t"), (F.col("l_linenumber") % 2).cast("string")).alias("thread_id"), F.concat(F.lit("a"), (F.col("l_suppkey") % 3).cast("string")).alias("author"),
-        F.lit("said").alias("body"), F.array().cast("array<string>").alias("mentions"), F.lit("").alias("url"), _now.alias("created_at"),
+        F.lit("said").alias("body"), F.array().cast("array<string>").alias("mentions"), F.lit("").alias("url"), _now().alias("created_at"),
     )
     all_ = F.array_sort(F.collect_list(F.struct("l_linenumber", c.alias("c"))))
     mrs = t.lineitem.where("l_orderkey <= 3000").groupBy("l_orderkey").agg(F.transform(all_, lambda x: x["c"]).alias("comments"))
-    rows = mrs.select(F.col("l_orderkey").cast("string").alias("id"), F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("url"), F.lit("t").alias("title")).alias("subject"), _now.alias("occurred_at"), "comments")
+    rows = mrs.select(F.col("l_orderkey").cast("string").alias("id"), F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("url"), F.lit("t").alias("title")).alias("subject"), _now().alias("occurred_at"), "comments")
     watchers = F.array(F.lit("a0"), F.lit("a1"), F.lit("a2"))
-    return E.comment_notes(rows, F.col("comments"), watchers, "mr", "gitlab", _now, -1).select("event_id")
+    return E.comment_notes(rows, F.col("comments"), watchers, "mr", "gitlab", _now(), -1).select("event_id")
 
 
 # Tracker objects
@@ -645,30 +645,30 @@ def _jobs(t):
 
 
 _AT = "TIMESTAMP '2024-01-15 00:00:00'"
-_at = F.lit("2024-01-15 00:00:00").cast("timestamp")
+_at = lambda: F.lit("2024-01-15 00:00:00").cast("timestamp")
 
 
 @query(f"SELECT id, attempts + 1 AS attempts FROM ({_JOBS}) WHERE status IN ('pending', 'running') AND visible_at <= {_AT} AND attempts < max_attempts ORDER BY visible_at, id LIMIT 100")
 def queue_claim(t):
-    return Q.claimed(_jobs(t), _at, 100).select("id", "attempts")
+    return Q.claimed(_jobs(t), _at(), 100).select("id", "attempts")
 
 
 @query(f"""SELECT id, CASE WHEN attempts >= 5 THEN 'error' ELSE 'pending' END AS status, CASE WHEN attempts >= 5 THEN 0 ELSE least(30 * 2 ** greatest(attempts - 1, 0), 600)::INTEGER END AS wait FROM ({_JOBS}) WHERE status = 'running'""")
 def queue_nack(t):
     jobs = _jobs(t)
-    out = Q.nacked(jobs, jobs.where("status = 'running'").select("id", F.lit("x").alias("cause")), _at)
-    wait = F.when(F.col("status") == "error", 0).otherwise((F.unix_seconds("visible_at") - F.unix_seconds(_at)).cast("int"))
+    out = Q.nacked(jobs, jobs.where("status = 'running'").select("id", F.lit("x").alias("cause")), _at())
+    wait = F.when(F.col("status") == "error", 0).otherwise((F.unix_seconds("visible_at") - F.unix_seconds(_at())).cast("int"))
     return out.select("id", "status", wait.alias("wait"))
 
 
 @query(f"SELECT id FROM ({_JOBS}) WHERE status IN ('pending', 'running') AND attempts >= max_attempts AND visible_at <= {_AT}")
 def queue_reap(t):
-    return Q.reaped(_jobs(t), _at).select("id")
+    return Q.reaped(_jobs(t), _at()).select("id")
 
 
 @query(f"SELECT id FROM ({_JOBS}) WHERE (status = 'done' AND completed_at < {_AT} - INTERVAL 72 HOUR) OR (status = 'error' AND completed_at < {_AT} - INTERVAL 240 HOUR) ORDER BY completed_at, id LIMIT 100000")
 def retention(t):
-    return Q.purgeable(_jobs(t), _at, {"done": 72, "error": 240, "pending": 0}).select("id")
+    return Q.purgeable(_jobs(t), _at(), {"done": 72, "error": 240, "pending": 0}).select("id")
 
 
 @query("SELECT event_type AS queue, user_id::VARCHAR AS dedup_key FROM (SELECT DISTINCT event_type, user_id FROM events WHERE user_id % 3 <> 0)")
@@ -682,7 +682,7 @@ def queue_publish(t):
 @query(f"""SELECT queue, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error,
 count(*) FILTER (status IN ('pending', 'running') AND visible_at <= {_AT} AND attempts < 5) AS claimable, count(*) FILTER (status IN ('pending', 'running') AND visible_at <= {_AT} AND attempts >= 5) AS exhausted FROM ({_JOBS}) GROUP BY queue""")
 def queue_report(t):
-    return Q.report(_jobs(t), _at)
+    return Q.report(_jobs(t), _at())
 
 
 @query("SELECT r::INTEGER AS attempts, least(30 * 2 ** (r - 1), 600)::DOUBLE AS seconds FROM range(1, 9) x(r)")
