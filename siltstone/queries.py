@@ -262,7 +262,7 @@ def term_df(t):
 @query(f"WITH {_POSTINGS}, {_QUERIES} SELECT query_id, term, round(ln(1 + n / (coalesce(df, 0) + 1)), 9) AS idf FROM qt LEFT JOIN stats USING (term), total")
 def idf(t):
     c = _chunks(t)
-    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c)), c.agg(F.count("*").alias("n")))
+    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c, R.query_terms(_queries(t)))), c.agg(F.count("*").alias("n")))
     return w.select("query_id", F.explode("terms").alias("x")).select("query_id", "x.term", _r9(F.col("x.idf")).alias("idf"))
 
 
@@ -270,7 +270,7 @@ def idf(t):
 SELECT query_id, term FROM (SELECT *, max(idf) OVER (PARTITION BY query_id) AS m FROM w) WHERE idf >= 0.8 * m""")
 def anchor_terms(t):
     c = _chunks(t)
-    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c)), c.agg(F.count("*").alias("n")))
+    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c, R.query_terms(_queries(t)))), c.agg(F.count("*").alias("n")))
     top = F.array_max(F.transform("terms", lambda x: x["idf"]))
     return w.select("query_id", F.explode(F.filter("terms", lambda x: x["idf"] >= S.ANCHOR_SHARE * top)).alias("x")).select("query_id", "x.term")
 
@@ -285,7 +285,7 @@ def total_chunks(t):
 
 @query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM lexical")
 def lexical_topk(t):
-    return R.lexical_hits(R.postings(_chunks(t)), _queries(t), R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
+    return R.lexical_hits(R.postings(_chunks(t), R.query_terms(_queries(t))), _queries(t), R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
 
 
 @query(f"WITH {_VECTOR.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM vector")
@@ -300,7 +300,7 @@ _FUSED = """fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS sco
 @query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED} SELECT query_id, id, round(score, 9) AS score, vector FROM fused")
 def rrf_fusion(t):
     q, k = _queries(t), R.candidate_count(10)
-    both = R.fused(R.lexical_hits(R.postings(_chunks(t)), q, k), R.vector_hits(_points(t), q, k))
+    both = R.fused(R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, k), R.vector_hits(_points(t), q, k))
     return both.select("query_id", "id", _r9(F.col("score")).alias("score"), "vector")
 
 
@@ -314,7 +314,7 @@ reranked AS (SELECT y.query_id, id, title, text, source, vector, score * (1 + co
 @query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED} SELECT query_id, id, round(score, 9) AS score FROM reranked")
 def specificity(t):
     c, q, k = _chunks(t), _queries(t), R.candidate_count(10)
-    index = R.postings(c)
+    index = R.postings(c, R.query_terms(q))
     both = R.fused(R.lexical_hits(index, q, k), R.vector_hits(_points(t), q, k))
     terms = R.weighted_terms(q, R.term_stats(index), c.agg(F.count("*").alias("n")))
     return R.reranked(R.hydrated(both, c), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
@@ -632,6 +632,37 @@ def label_anti_join(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id"), "doc_id", "left_anti")
 
 
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def html_title(t):
+    from siltstone.sources import files
+
+    return t.pages.select("page_id", files.html_title("html").alias("title"))
+
+
+@query(r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM pages""")
+def html_text(t):
+    from siltstone.sources import files
+
+    return t.pages.select("page_id", F.sha2(files.html_text("html"), 256).alias("h"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn)::INTEGER AS rank FROM conversations")
+def turn_rank(t):
+    w = Window.partitionBy("conv_id").orderBy(F.desc(F.char_length("text")), "turn")
+    return t.conversations.select("conv_id", "turn", F.row_number().over(w).alias("rank"))
+
+
+@query("SELECT item_id, id, source_id FROM (SELECT item_id, doc_id AS id, source || ':' || doc_id AS source_id FROM benchmark JOIN documents ON doc_id = item_id * 3)")
+def content_lookup(t):
+    from siltstone.sources import files
+
+    r = t.benchmark.select(F.col("item_id").alias("request_id"), F.concat(F.lit("d"), (F.col("item_id") * 3).cast("string")).alias("path"), F.lit("r").alias("repo"), F.lit(1).alias("start"), F.lit(1).alias("end"))
+    none = t.documents.limit(0).select(F.lit("r").alias("repo"), F.col("source").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    docs = t.documents.select(F.lit("git_docs:r").alias("source"), F.concat(F.lit("r:d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat_ws(":", "source", "doc_id").alias("body"))
+    got = files.resolved_content(r, none, docs).where("not missing")
+    return got.select(F.col("request_id").alias("item_id"), (F.col("request_id") * 3).alias("id"), F.col("content").alias("source_id"))
+
+
 # Queue
 
 _JOBS = """SELECT event_id AS id, event_type AS queue, CASE event_id % 5 WHEN 0 THEN 'done' WHEN 1 THEN 'error' WHEN 2 THEN 'running' ELSE 'pending' END AS status, (event_id % 7)::INTEGER AS attempts, 5 AS max_attempts, ts AS visible_at, ts AS completed_at FROM events"""

@@ -145,3 +145,41 @@ def rectangle(cells: DataFrame) -> DataFrame:
     width = cells.agg(F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("_w"))
     both = cells.crossJoin(F.broadcast(width))  # one row
     return both.select("row", F.concat("cells", F.array_repeat(F.lit(""), (F.col("_w") - F.size("cells")).cast("int"))).alias("cells"))
+
+
+# Files that a converter turns into text.
+CONVERTIBLE = (".docx", ".xlsx", ".pptx", ".pdf", ".html", ".htm", ".odt", ".ods", ".rtf", ".epub")
+
+
+def convertible(path) -> Column:
+    return T.extension(path).isin(*CONVERTIBLE)
+
+
+def html_title(html) -> Column:
+    return T.collapsed(F.regexp_extract(T._c(html), "(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def html_text(html) -> Column:
+    """Text of a page without scripts, styles, comments and tags, white space collapsed; character references stay."""
+    out = T._c(html)
+    for part in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "(?is)<!--.*?-->", "(?is)<[^>]*>"):
+        out = F.regexp_replace(out, part, " ")
+    return T.collapsed(out)
+
+
+# What a converter's message means.
+CONVERT_ERRORS = {"unsupported": "unsupported|unknown format", "encrypted": "encrypt|password", "too_large": "too large|limit", "timeout": "timed? ?out|deadline"}
+
+
+def convert_error(message) -> Column:
+    """The kind of a conversion failure: a known one, or ``failed``."""
+    out = F.lit("failed")
+    for kind, pattern in CONVERT_ERRORS.items():
+        out = F.when(F.lower(T._c(message)).rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def converted_documents(files: DataFrame, name: str, convert=html_text) -> DataFrame:
+    """Context files that need a converter, as documents; those that give no text are left out."""
+    rows = files.where(convertible("path")).withColumn("content", F.encode(convert(F.make_valid_utf8(F.col("content").cast("string"))), "UTF-8"))
+    return context_documents(rows.where(F.octet_length("content") > 0), name)
