@@ -9,7 +9,8 @@
 4. Only members of one bucket whose components still differ are compared with
    each other. The Jaccard distance is a metric, so the distances to the shared
    bucket centre rule out most of these pairs; so do set sizes and, in crowded
-   buckets, the shingles that no other document there has. All are exact bounds.
+   buckets, the shingles that many there have, as pairs that share a rare one are
+   found by it. All are exact bounds.
 
 A pair at a similarity of exactly 0.75 shares no bucket with probability
 (1 - 0.75**4)**32 = 5e-6; more similar pairs less often.
@@ -34,6 +35,8 @@ HASHES = BANDS * ROWS
 SIGNATURE_SLACK = 0.2
 #: Pairs of one bucket over which its documents' unshared shingles are counted first.
 CROWDED = 2000
+#: A shingle is rare if no more of these documents have it.
+RARE = 16
 
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -121,21 +124,27 @@ def _sets(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
-def _singles(batches: Batches) -> Batches:
-    """Shingles of these documents, how many have them, and one that does; merged before they leave the task."""
-    wait: list[tuple[np.ndarray, np.ndarray]] = []
+def _rare(batches: Batches) -> Batches:
+    """Shingles of these documents, how many have them and, if they are few, which ones with their components; merged before they leave the task."""
+    wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def merged() -> pa.RecordBatch:
-        x = np.concatenate([s for s, _ in wait])
-        owner = np.concatenate([d for _, d in wait])
-        u, first, n = np.unique(x, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), pa.array(owner[first])], names=["shingle", "n", "doc_id"])
+        x, doc, comp = (np.concatenate(c) for c in zip(*wait, strict=True))
+        order = np.argsort(x, kind="stable")
+        u, start, n = np.unique(x[order], return_index=True, return_counts=True)
+        few = np.flatnonzero(n <= RARE)
+        at = np.concatenate([np.arange(s, s + k) for s, k in zip(start[few], n[few], strict=True)]) if len(few) else np.empty(0, np.int64)
+        pick = order[at]
+        sizes = np.where(n <= RARE, n, 0)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[pick])) for c in (doc, comp)]
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), *lists], names=["shingle", "n", "docs", "comps"])
 
     size = 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc_id, comp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             s = shingle_set(words_of(text.as_py()))
-            wait.append((s, np.full(len(s), doc_id, np.int64)))
+            wait.append((s, np.full(len(s), doc_id, np.int64), np.full(len(s), comp, np.int64)))
             size += len(s)
             if size > 1_000_000:
                 yield merged()
@@ -251,18 +260,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         .select("bucket", "a", "comp_a", (F.col("comp_a") != F.col("comp_b")).alias("foreign"), "least", "most"),
         "mixed",
     )
-    # In crowded buckets, what no other text there has can't be shared: it bounds every pair's intersection.
+    # In crowded buckets most pairs can share only what many there have: rare shingles are compared on their own.
     crowded = mixed.groupBy("bucket").agg((F.count("*") * F.count_if("foreign")).alias("pairs")).where(F.col("pairs") > CROWDED)
-    crowd = mixed.join(crowded, "bucket", "left_semi").select(F.col("a").alias("doc_id")).distinct()
-    once = map_arrow(docs.join(crowd.hint("merge"), "doc_id", "left_semi"), _singles, "shingle long, n long, doc_id long")
-    once = once.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    alone = crowd.join(once.groupBy("doc_id").agg(F.count("*").alias("alone")), "doc_id", "left")
-    bound = sigs.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(alone.withColumn("crowded", F.lit(True)), "doc_id", "left")
+    crowd = mixed.join(crowded, "bucket", "left_semi").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp_a").alias("comp"))
+    texts = docs.join(crowd.hint("merge"), "doc_id").select("doc_id", "comp", "text")
+    rare = map_arrow(texts, _rare, "shingle long, n long, docs array<long>, comps array<long>")
+    rare = rare.groupBy("shingle").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("comps")).alias("comps"))
+    rare = scratch.save(rare.where(F.col("n") <= RARE).select("n", "docs", "comps"), "rare")
+    own_rare = rare.select("n", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("few"))
+    bound = sigs.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
     bound = bound.select(
         F.col("doc_id").alias("a"),
         "n_shingles",
         F.coalesce("crowded", F.lit(False)).alias("crowded"),
         (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("sharable"),
+        (F.col("n_shingles") - F.coalesce("few", F.lit(0))).alias("common"),
     )
     mixed = scratch.save(mixed.join(bound, "a"), "bounded")
     x, y = mixed.where("foreign").alias("x"), mixed.alias("y")
@@ -277,11 +289,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
             & (F.col("x.least") - F.col("y.most") <= gap)
             & (F.col("y.least") - F.col("x.most") <= gap)
             & (F.least("x.n_shingles", "y.n_shingles") >= needed)
-            & (~F.col("x.crowded") | ~F.col("y.crowded") | (F.least("x.sharable", "y.sharable") >= needed)),
+            & (~F.col("x.crowded") | ~F.col("y.crowded") | (F.least("x.common", "y.common") >= needed)),
         )
         .select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"))
         .distinct()
     )
+    member = F.explode(F.arrays_zip("docs", "comps"))
+    left, right = rare.where("n > 1").select("docs", "comps", member.alias("l")), F.explode(F.arrays_zip("docs", "comps"))
+    shared = left.select("l", right.alias("r")).where((F.col("l.docs") < F.col("r.docs")) & (F.col("l.comps") != F.col("r.comps")))
+    shared = shared.select(F.col("r.docs").alias("a"), F.col("l.docs").alias("b")).distinct()
+    limits = lambda k: bound.select(F.col("a").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sharable").alias(f"s_{k}"))
+    shared = shared.join(limits("a"), "a").join(limits("b"), "b")
+    shared = shared.where(F.least("s_a", "s_b") >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    rest = rest.unionByName(shared.select("a", "b")).distinct()
     rest = scratch.save(rest, "rest")
     if rest.isEmpty():
         last = first

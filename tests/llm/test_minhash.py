@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from siltstone.llm import minhash
 from siltstone.llm.common import Scratch
 from siltstone.llm.components import connected_components
 from siltstone.llm.minhash import near_duplicates
@@ -28,13 +31,15 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("crowded", [2000, 0])
+def test_against_brute_force(spark, monkeypatch, crowded):
+    monkeypatch.setattr(minhash, "CROWDED", crowded)
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     rows, base = [], [[word() for _ in range(rnd.choice([3, 8, 40, 120]))] for _ in range(30)]
-    for i in range(240):
+    for i in range(400):
         w = list(rnd.choice(base))
-        for _ in range(rnd.choice([0, 0, 1, 2, 5])):
+        for _ in range(rnd.choice([0, 0, 1, 2, 3, 5])):
             w[rnd.randrange(len(w))] = word()
         rows.append((i, " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "One two"), (1004, "one  TWO"), (1005, "one two three"), (1006, "É one"), (1007, "é one")]
