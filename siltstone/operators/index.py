@@ -15,13 +15,18 @@ from siltstone.functions import predicates as P
 from siltstone.functions.scoring import stable_id
 
 
+def _orderable(df: DataFrame) -> list[str]:
+    """Columns whose values can be ordered and hashed: all but maps."""
+    return [c for c, kind in df.dtypes if "map<" not in kind]
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """Old rows with the new ones' values by key; ``keep`` columns of a row that exists stay.
 
     Of new rows with one key the last by all columns holds, so the result
     doesn't depend on their order.
     """
-    rest = [F.col(c).desc_nulls_last() for c in new.columns if c not in keys and not isinstance(new.schema[c].dataType.simpleString(), dict) and "map<" not in new.schema[c].dataType.simpleString()]
+    rest = [F.col(c).desc_nulls_last() for c in _orderable(new) if c not in keys]
     if rest:
         w = Window.partitionBy(*keys).orderBy(*rest)
         new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -43,7 +48,7 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, .
 def inserted(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """New rows whose key isn't there yet, one for each key (insert or ignore)."""
     fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
-    w = Window.partitionBy(*keys).orderBy(*(order or [F.xxhash64(*[c for c in new.columns if "map<" not in new.schema[c].dataType.simpleString()])]))
+    w = Window.partitionBy(*keys).orderBy(*(order or [F.xxhash64(*_orderable(new))]))
     return fresh.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").select(*new.columns)
 
 
