@@ -268,13 +268,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     rare = rare.groupBy("shingle").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("comps")).alias("comps"))
     rare = scratch.save(rare.where(F.col("n") <= RARE).select("n", "docs", "comps"), "rare")
     own_rare = rare.select("n", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("few"))
-    bound = sigs.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
+    bound = sigs.select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"]).join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
     bound = bound.select(
         F.col("doc_id").alias("a"),
         "n_shingles",
         F.coalesce("crowded", F.lit(False)).alias("crowded"),
         (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("sharable"),
         (F.col("n_shingles") - F.coalesce("few", F.lit(0))).alias("common"),
+        F.when(F.col("crowded"), F.col("bands")).alias("bands"),
     )
     mixed = scratch.save(mixed.join(bound, "a"), "bounded")
     x, y = mixed.where("foreign").alias("x"), mixed.alias("y")
@@ -289,7 +290,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
             & (F.col("x.least") - F.col("y.most") <= gap)
             & (F.col("y.least") - F.col("x.most") <= gap)
             & (F.least("x.n_shingles", "y.n_shingles") >= needed)
-            & (~F.col("x.crowded") | ~F.col("y.crowded") | (F.least("x.common", "y.common") >= needed)),
+            & (~F.col("x.crowded") | ~F.col("y.crowded") | (F.least("x.common", "y.common") >= needed))
+            # Crowded pairs that share several buckets meet in the first of them.
+            & (F.col("x.bands").isNull() | F.col("y.bands").isNull() | F.coalesce(F.try_element_at(F.array_intersect("x.bands", "y.bands"), F.lit(1)) == F.col("x.bucket"), F.lit(True))),
         )
         .select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"))
         .distinct()
