@@ -246,8 +246,23 @@ _VECTOR = """vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _queries(t):
-    e = t.embeddings.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    return t.benchmark.where("item_id < 5").select(F.col("item_id").alias("query_id"), "text").join(e, "query_id")
+    """Every item with its embedding; an item without one is searched by words alone."""
+    e = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(e, "query_id", "left")
+
+
+def search_query(sql: str):
+    """Register a function of the tables and the queries twice: over the five items that its SQL names, and as ``NAME_all`` over every item."""
+    every = sql.replace(" WHERE item_id < 5", "").replace("a.vec_id < 5", "a.vec_id IN (SELECT item_id FROM benchmark)")
+
+    def add(fn):
+        for name, said, among in ((fn.__name__, sql, "query_id < 5"), (f"{fn.__name__}_all", every, "true")):
+            named = lambda t, among=among: fn(t, _queries(t).where(among))
+            named.__name__ = name
+            query(said)(named)
+        return fn
+
+    return add
 
 
 def _points(t):
@@ -259,18 +274,18 @@ def term_df(t):
     return R.term_stats(R.postings(_chunks(t)))
 
 
-@query(f"WITH {_POSTINGS}, {_QUERIES} SELECT query_id, term, round(ln(1 + n / (coalesce(df, 0) + 1)), 9) AS idf FROM qt LEFT JOIN stats USING (term), total")
-def idf(t):
+@search_query(f"WITH {_POSTINGS}, {_QUERIES} SELECT query_id, term, round(ln(1 + n / (coalesce(df, 0) + 1)), 9) AS idf FROM qt LEFT JOIN stats USING (term), total")
+def idf(t, q):
     c = _chunks(t)
-    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c, R.query_terms(_queries(t)))), c.agg(F.count("*").alias("n")))
+    w = R.weighted_terms(q, R.term_stats(R.postings(c, R.query_terms(q))), c.agg(F.count("*").alias("n")))
     return w.select("query_id", F.explode("terms").alias("x")).select("query_id", "x.term", _r9(F.col("x.idf")).alias("idf"))
 
 
-@query(f"""WITH {_POSTINGS}, {_QUERIES}, w AS (SELECT query_id, term, ln(1 + n / (coalesce(df, 0) + 1)) AS idf FROM qt LEFT JOIN stats USING (term), total)
+@search_query(f"""WITH {_POSTINGS}, {_QUERIES}, w AS (SELECT query_id, term, ln(1 + n / (coalesce(df, 0) + 1)) AS idf FROM qt LEFT JOIN stats USING (term), total)
 SELECT query_id, term FROM (SELECT *, max(idf) OVER (PARTITION BY query_id) AS m FROM w) WHERE idf >= 0.8 * m""")
-def anchor_terms(t):
+def anchor_terms(t, q):
     c = _chunks(t)
-    w = R.weighted_terms(_queries(t), R.term_stats(R.postings(c, R.query_terms(_queries(t)))), c.agg(F.count("*").alias("n")))
+    w = R.weighted_terms(q, R.term_stats(R.postings(c, R.query_terms(q))), c.agg(F.count("*").alias("n")))
     top = F.array_max(F.transform("terms", lambda x: x["idf"]))
     return w.select("query_id", F.explode(F.filter("terms", lambda x: x["idf"] >= S.ANCHOR_SHARE * top)).alias("x")).select("query_id", "x.term")
 
@@ -283,24 +298,24 @@ def total_chunks(t):
 # Retrieval
 
 
-@query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM lexical")
-def lexical_topk(t):
-    return R.lexical_hits(R.postings(_chunks(t), R.query_terms(_queries(t))), _queries(t), R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
+@search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM lexical")
+def lexical_topk(t, q):
+    return R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
 
 
-@query(f"WITH {_VECTOR.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM vector")
-def cosine_topk(t):
-    return R.vector_hits(_points(t), _queries(t), R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
+@search_query(f"WITH {_VECTOR.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM vector")
+def cosine_topk(t, q):
+    return R.vector_blocks(_points(t), q, R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
 
 
 _FUSED = """fused AS (SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, bool_and(v) AS vector FROM (
   SELECT query_id, id, rank, false AS v FROM lexical UNION ALL SELECT query_id, id, rank, true FROM vector) GROUP BY query_id, id)"""
 
 
-@query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED} SELECT query_id, id, round(score, 9) AS score, vector FROM fused")
-def rrf_fusion(t):
-    q, k = _queries(t), R.candidate_count(10)
-    both = R.fused(R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, k), R.vector_hits(_points(t), q, k))
+@search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED} SELECT query_id, id, round(score, 9) AS score, vector FROM fused")
+def rrf_fusion(t, q):
+    k = R.candidate_count(10)
+    both = R.fused(R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, k), R.vector_blocks(_points(t), q, k))
     return both.select("query_id", "id", _r9(F.col("score")).alias("score"), "vector")
 
 
@@ -311,11 +326,11 @@ reranked AS (SELECT y.query_id, id, title, text, source, vector, score * (1 + co
   * CASE WHEN len(list_filter(ws, lambda x: x.idf >= 0.8 * top AND contains(h, x.term))) = 0 THEN 0.2 ELSE 1.0 END * auth AS score FROM hay y JOIN w USING (query_id))"""
 
 
-@query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED} SELECT query_id, id, round(score, 9) AS score FROM reranked")
-def specificity(t):
-    c, q, k = _chunks(t), _queries(t), R.candidate_count(10)
+@search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED} SELECT query_id, id, round(score, 9) AS score FROM reranked")
+def specificity(t, q):
+    c, k = _chunks(t), R.candidate_count(10)
     index = R.postings(c, R.query_terms(q))
-    both = R.fused(R.lexical_hits(index, q, k), R.vector_hits(_points(t), q, k))
+    both = R.fused(R.lexical_hits(index, q, k), R.vector_blocks(_points(t), q, k))
     terms = R.weighted_terms(q, R.term_stats(index), c.agg(F.count("*").alias("n")))
     return R.reranked(R.hydrated(both, c), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
 
@@ -323,12 +338,12 @@ def specificity(t):
 _KEYED = r"keyed AS (SELECT *, CASE WHEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) = '' THEN 'id:' || id ELSE 'text:' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) END AS key FROM reranked)"
 
 
-@query(f"""WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED}, {_KEYED},
+@search_query(f"""WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED}, {_KEYED},
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY score DESC, id) AS n FROM keyed) WHERE n = 1),
 best AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS b FROM one)
 SELECT query_id, rank::INTEGER AS rank, id, round(score, 9) AS score, vector FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM best WHERE b <= 0 OR score >= 0.2 * b) WHERE rank <= 10""")
-def hybrid_search(t):
-    found = plans.search(_chunks(t), _points(t), _queries(t), 10, "all")
+def hybrid_search(t, q):
+    found = plans.search(_chunks(t), _points(t), q, 10, "all")
     return found.select("query_id", "rank", "id", _r9(F.col("score")).alias("score"), "vector")
 
 
@@ -721,7 +736,7 @@ def backoff(t):
     return t.region.sparkSession.range(1, 9).select(F.col("id").cast("int").alias("attempts"), S.backoff_seconds("id").alias("seconds"))
 
 
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "hybrid_search_all"
 
 
 # Streams

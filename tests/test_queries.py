@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_flagship_answers_every_item(spark, duck):
+    import __spark_entry__ as entry
+
+    asked = {r.query_id for r in entry.entry(spark).select("query_id").distinct().collect()}
+    assert asked == {i for (i,) in duck.sql("SELECT item_id FROM benchmark").fetchall()}
