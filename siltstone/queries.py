@@ -440,9 +440,20 @@ def keyed_upsert(t):
 @query("""SELECT peer_type, peer_id, CASE WHEN peer_id % 3 = 0 THEN 1 WHEN peer_id % 2 = 0 AND peer_id <= 60 THEN 9 ELSE 1 END AS access_hash, CASE WHEN peer_id % 4 = 0 AND peer_id <= 60 AND peer_id % 2 = 0 THEN 'new' ELSE c_name END AS username
 FROM (SELECT 'user' AS peer_type, c_custkey AS peer_id, c_name FROM customer WHERE c_custkey <= 100)""")
 def peer_merge(t):
-    base = t.customer.where("c_custkey <= 100").select(F.lit("user").alias("peer_type"), F.col("c_custkey").alias("peer_id"), F.lit(1).cast("long").alias("access_hash"), F.col("c_name").alias("username"), F.lit("").alias("first_name"), F.lit("").alias("last_name"), _now().alias("last_seen"))
+    return _peers_merged(t.customer.where("c_custkey <= 100"), F.col("peer_id") <= 60)
+
+
+@query("""SELECT peer_type, peer_id, CASE WHEN peer_id % 3 = 0 THEN 1 WHEN peer_id % 2 = 0 AND peer_id % 5 < 3 THEN 9 ELSE 1 END AS access_hash, CASE WHEN peer_id % 4 = 0 AND peer_id % 5 < 3 THEN 'new' ELSE c_name END AS username
+FROM (SELECT 'user' AS peer_type, c_custkey AS peer_id, c_name FROM customer)""")
+def peer_merge_all(t):
+    """Every customer, of whom three in five even ones come anew; the SQL of ``peer_merge`` stops at id 100."""
+    return _peers_merged(t.customer, F.col("peer_id") % 5 < 3)
+
+
+def _peers_merged(customers, renewed):
+    base = customers.select(F.lit("user").alias("peer_type"), F.col("c_custkey").alias("peer_id"), F.lit(1).cast("long").alias("access_hash"), F.col("c_name").alias("username"), F.lit("").alias("first_name"), F.lit("").alias("last_name"), _now().alias("last_seen"))
     p = F.col("peer_id")
-    new = base.where((p % 2 == 0) & (p <= 60)).withColumn("access_hash", F.when(p % 3 == 0, 0).otherwise(9).cast("long")).withColumn("username", F.when(p % 4 == 0, "new").otherwise(""))
+    new = base.where((p % 2 == 0) & renewed).withColumn("access_hash", F.when(p % 3 == 0, 0).otherwise(9).cast("long")).withColumn("username", F.when(p % 4 == 0, "new").otherwise(""))
     return I.merged_peers(base, new).select("peer_type", "peer_id", F.col("access_hash").cast("int").alias("access_hash"), "username")
 
 
@@ -607,12 +618,24 @@ def newest_comments(t):
 w AS (SELECT *, unnest(['a0', 'a1', 'a2']) AS watcher FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY o, thread, watcher ORDER BY seq DESC) AS k FROM w WHERE author <> watcher)
 SELECT 'mr_commented:' || o || ':' || seq || ':' || watcher AS event_id FROM n WHERE k = 1""")
 def coalesce_per_thread(t):
+    return _coalesced(t.lineitem.where("l_orderkey <= 3000"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS o, l_linenumber AS seq, 't' || l_linenumber % 2 AS thread, 'a' || l_suppkey % 3 AS author FROM lineitem),
+w AS (SELECT *, unnest(['a0', 'a1', 'a2']) AS watcher FROM c), n AS (SELECT *, row_number() OVER (PARTITION BY o, thread, watcher ORDER BY seq DESC) AS k FROM w WHERE author <> watcher)
+SELECT 'mr_commented:' || o || ':' || seq || ':' || watcher AS event_id FROM n WHERE k = 1""")
+def coalesce_per_thread_all(t):
+    """Every order; the SQL of ``coalesce_per_thread`` stops at id 3000."""
+    return _coalesced(t.lineitem)
+
+
+def _coalesced(lines):
     c = F.struct(
         F.col("l_linenumber").cast("string").alias("id"), F.concat(F.lit("t"), (F.col("l_linenumber") % 2).cast("string")).alias("thread_id"), F.concat(F.lit("a"), (F.col("l_suppkey") % 3).cast("string")).alias("author"),
         F.lit("said").alias("body"), F.array().cast("array<string>").alias("mentions"), F.lit("").alias("url"), _now().alias("created_at"),
     )
     all_ = F.array_sort(F.collect_list(F.struct("l_linenumber", c.alias("c"))))
-    mrs = t.lineitem.where("l_orderkey <= 3000").groupBy("l_orderkey").agg(F.transform(all_, lambda x: x["c"]).alias("comments"))
+    mrs = lines.groupBy("l_orderkey").agg(F.transform(all_, lambda x: x["c"]).alias("comments"))
     rows = mrs.select(F.col("l_orderkey").cast("string").alias("id"), F.struct(F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("url"), F.lit("t").alias("title")).alias("subject"), _now().alias("occurred_at"), "comments")
     watchers = F.array(F.lit("a0"), F.lit("a1"), F.lit("a2"))
     return E.comment_notes(rows, F.col("comments"), watchers, "mr", "gitlab", _now(), -1).select("event_id")

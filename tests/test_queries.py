@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql.functions import col as spark_col
 
 from siltstone import queries
 
@@ -49,3 +50,11 @@ def test_the_flagship_answers_every_item(spark, duck):
 
     asked = {r.query_id for r in entry.entry(spark).select("query_id").distinct().collect()}
     assert asked == {i for (i,) in duck.sql("SELECT item_id FROM benchmark").fetchall()}
+
+
+def test_every_order_and_customer_counts(spark, duck, tmp_path):
+    """Ids far over those of the small tables are kept."""
+    for name, key in (("customer", "c_custkey"), ("lineitem", "l_orderkey")):
+        spark.read.parquet(f"{ROOT}/{name}.parquet").withColumn(key, spark_col(key) + 1_000_000).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert queries.QUERIES["peer_merge_all"](spark, tmp_path).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert queries.QUERIES["coalesce_per_thread_all"](spark, tmp_path).count() == duck.sql(queries.ORACLES["coalesce_per_thread_all"]).count("*").fetchall()[0][0]
