@@ -5,12 +5,14 @@ Arasu and Garcia-Molina, "Extracting structured data from Web pages" (SIGMOD
 id and role and the path of containers around it. Tokens of a host whose
 occurrence vectors over its pages are equal form an equivalence class; vectors
 are never gathered, an order-free fingerprint of (page, count) stands for each.
-The class that occurs once on most pages is the template. Its tokens, in page
-order, must nest like elements; the gaps between them are the template's slots,
-and each slot is kept or dropped by where it stands, how its text varies over
-the host's pages and how much of it is links. A page is then cut at its own
-occurrences of the template's tokens and the text of the kept slots is its main
-text.
+A class counts if its tokens occur once a page, on two pages or more, whatever
+share of the host's pages has them, so each layout of a host has its own. A
+second pass over the pages tests the order of each class; tokens that stand out
+of order on any page leave it. The classes are then nested by the paths of their
+tokens. The gaps between tokens are the template's slots, and a page keeps or
+drops each slot of the classes it has by where it stands, how its text varies
+over the class's pages and how much of it is links. A page is cut at its own
+occurrences of the tokens and the text of the kept slots is its main text.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -235,65 +238,120 @@ _TALLY = ["host", "token", "pages", "total", "vector", "place", "slots", "chars"
 _TALLY_SCHEMA = "host string, token string, pages long, total long, vector long, place long, slots long, chars long, links long, least long, most long, boiler boolean, content boolean"
 
 
-def nested(tokens: list[str]) -> list[str]:
-    """The tokens without closings that have no opening before them, or openings out of order: a valid class nests."""
-    out, open_ = [], []
+def classes(rows: list[dict]) -> list[list[dict]]:
+    """Equivalence classes of a host's tokens, each in page order, largest support first.
+
+    Tokens that occur once a page belong together if their occurrence vectors
+    are equal. A class needs two pages, and two tokens unless it is on half of
+    the host's pages.
+    """
+    n = max((r["pages"] for r in rows), default=0)
+    by: dict[tuple, list[dict]] = {}
+    for r in rows:
+        if r["pages"] == r["total"] and r["pages"] >= min(2, n):
+            by.setdefault((r["pages"], r["vector"]), []).append(r)
+    found = [sorted(c, key=lambda r: (r["place"] / r["pages"], r["token"])) for c in by.values() if len(c) > 1 or 2 * c[0]["pages"] >= n]
+    return sorted(found, key=lambda c: (-c[0]["pages"], -len(c), c[0]["token"]))
+
+
+def misplaced(tokens: list[str], place: dict[str, tuple[int, int]]) -> set[str]:
+    """A page's tokens that are out of their class's order: those outside a longest run that keeps it.
+
+    ``place``: class and rank of each token of a class.
+    """
+    seen: dict[int, list[tuple[int, str]]] = {}
     for t in tokens:
-        if t.endswith("/."):
-            name = t[:-2]
-            if name not in open_:
-                continue
-            while open_[-1] != name:
-                open_.pop()
-            open_.pop()
-        else:
-            open_.append(t)
-        out.append(t)
+        if t in place:
+            seen.setdefault(place[t][0], []).append((place[t][1], t))
+    out = set()
+    for run in seen.values():
+        if all(a[0] < b[0] for a, b in zip(run, run[1:])):
+            continue
+        ends: list[int] = []
+        at: list[int] = []
+        before: list[int] = []
+        for k, (rank, _) in enumerate(run):
+            i = bisect_left(ends, rank)
+            ends[i : i + 1] = [rank]
+            at[i : i + 1] = [k]
+            before.append(at[i - 1] if i else -1)
+        kept, k = set(), at[-1]
+        while k >= 0:
+            kept.add(k)
+            k = before[k]
+        out |= {t for k, (_, t) in enumerate(run) if k not in kept}
     return out
 
 
-def deduce(rows: list[dict]) -> dict:
-    """A host's template: its tokens in order and the slots that hold main text.
+def deduce(rows: list[dict], broken: frozenset[str] | set[str] = frozenset()) -> dict:
+    """A host's template: its tokens in order, and of each slot whether it is content, varies over its pages, and is mostly links.
 
-    ``rows`` are the host's tokens with their sums. Classes are sets of tokens
-    with the same vector; the template joins the classes whose tokens occur
-    once a page, on at least half of the pages, led by the largest.
+    ``rows`` are the host's tokens with their sums; ``broken`` are those that
+    ``misplaced`` found on any page. Valid classes are nested by their tokens'
+    paths: a closing needs its opening in the same class or one around it.
     """
-    n = max((r["pages"] for r in rows), default=0)
-    classes: dict[tuple, list[dict]] = {}
-    for r in rows:
-        if r["pages"] == r["total"] and 2 * r["pages"] >= n:
-            classes.setdefault((r["pages"], r["vector"]), []).append(r)
-    members = sorted((r for c in classes.values() for r in c), key=lambda r: (r["place"] / r["pages"], r["token"]))
-    order = nested([r["token"] for r in members])
-    valid = set(order)
-    slots = [r for r in members if r["token"] in valid and r["slots"] and not r["boiler"]]
-    inside = [r for r in slots if r["content"]]
-    if inside:
-        keep = inside
-    else:
-        varied = [r for r in slots if n < 3 or r["least"] != r["most"]] or slots
-        keep = [r for r in varied if 2 * r["links"] <= r["chars"]] or varied
-    return {"tokens": order, "keep": sorted(r["token"] for r in keep), "content": bool(inside)}
+    members = [r for c in classes(rows) for r in c if r["token"] not in broken]
+    opened = {r["token"] for r in members}
+    members = [r for r in members if not r["token"].endswith("/.") or r["token"][:-2] in opened]
+    members.sort(key=lambda r: (r["place"] / r["pages"], r["token"]))
+    slots = {
+        r["token"]: [r["content"], r["pages"] < 3 or r["least"] != r["most"], 2 * r["links"] > r["chars"]]
+        for r in members
+        if r["slots"] and not r["boiler"]
+    }
+    return {"tokens": [r["token"] for r in members], "slots": slots}
+
+
+def _places(batches: Batches) -> Batches:
+    """Class and rank of the tokens of each host."""
+    for batch in batches:
+        out = [json.dumps({r["token"]: (k, i) for k, c in enumerate(classes(rows)) for i, r in enumerate(c)}) for rows in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "template"])
+
+
+def _disorder(batches: Batches) -> Batches:
+    """Tokens that are out of order on any page of this partition, once each."""
+    told: set[tuple[str, str]] = set()
+    made: dict[str, dict] = {}
+    for batch in batches:
+        new = set()
+        for host, source, places in zip(*batch.columns, strict=True):
+            t = places.as_py()
+            if t is None:
+                continue
+            if t not in made:
+                made[t] = json.loads(t)
+            new |= {(host.as_py(), x) for x in misplaced(Page(source.as_py()).tokens, made[t])}
+        new -= told
+        told |= new
+        cols = list(zip(*sorted(new), strict=True)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["host", "token"])
 
 
 def _templates(batches: Batches) -> Batches:
     for batch in batches:
-        out = [json.dumps(deduce(rows)) for rows in batch.column(1).to_pylist()]
+        rows, broken = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        out = [json.dumps(deduce(r, set(b or ()))) for r, b in zip(rows, broken, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["host", "template"])
 
 
 def main_text(source: str | None, template: dict | None) -> str:
     """Main text of a page under its host's template.
 
-    Text after a token outside the template belongs to the slot of the last
-    template token, unless that element is boilerplate. Content elements that
-    the template doesn't know are kept too. A page that lacks every kept slot
-    is read by its own elements alone.
+    Only slots of classes that the page has count, so each layout is read by
+    its own. Text after a token outside the template belongs to the slot of the
+    last template token, unless that element is boilerplate. Content elements
+    that the template doesn't know are kept too. A page that lacks every kept
+    slot is read by its own elements alone.
     """
     page = Page(source)
-    known = set(template["tokens"]) if template else set()
-    keep = set(template["keep"]) if template else set()
+    known = template["known"] if template and "known" in template else set(template["tokens"]) if template else set()
+    slots = {t: template["slots"][t] for t in set(page.tokens) if t in template["slots"]} if template else {}
+    keep = {t for t, x in slots.items() if x[0]}
+    inside = bool(keep)
+    if not inside:
+        varied = [t for t, x in slots.items() if x[1]] or list(slots)
+        keep = {t for t in varied if not slots[t][2]} or set(varied)
     slot_of, last = [], None
     for t in page.tokens:
         if t in known:
@@ -304,7 +362,7 @@ def main_text(source: str | None, template: dict | None) -> str:
     for text, i, _, content, _ in live:
         slot = slot_of[i] if i >= 0 else None
         own = content and page.tokens[i] not in known
-        if own or (slot in keep and (content or not template["content"])):
+        if own or (slot in keep and (content or not inside)):
             chosen.append(text)
     if not chosen:
         chosen = [x[0] for x in live if x[4] <= 0.5]
@@ -320,6 +378,7 @@ def _extract(batches: Batches) -> Batches:
             t = t.as_py()
             if t is not None and t not in made:
                 made[t] = json.loads(t)
+                made[t]["known"] = set(made[t]["tokens"])
             out.append(main_text(s.as_py(), made.get(t)))
         n = pa.array([len(x) for x in out], pa.int64())
         yield pa.RecordBatch.from_arrays([page_id, url, pa.array(out, pa.string()), n], names=["page_id", "url", "text", "n_chars"])
@@ -339,15 +398,26 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         F.bit_xor("vector").alias("vector"), F.min("least").alias("least"), F.max("most").alias("most"),
         F.bool_and("boiler").alias("boiler"), F.bool_or("content").alias("content"),
     )
-    # Only tokens on two pages can be template; what is left is bounded by a host's markup, not its pages.
+    # Classes first: what goes to a host's task is bounded by its markup, not its pages.
     most = sums.groupBy("host").agg(F.max("pages").alias("n"))
-    often = sums.join(most, "host").where("2 * pages >= n and pages = total")
+    often = sums.join(most, "host").where("pages = total and pages >= least(2, n)")
     fields = [c for c in _TALLY if c != "host"]
-    grouped = often.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("rows"))
-    templates = map_arrow(grouped, _templates, "host string, template string")
-    templates = Scratch(pages.sparkSession, "html").save(templates, "templates")
+    alike = often.groupBy("host", "pages", "vector").agg(F.collect_list(F.struct(*fields)).alias("rows"), F.max("n").alias("n"))
+    grouped = alike.where("size(rows) > 1 or 2 * pages >= n").groupBy("host").agg(F.flatten(F.collect_list("rows")).alias("rows"))
+    scratch = Scratch(pages.sparkSession, "html")
+    grouped = scratch.save(grouped, "classes")
     host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1), "^.*@", ""), ":.*$", ""))
-    # Templates that fit go to the pages; many hosts' templates meet their pages in a shuffled join, whose hot hosts adaptive execution splits.
-    size = int(str(templates._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    both = pages.withColumn("host", host).join(F.broadcast(templates) if size <= MAX_BROADCAST else templates.hint("merge"), "host", "left")
+    hosted = pages.withColumn("host", host)
+    places = scratch.save(map_arrow(grouped, _places, "host string, template string"), "places")
+    tested = _with_templates(hosted, places).select("host", "html", "template")
+    broken = map_arrow(tested, _disorder, "host string, token string").groupBy("host").agg(F.collect_set("token").alias("broken"))
+    templates = map_arrow(grouped.join(broken, "host", "left").select("host", "rows", "broken"), _templates, "host string, template string")
+    templates = scratch.save(templates, "templates")
+    both = _with_templates(hosted, templates)
     return map_arrow(both.select("page_id", "url", "html", "template"), _extract, "page_id long, url string, text string, n_chars long")
+
+
+def _with_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Templates that fit go to the pages; many hosts' templates meet their pages in a shuffled join, whose hot hosts adaptive execution splits."""
+    size = int(str(templates._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return pages.join(F.broadcast(templates) if size <= MAX_BROADCAST else templates.hint("merge"), "host", "left")

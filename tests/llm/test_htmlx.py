@@ -56,3 +56,24 @@ def test_boilerplate_inside_the_article():
 def test_odd_markup():
     assert [b[0] for b in Page('<p title="a > b">x < y &lt; z<!-- > --></p><style>p{}</style>q').blocks] == ["x < y < z", "q"]
     assert Page("<p>a<script>never closed").blocks[0][0] == "a"
+
+
+def test_layouts_on_under_half_of_the_pages(spark):
+    """Three layouts of a host, each on a third of its pages: each page keeps its own varying slot and drops its own static one."""
+    rows = []
+    for i in range(12):
+        k = "abc"[i % 3]
+        rows.append((i, "http://many.example.com/", page(f'<div class="t{k}">Static {k} line</div><div class="s{k}">Story {i} told</div>'), None))
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Story {i} told" for i in range(12)}
+
+
+def test_tokens_out_of_order_leave_their_class():
+    from siltstone.llm.htmlx import misplaced
+
+    place = {t: (0, i) for i, t in enumerate("abcde")} | {"x": (1, 0)}
+    assert misplaced(list("abxcde"), place) == set()
+    assert misplaced(list("eabcxd"), place) == {"e"}
+    pages = [page(f'<div class="p">{i}</div><section class="q">Text {i}</section>') for i in range(4)]
+    t = deduce(tally(pages), {x for x in deduce(tally(pages))["tokens"] if "section" in x})
+    assert not any("section" in x for x in [*t["tokens"], *t["slots"]])
