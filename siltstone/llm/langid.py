@@ -22,8 +22,6 @@ from siltstone.llm.common import Batches, map_arrow, plus
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Most frequent 4-grams of a language that its model keeps.
-MAX_GRAMS = 200_000
 #: Languages that one set of models may hold; more raise an error.
 MAX_LANGUAGES = 500
 #: Documents of a language that calibrate the rejection, at most.
@@ -249,8 +247,7 @@ def train(docs: DataFrame, learn: Column | None = None) -> Models:
     counts = map_arrow(use.where(~aside).select("lang", "text"), _count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_lang = Window.partitionBy("lang")
-    top = counts.withColumn("place", F.row_number().over(by_lang.orderBy(F.desc("n"), "gram"))).where(F.col("place") <= MAX_GRAMS)
-    got = top.select("lang", "gram", "n").toArrow()
+    got = counts.select("lang", "gram", "n").toArrow()
     langs, g, n = (got[c].to_numpy() for c in ("lang", "gram", "n"))
     found = {}
     for lang in sorted(set(langs)):

@@ -81,3 +81,18 @@ def test_language_edges(spark):
     assert empty.collect() == []
     unlabelled = spark.createDataFrame([(1, "some text", None, None)], schema)
     assert [r.lang_pred for r in langid.language_ids(unlabelled).collect()] == ["und"]
+
+
+def test_every_gram_counts(spark):
+    """More distinct 4-grams than a model once kept: each has its own probability."""
+    import string
+
+    words = ["".join(w) for w in itertools.islice(itertools.product("あいうえおかきくけこさしすせそたちつてと" + string.ascii_lowercase, repeat=4), 0, None, 19)]
+    text = " ".join(words)
+    rows = [(i, text[k : k + 20_000], "xx") for i, k in enumerate(range(0, len(text), 20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    aside = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0).collect()}
+    want = np.unique(np.concatenate([langid.grams(langid.symbols(t), langid.ORDER) for i, t, _ in rows if i not in aside]))
+    assert len(want) > 200_000
+    models = langid.train(docs)
+    assert len(models.tables[langid.ORDER - 1][0]) == len(want)
