@@ -11,6 +11,7 @@ texts that were left out of the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,8 @@ DISCOUNT = 0.75
 MAX_LANGUAGES = 500
 #: Documents of a language that calibrate the rejection, at most.
 MAX_CALIBRATION = 400
+#: Quantile of their entropies from which a limit is taken; it doesn't drift with their number.
+RANK = 0.99
 UNKNOWN = "und"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
@@ -208,8 +211,8 @@ class Models:
         score = 1 / np.exp(np.clip((e[j] - e) * self.sharpness, -50, 0)).sum()
         return self.languages[j], float(score), float(e[j]), bool(self.limits is not None and e[j] > self.limits[j])
 
-    def calibrate(self, rows: list[tuple[str, str]], margin: float = 1.0) -> None:
-        """Fit the sharpness on left-out texts by their log-loss, and set each language's limit ``margin`` nats over its worst such text."""
+    def calibrate(self, rows: Iterable[tuple[str, str]], margin: float = 1.0) -> None:
+        """Fit the sharpness on left-out texts by their log-loss, and set each language's limit ``margin`` nats over the ``RANK`` quantile of such texts."""
         self.limits = np.full(len(self.languages), np.inf)
         got = [(self.languages.index(k), self.entropies(t)) for k, t in rows if k in self.languages]
         got = [(k, e) for k, e in got if e is not None]
@@ -225,7 +228,7 @@ class Models:
         self.sharpness = float(min(losses)[1])
         for k in range(len(self.languages)):
             if (y == k).any():
-                self.limits[k] = e[y == k, k].max() + margin
+                self.limits[k] = np.quantile(e[y == k, k], RANK) + margin
 
 
 def learnable(doc_id: str = "doc_id") -> Column:
@@ -236,17 +239,24 @@ def learnable(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, learn: Column | None = None) -> Models:
     """Models of the languages named in ``lang``, from rows where ``learn`` holds.
 
-    Counts cover all these rows; those of one id hash in 64 are left out of the
-    counts and calibrate the models (``MAX_CALIBRATION`` texts of a language at
-    most). Null languages and texts without letters teach nothing.
+    Counts cover all these rows but the texts that calibrate the models: of one
+    id hash in 64, the ``MAX_CALIBRATION`` least by another hash in each
+    language. Null languages and texts without letters teach nothing.
     """
     use = docs.where("lang is not null and text is not null")
     if learn is not None:
         use = use.where(learn)
-    aside = F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0
-    counts = map_arrow(use.where(~aside).select("lang", "text"), _count, "lang string, gram long, n long")
-    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    use = use.select("lang", "text", "doc_id")
+    aside = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0, F.lit(False))
     by_lang = Window.partitionBy("lang")
+    draw = F.xxhash64("doc_id", "lang", "text")
+    few = use.where(aside).select("lang", "text", draw.alias("draw"))
+    few = few.withColumn("place", F.row_number().over(by_lang.orderBy("draw"))).where(F.col("place") <= MAX_CALIBRATION)
+    last = few.groupBy("lang").agg(F.max("draw").alias("last"))
+    # Rows that repeat a drawn text under its id stay out of the counts with it.
+    rest = use.join(F.broadcast(last), "lang", "left").where(~aside | (draw > F.col("last")))
+    counts = map_arrow(rest.select("lang", "text"), _count, "lang string, gram long, n long")
+    counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.select("lang", "gram", "n").toArrow()
     langs, g, n = (got[c].to_numpy() for c in ("lang", "gram", "n"))
     found = {}
@@ -257,10 +267,7 @@ def train(docs: DataFrame, learn: Column | None = None) -> Models:
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"{len(found)} languages; the models hold {MAX_LANGUAGES}")
     models = Models.build(found)
-    few = use.where(aside).withColumn("place", F.row_number().over(by_lang.orderBy(F.octet_length("text"), "doc_id")))
-    # Short texts vary most, so the shortest calibrate the limits.
-    few = few.where(F.col("place") <= MAX_CALIBRATION).select("lang", "text")
-    models.calibrate(sorted((r.lang, r.text) for r in few.collect()))
+    models.calibrate((r.lang, r.text) for r in few.select("lang", "text", "draw").orderBy("lang", "draw").toLocalIterator())
     return models
 
 

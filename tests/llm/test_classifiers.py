@@ -96,3 +96,21 @@ def test_every_gram_counts(spark):
     assert len(want) > 200_000
     models = langid.train(docs)
     assert len(models.tables[langid.ORDER - 1][0]) == len(want)
+
+
+def test_texts_beyond_the_calibration_are_counted(spark, monkeypatch):
+    """Few of the left-out texts calibrate; the words of the others are learnt."""
+    monkeypatch.setattr(langid, "MAX_CALIBRATION", 3)
+    ids = [r.id for r in spark.range(4000).where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).collect()]
+    word = {i: "".join(chr(0x4E00 + 40 * k + j) for j in range(20)) for k, i in enumerate(ids)}
+    docs = spark.createDataFrame([(i, word.get(i, "the cat and the dog"), "xx") for i in range(4000)], "doc_id long, text string, lang string")
+    known = set(langid.train(docs).tables[langid.ORDER - 1][0].tolist())
+    learnt = [i for i in ids if all(int(h) in known for h in langid.grams(langid.symbols(word[i]), langid.ORDER) * langid._SPREAD)]
+    assert len(learnt) == len(ids) - 3
+
+
+def test_limit_does_not_follow_the_worst_text():
+    x = langid.grams(langid.symbols("the cat and the dog " * 20), langid.ORDER)
+    m = langid.Models.build({"xx": np.unique(x, return_counts=True)})
+    m.calibrate([("xx", "the cat and the dog")] * 400 + [("xx", "zzqqxx")])
+    assert m.predict("zzqqxx")[3] and not m.predict("the dog and the cat")[3]
