@@ -15,6 +15,7 @@ are of bounded size and so are the histograms; the rows are never gathered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,13 @@ from siltstone.llm.common import Batches, Scratch, map_arrow
 SCALE = 1024
 #: Queries in a block, and bits of a score that one round of histograms settles.
 BLOCK, BITS = 4096, 9
-#: Larger integers are out of range: a sum of their products may not fit 64 bits.
-LIMIT = 2**25
+#: The largest score that fits 64 bits.
+MOST = 2**63 - 1
+
+
+def limit(d: int) -> int:
+    """Integers up to which no sum of d products leaves 64 bits; vectors with a larger one are out of range."""
+    return math.isqrt(MOST // d)
 
 
 def integer_vectors(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,14 +45,14 @@ def integer_vectors(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarr
         return
     got, lists = rows["id"].combine_chunks(), rows["v"].combine_chunks()
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    for d in np.unique(lengths):
+    for d in np.unique(lengths).tolist():
         if d == 0:
             continue
         pick = pa.array(np.flatnonzero(lengths == d))
         flat = pc.list_flatten(lists.take(pick)).cast(pa.float64())
         m = flat.to_numpy(zero_copy_only=False).reshape(-1, d)  # nulls turn into NaN
         m = np.floor(m * SCALE)
-        ok = np.isfinite(m).all(axis=1) & (np.abs(m) <= LIMIT).all(axis=1)
+        ok = np.isfinite(m).all(axis=1) & (np.abs(m) <= limit(d)).all(axis=1)
         if ok.any():
             yield got.take(pick).to_numpy(zero_copy_only=False)[ok], m[ok]
 
@@ -72,8 +78,9 @@ def _histograms(queries: dict, low: dict, shift: int, bits: int, k: int):
                 step = max(64, 2**20 // len(own))  # bounds the score matrix
                 for i in range(0, len(ids), step):
                     s, same = _scores(ids[i : i + step], m[i : i + step], own, q)
-                    at = np.minimum((s - low[d][:, None]) >> shift, 2**bits)
-                    use = (at >= 0) & ~same
+                    over = s.view(np.uint64) - low[d].view(np.uint64)[:, None]  # modulo 2**64: right wherever s isn't lower
+                    at = np.minimum(over >> np.uint64(shift), np.uint64(2**bits)).astype(np.int64)
+                    use = (s >= low[d][:, None]) & ~same
                     row = np.broadcast_to(np.arange(len(own))[:, None], at.shape)
                     flat = row[use] * (2**bits + 1) + at[use]
                     total[d] += np.bincount(flat, minlength=total[d].size).reshape(total[d].shape)
@@ -117,10 +124,9 @@ def _matches(queries: dict, kth: dict, k: int):
 
 def _kth(rows: DataFrame, queries: dict, k: int) -> dict:
     """For each query its k-th highest score, or its lowest if it has fewer."""
-    peak = {d: np.abs(q).sum(axis=1).max() for d, (_, q) in queries.items()}
-    bound = int(max(peak.values()) * LIMIT)
-    largest = rows.select(F.max(F.array_max(F.transform("embedding", lambda x: F.when(F.abs(x) < LIMIT, F.abs(x)))))).first()[0]
-    bound = min(bound, int(max(peak.values()) * ((largest or 0) * SCALE + 1))) + 1
+    largest = rows.select(F.max(F.array_max(F.transform("embedding", lambda x: F.when(F.abs(x) * SCALE <= limit(1), F.abs(x)))))).first()[0]
+    part = {d: min(limit(d), int((largest or 0) * SCALE) + 1) for d in queries}
+    bound = min(MOST, max(int(np.abs(q).sum(axis=1).max()) * part[d] for d, (_, q) in queries.items()) + 1)
     width = max(BITS, (2 * bound + 1).bit_length())
     low = {d: np.full(len(o), -bound, np.int64) for d, (o, _) in queries.items()}
     above = {d: np.zeros(len(o), np.int64) for d, (o, _) in queries.items()}  # scores over the current bin
@@ -137,7 +143,7 @@ def _kth(rows: DataFrame, queries: dict, k: int) -> dict:
             over = np.cumsum(h[:, ::-1], axis=1)[:, ::-1]  # scores in this bin or a higher one
             full = over[:, : 2**bits] >= k
             at = np.where(full.any(axis=1), 2**bits - 1 - np.argmax(full[:, ::-1], axis=1), 0)
-            low[d] = low[d] + (at.astype(np.int64) << shift)
+            low[d] = (low[d].view(np.uint64) + (at.astype(np.uint64) << np.uint64(shift))).view(np.int64)
     return low
 
 

@@ -41,3 +41,13 @@ def test_few_and_none(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in one] == [(0, 1, 1, -(1024**2))]
     twice = top_k(spark.createDataFrame([(0, [1.0], None), (0, [1.0], None), (3, [1.0], None)], SCHEMA), F.col("vec_id") % 10 == 0).collect()
     assert [(r.query_id, r.vec_id) for r in twice] == [(0, 3)]
+
+
+def test_large_finite_vectors(spark):
+    """Unscaled parts far over 32,768, up to the edge of 64 bits, count as queries and as candidates."""
+    rnd = random.Random(4)
+    edge = math.isqrt((2**63 - 1) // 8) // 1024 - 1000
+    rows = [(i, [rnd.uniform(-1, 1) * 10 ** rnd.randint(0, 6) for _ in range(8)], None) for i in range(40)]
+    rows += [(50, [float(edge)] * 8, None), (51, [float(-edge)] * 8, None), (52, [float(edge)] * 8, None), (60, [40_000.0] * 8, None)]
+    got = top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 10 == 0, 60)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == brute(rows, 60)
