@@ -37,7 +37,7 @@ def conversation_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[
     """Conversations of one chat with replies, message by message in batches ordered by time.
 
     State: the current conversation, the last time, and the conversations of
-    the newest ``KEPT_TARGETS`` messages, which replies can still name.
+    all messages, which replies can name; it grows with the chat.
     """
     cur, last, ids, convs = state.get if state.exists else (-1, None, [], [])
     known = dict(zip(ids, convs, strict=True))
@@ -56,15 +56,10 @@ def conversation_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[
         last = at
         known[int(r.message_id)] = conv
         out.append((key[0], int(r.message_id), conv))
-    kept = list(known.items())[-KEPT_TARGETS:]
-    state.update((cur, last, [k for k, _ in kept], [v for _, v in kept]))
+    state.update((cur, last, list(known), list(known.values())))
     yield pd.DataFrame(out, columns=["chat_id", "message_id", "conversation"])
 
 
-#: Messages of a chat whose conversations the state keeps for replies.
-KEPT_TARGETS = 10_000
-
-
 def streaming_conversations(messages: DataFrame) -> DataFrame:
     """Messages with their conversation as they come, chat by chat."""
     return messages.groupBy("chat_id").applyInPandasWithState(

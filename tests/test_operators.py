@@ -265,3 +265,20 @@ def test_identities_and_content(spark):
     stored = spark.createDataFrame([("git_code:r", "r:b.go", "code"), ("git_docs:r", "r:a.md", "doc")], "source string, source_id string, body string")
     out = {r.request_id: (r.content, r.origin, r.missing) for r in files.resolved_content(req, local, stored).collect()}
     assert out == {1: ("2", "checkout", False), 2: (None, None, True), 3: ("code", "git_code", False)}
+
+
+def test_stream_replies_to_old_messages():
+    """A reply finds its target however many messages came between."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from siltstone.streaming import jobs
+
+    state = SimpleNamespace(exists=False, get=None)
+    state.update = lambda x: vars(state).update(exists=True, get=x)
+    at = pd.Timestamp("2024-01-01")
+    rows = [(1, at, None)] + [(i, at + pd.Timedelta(hours=2), None) for i in range(2, 10_010)]
+    run = lambda r: list(jobs.conversation_state((7,), iter([pd.DataFrame(r, columns=["message_id", "date", "reply_to"])]), state))[0]
+    run(rows)
+    assert run([(20_000, at + pd.Timedelta(hours=3), 1)]).conversation.tolist() == [0]
