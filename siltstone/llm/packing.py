@@ -19,6 +19,7 @@ their counts of windows.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Batches, Scratch, map_arrow
-from siltstone.llm.tokens import Encoder, crc_of, default_tokenizer
+from siltstone.llm.tokens import Encoded, Encoder, default_tokenizer, raw_text
 
 WINDOW = 2048
 RUN_IDS = 2_000_000
@@ -39,24 +40,24 @@ LONG, STEP = 128, 32
 LEAST_POWER, POWER_COST = 512, 24
 
 
-def cut_points(n: int, word_ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cuts within a document of n ids, its end last, and their penalties."""
-    sentences = word_ends[stops]
-    sentences = sentences[(sentences > 0) & (sentences < n - 1)]
-    at = np.unique(np.concatenate([[0], sentences, [n]]))
-    extra = []
-    for i in np.flatnonzero(np.diff(at) > LONG):
-        want = np.arange(at[i] + STEP, at[i + 1], STEP)
-        if len(word_ends):
-            near = word_ends[np.minimum(np.searchsorted(word_ends, want), len(word_ends) - 1)]
-            want = np.where((near - want < STEP) & (near >= want), near, want)
-        extra.append(want[(want > at[i]) & (want < at[i + 1])])
-    words = np.unique(np.concatenate(extra)) if extra else np.empty(0, np.int64)
-    points = np.concatenate([at[1:], words])
-    cost = np.concatenate([np.full(len(at) - 1, SENTENCE_PENALTY), np.full(len(words), WORD_PENALTY)])
-    cost[len(at) - 2] = 0
+def cut_points(doc_ends: np.ndarray, word_ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts within a run of documents whose last ids stand before ``doc_ends``, in order, and their penalties."""
+    sentences = np.setdiff1d(word_ends[stops], np.concatenate([doc_ends, doc_ends - 1]))
+    at = np.union1d(doc_ends, sentences)
+    cost = np.where(np.isin(at, doc_ends, assume_unique=True), 0, SENTENCE_PENALTY)
+    low = np.concatenate([[0], at[:-1]])
+    far = at - low > LONG
+    low, high = low[far], at[far]
+    n = -(-(high - low) // STEP) - 1  # cuts every STEP ids inside each long stretch
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+    want, high = np.repeat(low, n) + nth * STEP, np.repeat(high, n)
+    if len(word_ends):
+        near = word_ends[np.minimum(np.searchsorted(word_ends, want), len(word_ends) - 1)]
+        want = np.where((near - want < STEP) & (near >= want), near, want)
+    words = np.unique(want[want < high])
+    points = np.concatenate([at, words])
     order = np.argsort(points, kind="stable")
-    return points[order], cost[order]
+    return points[order], np.concatenate([cost, np.full(len(words), WORD_PENALTY)])[order]
 
 
 def best_cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
@@ -97,60 +98,73 @@ def best_cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> li
 
 
 class _Run:
+    """Documents in order as one stream of ids."""
+
     def __init__(self):
-        self.docs: list[tuple[int | None, np.ndarray]] = []
-        self.points: list[np.ndarray] = []
-        self.costs: list[np.ndarray] = []
+        self.doc_ids: list[int | None] = []
+        self.ids: list[np.ndarray] = []
+        self.doc_ends: list[np.ndarray] = []
+        self.word_ends: list[np.ndarray] = []
+        self.stops: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, doc_id, ids, word_ends, stops) -> None:
-        points, cost = cut_points(len(ids), word_ends, stops)
-        self.docs.append((doc_id, ids))
-        self.points.append(points + self.n)
-        self.costs.append(cost)
+    def add(self, doc_ids: list[int | None], got: Encoded, end_id: int) -> None:
+        """A chunk of documents, each followed by the end id; of one that goes on in the next chunk there is no end."""
+        ids, ends, words = got.ids, got.ends, got.word_ends
+        if not got.goes_on:
+            words = words + np.searchsorted(ends, words)
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            self.doc_ids += doc_ids
+            self.doc_ends.append(ends + self.n)
+        self.ids.append(ids)
+        self.word_ends.append(words + self.n)
+        self.stops.append(got.stops)
         self.n += len(ids)
 
-    def pieces(self, window: int, first: int) -> tuple[list[tuple], int]:
-        """(doc, start, length, crc, doc ids, sequence, offset) and the number of sequences."""
-        cuts = best_cuts(np.concatenate(self.points).tolist(), np.concatenate(self.costs).tolist(), window)
-        out, base, s = [], 0, 0
-        begin = 0  # of sequence s
-        for doc_id, ids in self.docs:
-            a, end = base, base + len(ids)
-            while a < end:
-                while cuts[s] <= a:
-                    begin = cuts[s]
-                    s += 1
-                b = min(end, cuts[s])
-                out.append((doc_id, a - base, b - a, crc_of(ids[a - base : b - base]), len(ids), first + s, a - begin))
-                a = b
-            base = end
-        return out, len(cuts)
+    def pieces(self, window: int, first: int, part: int) -> tuple[pa.RecordBatch, int]:
+        """The rows of this run and its number of sequences."""
+        doc_ends = np.concatenate(self.doc_ends)
+        points, cost = cut_points(doc_ends, np.concatenate(self.word_ends), np.concatenate(self.stops))
+        cuts = np.array(best_cuts(points.tolist(), cost.tolist(), window))
+        ends = np.union1d(doc_ends, cuts)
+        starts = np.concatenate([[0], ends[:-1]])
+        doc = np.searchsorted(doc_ends, starts, "right")
+        sequence = np.searchsorted(cuts, starts, "right")
+        doc_starts, cut_starts = np.concatenate([[0], doc_ends[:-1]]), np.concatenate([[0], cuts[:-1]])
+        ids = np.concatenate(self.ids).astype("<u4")
+        crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        cols = [
+            pa.array(self.doc_ids, pa.int64()).take(pa.array(doc)), starts - doc_starts[doc], ends - starts, crcs,
+            (doc_ends - doc_starts)[doc], first + sequence, starts - cut_starts[sequence], np.full(len(doc), part),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_COLUMNS), len(cuts)
 
 
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "local", "offset", "part"]
 
 
 def _pack(tokenizer: str, end_id: int, window: int):
-    def batch_of(rows: list[tuple], part: int) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) + [[part] * len(rows)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=_COLUMNS)
-
     def run(batches: Batches) -> Batches:
         enc = Encoder.of(tokenizer)
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], enc.dtype)
+        waiting: deque[int | None] = deque()
+
+        def texts():
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    waiting.append(doc_id)
+                    yield raw_text(text)
+
         first, now = 0, _Run()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, word_ends, stops = enc.ids_and_ends(text.as_py())
-                now.add(doc_id, np.concatenate([ids, end]), word_ends, stops)
-                if now.n >= RUN_IDS:
-                    rows, k = now.pieces(window, first)
-                    yield batch_of(rows, part)
-                    first, now = first + k, _Run()
+        for got in enc.chunks(texts()):
+            now.add([] if got.goes_on else [waiting.popleft() for _ in got.ends], got, end_id)
+            if now.n >= RUN_IDS and not got.goes_on:
+                rows, k = now.pieces(window, first, part)
+                yield rows
+                first, now = first + k, _Run()
         if now.n:
-            yield batch_of(now.pieces(window, first)[0], part)
+            yield now.pieces(window, first, part)[0]
 
     return run
 

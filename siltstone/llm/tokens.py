@@ -1,10 +1,11 @@
 """Token ids by the ``tokenizers`` library, and their fixed-width binary files.
 
-The encoder splits texts at ASCII white space, which no token of the word-level
-BPE crosses, and keeps the ids of words it has met; a new word of plain Latin
-letters is split as the tokenizer's own pattern does and handed to the BPE
-model, any other word to the whole tokenizer. Results equal ``encode`` of the
-whole text.
+The encoder cuts texts at ASCII white space, which no token of the word-level
+BPE crosses, and words of plain Latin letters further into letters, digits and
+symbols, as the tokenizer's own pattern does. Cutting and looking up parts that
+it has met is done for a megabyte at a time (``units``); a new part is handed to
+the BPE model, any other word to the whole tokenizer. Results equal ``encode``
+of the whole text.
 
 A file holds blocks of ``BLOCK`` ids, each id in the minimum bits for the
 vocabulary, then a footer with the documents' ids and starts and the byte
@@ -19,7 +20,9 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +32,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm import units
 from siltstone.llm.common import Batches, Scratch, map_arrow
 
 TOKENIZER = "word_bpe_49k.json"
 BLOCK = 4096
 MAGIC = b"SILTTOK1"
-#: Words and word parts that a worker keeps with their ids.
-KEPT_WORDS, KEPT_PARTS = 600_000, 400_000
+#: Units that a worker keeps with their ids, about; and ids of these. Beyond that it starts afresh.
+KEPT_UNITS, KEPT_IDS = 1_000_000, 8_000_000
 
 _PLAIN = re.compile("[!-&(-~¡-įı-˿]+").fullmatch
 _PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_NOTHING = np.empty(0, np.int64)
+
+# Classes of bytes: white space, letters, digits, symbols, and what only the tokenizer itself can judge.
+_LETTER, _DIGIT, _SYMBOL, _OTHER = 1, 2, 3, 4
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:39] = _CLASS[40:127] = _SYMBOL
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[units.SPACE] = 0
+#: Second bytes of two-byte Latin letters (first byte 0xC3), and those of upper case.
+_SECOND, _UPPER_SECOND = np.zeros(256, bool), np.zeros(256, bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+_UPPER_SECOND[0x80:0x9F] = _SECOND[0x80:0x9F]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def default_tokenizer() -> str:
@@ -59,6 +79,17 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+@dataclass
+class Encoded:
+    """Texts of a chunk: their ids, where each text ends, where words end and whether a sentence does, and whether the last text goes on in the next chunk."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    word_ends: np.ndarray
+    stops: np.ndarray
+    goes_on: bool = False
+
+
 class Encoder:
     """Whole texts to ids; one instance for each worker and file."""
 
@@ -71,13 +102,23 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 2**16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u4")
+        self.table = units.KeyTable(21)
+        self._clear()
         sample = "Plain Words, über-große naïve; x2=10% (ok)..."
         whole = self.tokenizer.encode(sample, add_special_tokens=False).ids
         #: Other tokenizers than word-level BPE go through ``encode`` alone.
-        self.by_word = self._by_word(sample) == whole
+        self.by_word = True
+        self.by_word = self.ids(sample).tolist() == whole
+        self._clear()
+
+    def _clear(self) -> None:
+        self.table.clear()
+        self.others: dict[bytes, int] = {}
+        self.n_units = self.n_ids = 0
+        self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool = np.zeros(1 << 18, self.dtype)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -85,60 +126,123 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _by_word(self, text: str) -> list[int]:
-        try:
-            return np.frombuffer(b"".join(self.pieces(text.encode().split())), self.dtype).tolist()
-        finally:
-            self.words.clear()
-            self.parts.clear()
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            mapped = "".join([self.letters[b] for b in part.encode()])
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], self.dtype).tobytes()
-            if len(self.parts) < KEPT_PARTS:
-                self.parts[part] = got
-        return got
-
-    def _word(self, word: bytes) -> bytes:
+    def _keep(self, found: list[list[int]]) -> np.ndarray:
+        """Store the ids of new units; returns their numbers."""
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), self.dtype, int(counts.sum()))
+        first, last = self.n_units, self.n_units + len(found)
+        while last > len(self.start):
+            self.start, self.count = np.append(self.start, np.zeros_like(self.start)), np.append(self.count, np.zeros_like(self.count))
+        while self.n_ids + len(flat) > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.start[first:last] = self.n_ids + np.cumsum(counts) - counts
+        self.count[first:last] = counts
+        self.pool[self.n_ids : self.n_ids + len(flat)] = flat
+        self.n_units, self.n_ids = last, self.n_ids + len(flat)
+        return np.arange(first, last)
+
+    def _word(self, word: bytes) -> list[int]:
+        """A word that the byte classes don't settle."""
         text = word.decode()
-        if _PLAIN(text) and "<|" not in text:
-            got = b"".join(map(self._part, _PARTS(text.lower())))
+        if not _PLAIN(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        cut, letters = self.tokenizer.model.tokenize, self.letters
+        mapped = ["".join([chr(letters[b]) for b in part.encode()]) for part in _PARTS(text.lower())]
+        return [t.id for part in mapped for t in cut(part)]
+
+    def _chunk(self, raw: bytes, ends: list[int], goes_on: bool) -> Encoded:
+        if self.n_units > KEPT_UNITS or self.n_ids > KEPT_IDS:
+            self._clear()
+        padded = np.frombuffer(raw, np.uint8)
+        codes = padded[: -units.KEY_BYTES]
+        kind, low = _CLASS[codes], _LOWER[padded]
+        two = np.flatnonzero(codes[:-1] == 0xC3)
+        if len(two):
+            second = codes[two + 1]
+            two = two[_SECOND[second]]
+            kind[two] = kind[two + 1] = _LETTER
+            low[two + 1] += np.where(_UPPER_SECOND[codes[two + 1]], 32, 0).astype(np.uint8)
+        if b"<|" in raw:
+            at = np.flatnonzero((codes[:-1] == 60) & (codes[1:] == 124))
+            kind[at] = _OTHER
+        odd = kind == _OTHER
+        if odd.any():  # the whole words that have such bytes
+            filled = kind > 0
+            edge = np.diff(filled.astype(np.int8), prepend=0)
+            first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+            so_far = np.concatenate([[0], np.cumsum(odd)])
+            bad = so_far[last] > so_far[first]
+            mark = np.zeros(len(kind) + 1, np.int8)
+            mark[first[bad]] = 1
+            mark[last[bad]] = -1
+            inside = np.cumsum(mark[:-1]).astype(bool)
+            kind[inside] = _OTHER
+            low[: len(codes)][inside] = codes[inside]
+        before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
+        start = np.flatnonzero((kind > 0) & ((kind != before) | (kind == _DIGIT)))
+        end = np.flatnonzero((kind[:-1] > 0) & ((kind[:-1] != kind[1:]) | (kind[:-1] == _DIGIT))) + 1
+        size = end - start
+        number = np.empty(len(start), np.int64)
+        alone = (kind[start] == _OTHER) | (size > units.KEY_BYTES)
+        easy = np.flatnonzero(~alone)
+        k1, k2 = units.keys_of(low, start[easy], size[easy])
+        number[easy] = self.table.find(k1, k2)
+        new = np.flatnonzero(number[easy] < 0)
+        if len(new):
+            rep, same = units.distinct(k1[new], k2[new])
+            mapped = self.letters[low].tobytes().decode("utf-32-le")
+            cut = self.tokenizer.model.tokenize
+            pick = easy[new[rep]]
+            fresh = self._keep([[t.id for t in cut(mapped[a:b])] for a, b in zip(start[pick].tolist(), end[pick].tolist(), strict=True)])
+            self.table.add(k1[new[rep]], k2[new[rep]], fresh)
+            number[easy[new]] = fresh[same]
+        for i in np.flatnonzero(alone).tolist():
+            a, b = int(start[i]), int(end[i])
+            word = raw[a:b] if kind[a] == _OTHER else low[a:b].tobytes()
+            known = self.others.get(word)
+            if known is None:
+                known = self.others[word] = int(self._keep([self._word(word)])[0])
+            number[i] = known
+        count = self.count[number]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.pool[np.repeat(self.start[number] - upto + count, count) + np.arange(total)]
+        whole = kind[end] == 0  # units that end a word
+        last = codes[end[whole] - 1]
+        text_ends = np.concatenate([[0], upto])[np.searchsorted(start, ends)]
+        return Encoded(ids, text_ends, upto[whole], (last == 46) | (last == 33) | (last == 63), goes_on)
+
+    def chunks(self, texts: Iterable[bytes]) -> Iterator[Encoded]:
+        """Ids of UTF-8 texts, in chunks of bounded size; a long text takes several."""
+        if self.by_word:
+            for raw, ends, goes_on in units.chunks(texts):
+                yield self._chunk(raw, ends, goes_on)
         else:
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self.words) < KEPT_WORDS:
-            self.words[word] = got
-        return got
-
-    def pieces(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes of ``dtype``."""
-        known = self.words
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            return [known.get(w) or self._word(w) for w in words]
+            for text in texts:
+                x = np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype)
+                yield Encoded(x, np.array([len(x)]), _NOTHING, np.empty(0, bool))
+
+    def texts(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        wait: list[np.ndarray] = []
+        for got in self.chunks(texts):
+            if got.goes_on or wait:
+                wait.append(got.ids)
+                if not got.goes_on:
+                    yield np.concatenate(wait)
+                    wait = []
+                continue
+            at = 0
+            for end in got.ends.tolist():
+                yield got.ids[at:end]
+                at = end
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
-        if self.by_word:
-            return np.frombuffer(b"".join(self.pieces(text.encode().split())), self.dtype)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def ids_and_ends(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, the position after each word, and whether a sentence ends there."""
-        if not text or not self.by_word:
-            x = self.ids(text)
-            return x, np.empty(0, np.int64), np.empty(0, bool)
-        raw = text.encode()
-        pieces = self.pieces(raw.split())
-        at = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) // self.dtype.itemsize
-        codes = np.frombuffer(raw, np.uint8)
-        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
-        last = codes[~space & np.append(space[1:], True)]  # of each word
-        stops = (last == 46) | (last == 33) | (last == 63)
-        return np.frombuffer(b"".join(pieces), self.dtype), at, stops
+        return next(self.texts([(text or "").encode()]))
+
+
+def raw_text(text: pa.StringScalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -277,8 +381,8 @@ def _write(out_dir: str, tokenizer: str, end_id: int):
         with fs.open_output_stream(trial) as out:
             w = PackedWriter(out, width(max(enc.vocabulary, end_id + 1)))
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    w.add(doc_id, np.concatenate([enc.ids(text.as_py()), end]))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.texts(map(raw_text, batch.column(1))), strict=True):
+                    w.add(doc_id, np.concatenate([ids, end]))
             w.close()
         fs.move(trial, f"{root}/{name}")  # a repeated task replaces its own file by the same bytes
         yield pa.RecordBatch.from_arrays(

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from siltstone.llm import tokens, units
 from siltstone.llm.packing import best_cuts, pack_documents
 from siltstone.llm.tokens import Encoder, PackedReader, PackedWriter, default_tokenizer, pack, token_output, unpack, width
 
@@ -34,6 +35,41 @@ def test_encoder_equals_encode(text):
     assert Encoder.of(default_tokenizer()).ids(text).tolist() == whole(text)
 
 
+def test_chunks_of_long_texts():
+    """Texts cut into many chunks give the ids of the whole text."""
+    texts = [t for t in TEXTS if t] + [" ".join(t for t in TEXTS if t) * 3]
+    want = [whole(t) for t in texts]
+    enc = Encoder(default_tokenizer())
+    for most in (40, 700, 1 << 20):
+        cut = units.chunks
+        try:
+            units.chunks = lambda x, most=most: cut(x, most)
+            assert [x.tolist() for x in enc.texts([t.encode() for t in texts])] == want
+        finally:
+            units.chunks = cut
+
+
+def test_an_encoder_that_starts_afresh(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_UNITS", 5)
+    enc = Encoder(default_tokenizer())
+    for t in TEXTS:
+        assert enc.ids(t).tolist() == whole(t)
+
+
+def test_key_table_with_crowded_places():
+    rng = np.random.default_rng(3)
+    for bits, n in ((8, 180), (12, 2000)):
+        k1, k2 = rng.integers(1, 50, n, dtype=np.uint64), rng.integers(0, 50, n, dtype=np.uint64)
+        at, same = units.distinct(k1, k2)
+        assert (k1[at][same] == k1).all() and (k2[at][same] == k2).all() and len(at) == len({*zip(k1.tolist(), k2.tolist())})
+        table = units.KeyTable(bits)
+        half = len(at) // 2
+        table.add(k1[at[:half]], k2[at[:half]], np.arange(half))
+        table.add(k1[at[half:]], k2[at[half:]], np.arange(half, len(at)))
+        assert (table.find(k1, k2) == same).all()
+        assert (table.find(k1 + np.uint64(100), k2) == -1).all()
+
+
 def test_widths_round_trip():
     rng = np.random.default_rng(1)
     for bits in (1, 7, 8, 13, 16, 17, 31, 32):
