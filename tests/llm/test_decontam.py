@@ -1,5 +1,8 @@
+import math
 import random
+from collections import Counter
 
+from siltstone.llm import decontam, units
 from siltstone.llm.decontam import Index, find_leaks, question_and_answer, words_of
 
 
@@ -11,33 +14,64 @@ def make(seed=1, n=60):
     return rnd, sentence, items
 
 
-def brute(index_rows, threshold, words, window):
-    """Scores of every item by the plain formula, all passages."""
-    ix = Index.build(index_rows)
+def brute(rows, threshold, words, k1=1.2, b=0.75):
+    """Best scores of every item over all passages, from the BM25 formula and the items' texts alone."""
+    bags = {i: words_of(t) for i, t in rows}
+    n, mean = len(bags), sum(map(len, bags.values())) / len(bags)
+    df = Counter(w for bag in bags.values() for w in set(bag))
+    weights = {}
+    for i, bag in bags.items():
+        tf = Counter(bag)
+        x = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(bag) / mean)) for w, c in tf.items()}
+        weights[i] = {w: v / sum(x.values()) for w, v in x.items()}
+    window = max(map(len, bags.values())) + 32
     best = {}
     for s in range(0, max(1, len(words) - window + 32), 32):
-        have = {ix.terms[w] for w in words[s : s + window] if w in ix.terms}
-        score = {}
-        for t in have:
-            for j, x in zip(*ix.postings[t], strict=True):
-                score[j] = score.get(j, 0) + x
-        for j, x in score.items():
-            if x >= threshold:
-                best[ix.items[j]] = max(best.get(ix.items[j], 0), x)
+        have = set(words[s : s + window])
+        for i, x in weights.items():
+            score = sum(v for w, v in x.items() if w in have)
+            if score >= threshold:
+                best[i] = max(best.get(i, 0), score)
     return best
 
 
 def test_retrieval_equals_full_scoring():
     rnd, sentence, items = make()
     ix = Index.build(items)
+    texts = []
     for k in range(25):
         parts = [sentence(12) for _ in range(40)] + [" ".join(rnd.sample(items[rnd.randrange(60)][1].split(), 9))]
         if k % 2:
             parts.insert(rnd.randrange(30), items[rnd.randrange(60)][1])
-        text = " ".join(parts)
-        got = {i: s for i, s, *_ in ix.search(text, 0.3, 0.0)}
-        want = brute(items, 0.3, words_of(text), ix.window)
-        assert {i: round(s, 6) for i, s in got.items()} == {i: round(s, 6) for i, s in want.items()}
+        if k % 5 == 0:
+            parts.insert(3, "Çà “où” – Ünï ×ß Ω日本 ﬁ²")
+        texts.append(" ".join(parts))
+    texts += ["", " ", "the", items[3][1].upper()]
+    got = ix.search_many([t.encode() for t in texts], 0.3, 0.0)
+    for text, found in zip(texts, got, strict=True):
+        assert {i: round(s, 6) for i, s, *_ in found} == {i: round(s, 6) for i, s in brute(items, 0.3, words_of(text)).items()}
+    assert sum(map(len, got)) > 15
+
+
+def test_chunks_and_blocks_do_not_matter(monkeypatch):
+    rnd, sentence, items = make(3)
+    texts = [" ".join([sentence(12) for _ in range(rnd.randint(0, 60))] + [items[rnd.randrange(60)][1]] * (k % 2)).encode() for k in range(30)]
+    want = Index.build(items).search_many(texts)
+    monkeypatch.setattr(decontam, "CELLS", 64)
+    monkeypatch.setattr(decontam, "ITEMS_IN_BLOCK", 3)
+    whole = units.chunks
+    monkeypatch.setattr(units, "chunks", lambda t: whole(t, 300))
+    assert Index.build(items).search_many(texts) == want and sum(map(len, want)) >= 15
+
+
+def test_a_long_item_does_not_widen_passages():
+    rnd, sentence, items = make(4)
+    long = " ".join(sentence(12) for _ in range(120)) + " Which one is it then? " + sentence(9)
+    ix = Index.build([*items, (500, long)])
+    assert ix.window < 300
+    clean = " ".join(sentence(12) for _ in range(90))
+    got = ix.search_many([(clean + " " + long + " " + clean).encode(), clean.encode(), (clean + items[8][1]).encode(), long[: len(long) // 3].encode()])
+    assert [[i for i, *_ in x] for x in got] == [[500], [], [8], []]
 
 
 def test_leaks(spark):
