@@ -30,7 +30,7 @@ def _query(fn):
 
 @_query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
 
 
 ORACLES["op1_minhash_dedup"] = r"""

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import Batches, map_arrow, plus
@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_r
 
     ``learn`` is a condition on the labels' ``doc_id``. Labels other than 0 and
     1 and null ids are ignored; of labels that disagree for an id the lower
-    holds. No usable labels: every score is 0.5.
+    holds, and of documents that repeat an id one is learnt from. No usable
+    labels: every score is 0.5.
     """
     use = labels.where("doc_id is not null and quality in (0, 1)")
     if learn is not None:
@@ -183,10 +184,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_r
     use = use.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     own = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"))
-    rows = own.join(F.broadcast(use), "doc_id").select("doc_id", "text", "n_chars", "label")  # max_rows rows at most
+    rows = own.join(F.broadcast(use), "doc_id").select("doc_id", "text", "n_chars", "label")  # max_rows ids at most
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "n_chars"), "text", "n_chars")
+    rows = rows.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
     got = map_arrow(rows, _featurise, "doc_id long, index array<long>, value array<double>, label int").toArrow()
     order = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "label", "value", "index")), strict=True))
-    return fit([(i, v, y) for _, y, v, i in order[: 2 * max_rows]])
+    return fit([(i, v, y) for _, y, v, i in order])
 
 
 def score_documents(docs: DataFrame, model: FactorisationMachine) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from siltstone.llm import minhash
 from siltstone.llm.common import Scratch
 from siltstone.llm.components import connected_components
-from siltstone.llm.minhash import near_duplicates
+from siltstone.llm.minhash import near_duplicates, without_copies
 
 SCHEMA = "doc_id long, text string, kept string"
 
@@ -51,9 +51,28 @@ def test_against_brute_force(spark, monkeypatch, crowded):
 
 def test_empty_repeats_and_nulls(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
-    rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (2, "a b c d e f", None)]
+    rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (2, "a b c d e f", None), (None, None, None)]
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(-1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False)] or got[1:] == [(1, 1, True), (1, 1, True), (2, 1, False)]
+    assert got == [(-1, None, True), (-1, None, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_one_of_each_group_is_left(spark):
+    """Rows with one id are told apart by their texts, and nothing but copies is lost."""
+    a, b, c = ("a1 a2 a3 a4 a5 a6", "b1 b2 b3 b4 b5 b6", "c1 c2 c3 c4 c5 c6")
+    rows = [(5, b, "w"), (5, c, "x"), (3, b, "y"), (9, c, "z"), (4, a, "p"), (4, a, "q"), (None, a, "n"), (None, a, "n"), (7, None, "e"), (8, "", "e")]
+    schema = "doc_id long, text string, text_key string"
+    left = without_copies(spark.createDataFrame(rows, schema))
+    assert left.columns == ["doc_id", "text", "text_key"]
+    got = sorted(((r.doc_id or -1), r.text or "") for r in left.collect())
+    assert got == sorted([(5, c), (3, b), (4, a), (-1, a), (-1, a), (7, ""), (8, "")])
+    assert without_copies(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, long, None), (2, long.replace("w77 ", "v77 ").upper(), None), (3, long[: len(long) // 2], None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1] == (199_996, 1) and got[2] == (199_996, 1) and got[3][1] == 3
 
 
 def test_components(spark):
