@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Batches = Iterator[pa.RecordBatch]
@@ -112,3 +113,9 @@ def plus(df: DataFrame, *fields: tuple[str, str]) -> T.StructType:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def where_of(docs: DataFrame, new: list[str], apply: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of ``docs`` for which the columns that ``apply`` adds meet a condition; own columns with the names of the ``new`` ones stay as they are."""
+    own = {c: f"own of {c}" for c in docs.columns if c in new}
+    return apply(docs.withColumnsRenamed(own)).where(condition).select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns))

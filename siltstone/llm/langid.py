@@ -30,6 +30,7 @@ MAX_CALIBRATION = 400
 #: Quantile of their entropies from which a limit is taken; it doesn't drift with their number.
 RANK = 0.99
 UNKNOWN = "und"
+NEW = ["lang_pred", "score", "entropy", "rejected"]
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
 _LETTERS: list[np.ndarray] = []
@@ -44,14 +45,17 @@ def _letter_table() -> np.ndarray:
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """Lower-case letters as 16-bit codes, each run of other characters as one space, with spaces at both ends. Empty without letters."""
+    """Lower-case letters as 16-bit codes, each run of other characters as one space, with spaces at both ends. Empty without letters.
+
+    Letters over U+FFFF share the 2048 codes that UTF-16 keeps for surrogates.
+    """
     if not text:
         return np.empty(0, np.uint64)
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letter_table()[cp]
     if not letter.any():
         return np.empty(0, np.uint64)
-    x = np.where(letter, np.minimum(cp, 0xFFFF), _SPACE)
+    x = np.where(letter, np.where(cp > 0xFFFF, 0xD800 + cp % 2048, cp), _SPACE)
     x = np.concatenate([[_SPACE], x, [_SPACE]])
     gap = x == _SPACE
     return x[~(gap & np.concatenate([[False], gap[:-1]]))].astype(np.uint64)
@@ -229,6 +233,7 @@ class Models:
         for k in range(len(self.languages)):
             if (y == k).any():
                 self.limits[k] = np.quantile(e[y == k, k], RANK) + margin
+        self.limits[np.isinf(self.limits)] = self.limits[np.isfinite(self.limits)].max(initial=-np.inf)
 
 
 def learnable(doc_id: str = "doc_id") -> Column:
@@ -241,7 +246,9 @@ def train(docs: DataFrame, learn: Column | None = None) -> Models:
 
     Counts cover all these rows but the texts that calibrate the models: of one
     id hash in 64, the ``MAX_CALIBRATION`` least by another hash in each
-    language. Null languages and texts without letters teach nothing.
+    language. A language without such texts takes the loosest limit of the
+    others; where none has any, nothing is rejected for its entropy. Null
+    languages and texts without letters teach nothing.
     """
     use = docs.where("lang is not null and text is not null")
     if learn is not None:
@@ -279,7 +286,7 @@ def _predict(models: Models, at: int):
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
-                names=[*batch.schema.names, "lang_pred", "score", "entropy", "rejected"],
+                names=[*batch.schema.names, *NEW],
             )
 
     return run
@@ -292,7 +299,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     as is every text where no language was learnt. Input columns with these
     names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "entropy", "rejected")
+    docs = docs.drop(*NEW)
     schema = plus(docs, ("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("rejected", "boolean"))
     return map_arrow(docs, _predict(models, docs.columns.index("text")), schema)
 

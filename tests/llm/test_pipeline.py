@@ -65,11 +65,52 @@ def test_pipeline(spark, rows):
 
 
 def test_rejected_documents_go(spark):
+    """Texts in a script or with letters that no learnt language explains go; all of known languages stay."""
     base = spark.read.parquet(f"{ROOT}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "12 34 !!", "en", "s", 8), (9003, "русский текст " * 20, None, "s", 1)], base.schema)
+    odd = spark.createDataFrame(
+        [(9001, None, "en", "s", 0), (9002, "12 34 !!", "en", "s", 8), (9003, "русский текст о разных вещах " * 20, None, "s", 1), (9004, "日本語の文章です。" * 30, None, "s", 1), (9005, "", None, None, None), (9006, "qxzj vvkq xqjz wqxk zzxq " * 30, None, "s", 1)],
+        base.schema,
+    )
     out = corpus_pipeline.language(spark, base.unionByName(odd), ROOT)
-    assert out.columns == base.columns and not {9001, 9002} & {r.doc_id for r in out.collect()}
-    assert out.count() >= base.count()
+    assert out.columns == base.columns
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in base.collect()}
+
+
+def odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, one id with several texts, and a column with the name of a result."""
+    base = spark.read.parquet(f"{ROOT}/documents.parquet")
+    good = base.where("length(text) between 400 and 2000").orderBy("doc_id").first()
+    other = base.where("length(text) between 400 and 2000").orderBy(base.doc_id.desc()).first()
+    rows = [
+        (None, None, None, None, None), (8001, None, None, None, None), (8002, "", "en", "s", 0), (8003, good.text, good.lang, None, None),
+        (8003, good.text, good.lang, None, None), (8004, other.text, None, "s", 3), (8004, good.text, None, "s", 3), (None, good.text, good.lang, "s", 1),
+        (8005, " ".join([other.text] * 400), other.lang, "s", None),
+    ]
+    return base.limit(120).unionByName(spark.createDataFrame(rows, base.schema)), good.text, other.text
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows(spark, stage):
+    docs, good, other = odd_rows(spark)
+    for c in ("score", "leaked", "rejected", "text_key"):
+        docs = docs.withColumn(c, docs.n_chars * 0)
+    got = [r.asDict() for r in corpus_pipeline.STAGES[stage][1](spark, docs, ROOT).collect()]
+    name = corpus_pipeline.STAGES[stage][0]
+    mine = sorted((r["doc_id"] or -1) for r in got if r["doc_id"] is None or r["doc_id"] > 8000)
+    if name == "packing":
+        assert {*mine} == {-1, 8001, 8002, 8003, 8004, 8005}
+        assert [r["length"] for r in got if r["doc_id"] in (8001, 8002)] == [1, 1]
+        return
+    assert set(got[0]) == set(docs.columns) and all(r[c] in (0, None) for r in got for c in ("score", "leaked", "rejected", "text_key"))
+    if name == "language":
+        assert mine == [-1, 8003, 8003, 8004, 8004, 8005]
+    elif name == "near_duplicates":  # copies of texts under lower ids go; the long text repeats one of them
+        texts = [r["text"] for r in got if r["text"]]
+        assert good in texts and other in texts
+        assert [i for i in mine if i in (-1, 8001, 8002)] == [-1, -1, 8001, 8002]
+        assert len({(r["doc_id"], r["text"]) for r in got if r["doc_id"] is not None}) == sum(r["doc_id"] is not None for r in got)
+    elif name == "decontamination":
+        assert [i for i in mine if i in (-1, 8001, 8002)] == [-1, -1, 8001, 8002]
 
 
 @pytest.mark.parametrize("stage", range(5))
