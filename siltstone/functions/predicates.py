@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions import as_column as _c
-from siltstone.functions.text import extension
+from siltstone.functions.text import extension, trimmed
 from siltstone.schemas import SEVERITY_RANK
 
 # File kinds by extension, and paths that are left out.
@@ -71,7 +71,7 @@ def by_bot(name, email) -> Column:
 
 
 def trivial_subject(subject) -> Column:
-    return F.lower(F.trim(F.coalesce(_c(subject), F.lit("")))).rlike(r"^$|^\.{3}$|^-+$|^wip")
+    return F.lower(trimmed(F.coalesce(_c(subject), F.lit("")))).rlike(r"^$|^\.{3}$|^-+$|^wip")
 
 
 def file_kind(path, manifests: bool = True, code: bool = True) -> Column:
@@ -157,7 +157,7 @@ def rendered_chart(body) -> Column:
 
 
 def trivial_comment(body) -> Column:
-    return F.trim(_c(body)).isin(*TRIVIAL_COMMENTS)
+    return trimmed(body).isin(*TRIVIAL_COMMENTS)
 
 
 def unchanged_document(old_hash, new_hash, old_url, new_url, old_version, new_version) -> Column:
@@ -184,7 +184,7 @@ def over_floor(severity, floor: str | None) -> Column:
 
 
 def severity_of_label(label) -> Column:
-    s = F.lower(F.trim(F.coalesce(_c(label), F.lit(""))))
+    s = F.lower(trimmed(F.coalesce(_c(label), F.lit(""))))
     return (
         F.when(s.isin("critical", "fatal", "page"), "critical")
         .when(s.isin("warning", "warn", "major", "minor"), "warning")
@@ -208,7 +208,7 @@ def self_caused(actor_source, actor_key, recipient_source, recipient_key) -> Col
 
 def valid_link(text, url) -> Column:
     """A text, and an http(s) URL with a host."""
-    return F.coalesce((F.trim(_c(text)) != "") & _c(url).rlike(r"^https?://[^/?#\s:@]+"), F.lit(False))
+    return F.coalesce((trimmed(text) != "") & _c(url).rlike(r"^https?://[^/?#\s:@]+"), F.lit(False))
 
 
 def valid_button(text, url) -> Column:
@@ -222,6 +222,7 @@ def unbound(chunk_id, point_id) -> Column:
 
 def system_note_kind(body) -> Column:
     """``assigned``, ``review_requested``, ``approved``, ``unapproved`` or null."""
+    # The texts of system notes.
     b = _c(body)
     return (
         F.when(b.rlike("^(requested review from |removed review request for )"), "review_requested")
@@ -237,6 +238,7 @@ def assigned_at_creation(complete, items) -> Column:
 
 
 def actionable(verdict) -> Column:
+    # Verdicts that call for actions.
     return _c(verdict).isin("solved", "known_issue", "needs_investigation")
 
 
@@ -249,7 +251,7 @@ def command_parts(text) -> Column:
     """``/name@bot rest`` as a struct (name, rest); null for other texts."""
     t = _c(text)
     name = F.regexp_extract(t, r"^/([A-Za-z0-9_]+)(?:@[A-Za-z0-9_]+)?(?:\s|$)", 1)
-    rest = F.trim(F.regexp_extract(t, r"(?s)^/[A-Za-z0-9_]+(?:@[A-Za-z0-9_]+)?\s+(.*)$", 1))
+    rest = trimmed(F.regexp_extract(t, r"(?s)^/[A-Za-z0-9_]+(?:@[A-Za-z0-9_]+)?\s+(.*)$", 1))
     return F.when(name != "", F.struct(F.lower(name).alias("name"), rest.alias("rest")))
 
 

@@ -59,12 +59,12 @@ def heading_level(line) -> Column:
 def paragraphs(body) -> Column:
     """Blocks between blank lines, without empty ones."""
     parts = F.split(trimmed(body), r"\n(?:[ \t]*\n)+")
-    return F.filter(parts, lambda p: F.trim(p) != "")
+    return F.filter(parts, lambda p: trimmed(p) != "")
 
 
 def first_heading(body, path) -> Column:
     """The first level-1 heading, else the file name without its extension."""
-    h = F.trim(F.regexp_extract(_c(body), r"(?m)^\s*# (.*)$", 1))
+    h = trimmed(F.regexp_extract(_c(body), r"(?m)^\s*# (.*)$", 1))
     return F.when(h != "", h).otherwise(file_stem(path))
 
 
@@ -100,7 +100,7 @@ def truncated(text, n: int, mark: str = " …") -> Column:
 
 def title_line(text, n: int = 60) -> Column:
     """The first line, cut at n characters with three dots."""
-    return truncated(F.trim(F.split(_c(text), "\n")[0]), n, "...")
+    return truncated(trimmed(F.split(_c(text), "\n")[0]), n, "...")
 
 
 def snippet(text, n: int = 300) -> Column:
@@ -204,7 +204,7 @@ def sender_number(sender) -> Column:
 def spreadsheet_id(ref) -> Column:
     """The id in a spreadsheet URL, or the reference itself."""
     got = F.regexp_extract(_c(ref), r"/spreadsheets/d/([a-zA-Z0-9_-]+)", 1)
-    return F.when(got != "", got).otherwise(F.trim(_c(ref)))
+    return F.when(got != "", got).otherwise(trimmed(ref))
 
 
 def safe_dir_name(name) -> Column:
@@ -223,7 +223,7 @@ def repository_name(url) -> Column:
 
 def cleaned_url(text) -> Column:
     """An http(s) URL without trailing punctuation; null for anything else."""
-    u = F.regexp_replace(F.trim(_c(text)), r"[.,;:!?)\]}>]+$", "")
+    u = F.regexp_replace(trimmed(text), r"[.,;:!?)\]}>]+$", "")
     return F.when(u.rlike("^https?://"), u)
 
 

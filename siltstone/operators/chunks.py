@@ -24,7 +24,6 @@ WINDOW, STEP = 4000, 3700
 EXCERPT = 2000
 GROUP = 8
 CHUNK_SCHEMA = "document_id string, chunk_index int, chunk_type string, title string, text string, metadata map<string,string>"
-#: Raised when a chunker's output changes, so unchanged documents are chunked again.
 CHUNKER_VERSION = "1"
 
 
@@ -60,7 +59,7 @@ def windows(text, size: int = WINDOW, step: int = STEP) -> Column:
 
 def source_windows(docs: DataFrame) -> DataFrame:
     """Source files other than Go: blocks between blank lines, each cut into windows."""
-    blocks = F.filter(F.split("body", r"\n(?:[ \t\r]*\n)+"), lambda b: F.trim(b) != "")
+    blocks = F.filter(F.split("body", r"\n(?:[ \t\r]*\n)+"), lambda b: T.trimmed(b) != "")
     clean = F.transform(blocks, lambda b: F.regexp_replace(b, r"^(?:[ \t\r]*\n)+|(?:\n[ \t\r]*)+$", ""))
     all_windows = F.flatten(F.transform(clean, lambda b: windows(b)))
     lang = F.regexp_extract(F.coalesce("title", F.lit("")), r"\.([^./]+)$", 1)
@@ -258,36 +257,23 @@ def yaml_parts(body: str) -> list[tuple[str, str, dict[str, str]]]:
 
 
 _DECL = re.compile(r"^(func|type|var|const)\b")
-_FUNC = re.compile(r"^func\s*(\(\s*(?:\w+\s+)?(\*?\w+)[^)]*\)\s*)?(\w+)")
+_FUNC = re.compile(r"^func\s*(?:\(\s*(?:\w+\s+)?([^)\s]+)\s*\)\s*)?(\w+)")
+_GO_ON = re.compile(r"(?:[-+*/%&|^<>=!,.]|&&|\|\|)$")
 
 
-def go_parts(body: str) -> list[tuple[str, str, dict[str, str]]] | None:
-    """(title, text, metadata): an overview, then each top-level declaration with its comment. None if the brackets don't balance.
-
-    A scanner of brackets, strings and comments stands in for a full parser.
-    """
-    lines = body.split("\n")
-    package = next((m[1] for m in (re.match(r"package\s+(\w+)", x) for x in lines) if m), "")
-    depth, i, found, mode = 0, 0, [], ""
-    begin = comment = None
-    signature = []
-    for n, line in enumerate(lines):
-        top = depth == 0 and not mode
-        if top and begin is None:
-            if line.startswith("//"):
-                comment = n if comment is None else comment
-            elif _DECL.match(line):
-                begin, signature = n, [line]
-            else:
-                comment = None
-        i = 0
+def _go_lines(lines: list[str]) -> list[tuple[bool, int, bool, int, str]] | None:
+    """For each line: whether it begins in a string or comment, the depth of brackets there, the same at its end, and its code without a trailing comment. None if the brackets don't balance."""
+    depth, mode, out = 0, "", []
+    for line in lines:
+        begin, i, end = (bool(mode), depth), 0, len(line)
         while i < len(line):
             c = line[i]
-            if mode == "`" or mode == "/*":
+            if mode:
                 if line.startswith(mode[::-1], i):
                     i += len(mode) - 1
                     mode = ""
             elif line.startswith("//", i):
+                end = i
                 break
             elif line.startswith("/*", i):
                 mode, i = "/*", i + 1
@@ -305,37 +291,86 @@ def go_parts(body: str) -> list[tuple[str, str, dict[str, str]]] | None:
                 if depth < 0:
                     return None
             i += 1
-        if begin is not None and depth == 0 and not mode:
-            found.append((begin, n, comment, signature[0]))
+        out.append((*begin, bool(mode), depth, line[:end].rstrip()))
+    return None if depth or mode else out
+
+
+def _go_spans(told: list, first: int, last: int, level: int, opens) -> Iterator[tuple[int, int, int | None]]:
+    """(begin, end, line of its comment) of what ``opens`` at a depth of brackets, between two lines."""
+    comment = begin = None
+    for n in range(first, last):
+        inside, depth, inside_after, depth_after, code = told[n]
+        if begin is None and not inside and depth == level:
+            if not code.strip():
+                blank = not opens(n, False)
+                comment = None if blank else n if comment is None else comment
+                continue
+            if not opens(n, True):
+                comment = None
+                continue
+            begin = n
+        if begin is not None and not inside_after and depth_after == level and not (_GO_ON.search(code) and not code.endswith(("++", "--"))):
+            yield begin, n, comment
             begin = comment = None
-    if depth or mode or begin is not None or not package:
-        return None
-    imports = re.findall(r'"([^"\n]+)"', "\n".join(re.findall(r"(?ms)^import\s*(\([^)]*\)|\"[^\"]*\")", body)))
-    heads = [re.sub(r"\s*\{[^{]*$", "", s) for *_, s in found]
-    overview = [f"package {package}", *(["imports: " + ", ".join(imports)] if imports else []), *heads]
-    out = [(f"package {package}", "\n".join(overview), {"lang": "go", "package": package, "kind": "file"})]
-    for a, b, doc, first in found:
-        kind = _DECL.match(first)[1]
-        m = _FUNC.match(first)
-        name = m[3] if m else (re.match(r"\w+\s+\(?\s*(\w*)", first) or ["", ""])[1]
-        if kind in ("var", "const") and not name:
-            name = next((x[1] for x in (re.match(r"\s*(\w+)", y) for y in lines[a + 1 : b]) if x), kind)
-        meta = {"lang": "go", "package": package, "kind": "method" if m and m[2] else kind, "symbol": name, "start_line": str((a if doc is None else doc) + 1), "end_line": str(b + 1)}
-        if m and m[2]:
-            meta["receiver"] = m[2]
-        title = f"({m[2]}) {name}" if m and m[2] else f"{kind} {name}".strip()
-        out.append((title, "\n".join(lines[a if doc is None else doc : b + 1]), meta))
-    return out
+
+
+def go_parts(title: str, body: str, url: str = "") -> list[tuple[str, str, dict[str, str]]]:
+    """(title, text, metadata): an overview, then each function and each type, variable and constant with its comment.
+
+    Every entry of a grouped declaration is a part of its own. A file whose
+    brackets don't balance, or without a package, has no parts. A scanner of
+    brackets, strings and comments stands in for a full parser; signatures in
+    the overview are the heads of the declarations.
+    """
+    lines = body.split("\n")
+    told = _go_lines(lines)
+    package = next((m[1] for m in (re.match(r"package\s+(\w+)", x) for x in lines) if m), "")
+    if told is None or not package:
+        return []
+    parts, heads = [], []
+
+    def add(name: str, kind: str, begin: int, end: int, text: str, more: dict[str, str]) -> None:
+        anchor = f"#L{begin + 1}-{end + 1}" if end > begin else f"#L{begin + 1}"
+        meta = {"lang": "go", "package": package, "symbol": name, "symbol_kind": kind, "start_line": str(begin + 1), "end_line": str(end + 1)} | more
+        parts.append((f"({more['receiver']}).{name}" if more else name, text, meta | ({"source_url": url + anchor} if url else {})))
+
+    def text_of(begin: int, end: int, start: int = 0) -> str:
+        return "\n".join([*lines[begin:end], told[end][4]])[start:].lstrip() if end > begin else told[end][4][start:].lstrip()
+
+    top = lambda n, code: bool(_DECL.match(lines[n])) if code else lines[n].startswith("//")
+    entry = lambda n, code: code or lines[n].strip().startswith("//")
+    for a, b, comment in _go_spans(told, 0, len(lines), 0, top):
+        kind, head = _DECL.match(lines[a])[1], re.sub(r"\s*\{[^{}]*$", "", told[a][4])
+        since = a if comment is None else comment
+        m = _FUNC.match(lines[a]) if kind == "func" else None
+        if m:
+            head = re.sub(r"\s\{.*$", "", told[a][4])
+            heads.append(re.sub(r"^func\s*\([^)]*\)", f"func ({m[1]})", head) if m[1] else head)
+            add(m[2], "func", since, b, text_of(since, b), {"receiver": m[1]} if m[1] else {})
+        elif kind != "func" and b > a and re.match(rf"{kind}\s*\($", told[a][4]):
+            for x, y, doc in _go_spans(told, a + 1, b, 1, entry):
+                name = re.match(r"\s*(\w*)", lines[x])[1]
+                said = re.sub(r"\s*\{[^{}]*$", "", told[x][4]).strip()
+                heads.append(f"type {said}" if kind == "type" else said)
+                add(name, kind, x if doc is None else doc, y, text_of(x if doc is None else doc, y), {})
+        elif kind != "func":
+            name = re.match(rf"{kind}\s*\(?\s*(\w*)", lines[a])[1]
+            heads.append(head if kind == "type" else re.sub(rf"^{kind}\s+", "", head))
+            add(name, kind, since, b, text_of(since, b, 0 if comment is not None else len(kind) + 1), {})
+    imports = re.findall(r'"[^"\n]+"', "\n".join(re.findall(r"(?ms)^import\s*(\([^)]*\)|[^\n]*)", body)))
+    block = ["import (", *(f"\t{x}" for x in imports), ")", ""] if imports else []
+    overview = "\n".join([f"package {package}", "", *block, *heads]).strip()
+    return [(f"file: {title} ({package})", overview, {"lang": "go", "package": package, "symbol": package, "symbol_kind": "package"}), *parts]
 
 
 def _parsed(docs: DataFrame, parse) -> DataFrame:
-    """``parse(title, body)`` gives (type, title, text, metadata) of each chunk."""
+    """``parse(title, body, url)`` gives (type, title, text, metadata) of each chunk; ``url`` is the document's link in its metadata."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, at, kinds, titles, texts, metas = [], [], [], [], [], []
             for doc, title, body, meta in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, (kind, name, text, more) in enumerate(parse(title or "", body or "")):
+                for i, (kind, name, text, more) in enumerate(parse(title or "", body or "", dict(meta or []).get("source_url") or "")):
                     ids.append(doc)
                     at.append(i)
                     kinds.append(kind)
@@ -351,29 +386,67 @@ def _parsed(docs: DataFrame, parse) -> DataFrame:
 
 
 def markdown(docs: DataFrame) -> DataFrame:
-    return _parsed(docs, lambda title, body: [("section", t, x, {"heading_path": h} if h else {}) for t, x, h in markdown_parts(title, body)])
+    return _parsed(docs, lambda title, body, _: [("section", t, x, {"heading_path": h} if h else {}) for t, x, h in markdown_parts(title, body)])
 
 
 def manifests(docs: DataFrame) -> DataFrame:
-    return _parsed(docs, lambda _, body: [("manifest", t, x, m) for t, x, m in yaml_parts(body)])
+    return _parsed(docs, lambda _, body, _url: [("manifest", t, x, m) for t, x, m in yaml_parts(body)])
 
 
 def go_sources(docs: DataFrame) -> DataFrame:
-    """Go files by declaration; a file that can't be scanned falls to ``source_windows``, not to nothing."""
-    return _parsed(docs, lambda _, body: [("code_file" if m["kind"] == "file" else "code_symbol", t, x, m) for t, x, m in go_parts(body) or []])
+    """Go files by declaration; a file that can't be scanned has no chunks."""
+    return _parsed(docs, lambda title, body, url: [("code_file" if m["symbol_kind"] == "package" else "code_symbol", t, x, m) for t, x, m in go_parts(title, body, url)])
 
 
 def code(docs: DataFrame) -> DataFrame:
-    """Source files by language: ``metadata.lang`` go, all others, and Go files without declarations."""
+    """Source files by language: those whose ``metadata.lang`` is go, and all others."""
     is_go = F.coalesce(F.col("metadata")["lang"] == "go", F.lit(False))
-    go = go_sources(docs.where(is_go))
-    rest = docs.where(is_go).join(go.select(F.col("document_id").alias("id")).distinct(), "id", "left_anti")
-    return go.unionByName(source_windows(docs.where(~is_go))).unionByName(source_windows(rest.select(*docs.columns)))
+    return go_sources(docs.where(is_go)).unionByName(source_windows(docs.where(~is_go)))
+
+
+# What documents of tracker objects hold of them, as JSON in the metadata.
+_COMMENTS = "array<struct<author:string,created:timestamp,body:string>>"
+OBJECTS = {
+    "gitlab_issue": f"iid bigint, summary string, description string, threads array<struct<resolved:boolean,comments:{_COMMENTS}>>",
+    "gitlab_mr": f"iid bigint, summary string, description string, threads array<struct<resolved:boolean,comments:{_COMMENTS}>>",
+    "gitlab_release": "tag_name string, name string, description string",
+    "jira_issue": f"key string, summary string, description string, resolution string, comments {_COMMENTS}",
+}
+_BASE = ("id", "source", "source_id", "url", "title", "body")
+
+
+def rehydrated(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with the columns of the object that their metadata hold under ``key``; documents without a readable one). The object itself leaves the metadata."""
+    plain = F.map_filter("metadata", lambda k, _: ~k.isin(*OBJECTS))
+    rows = docs.select(*_BASE, plain.alias("metadata"), F.from_json(F.col("metadata")[key], OBJECTS[key]).alias("_object"))
+    told = F.col("_object").isNotNull() & F.exists(F.array(*(F.col(f"_object.{f.name}").isNotNull() for f in rows.schema["_object"].dataType)), lambda x: x)
+    return rows.where(told).select(*_BASE, "metadata", "_object.*"), rows.where(~told).drop("_object")
+
+
+def gitlab(docs: DataFrame) -> DataFrame:
+    """Issues, merge requests and releases by their source; other sources, and objects that can't be read, as plain sections."""
+    kinds = {"gitlab_issue": tracker_items, "gitlab_mr": lambda d: tracker_items(d, merge_requests=True), "gitlab_release": releases}
+    out = plain_sections(docs.where(~F.coalesce(F.col("source").isin(*kinds), F.lit(False))))
+    for source, chunker in kinds.items():
+        good, other = rehydrated(docs.where(F.col("source") == source), source)
+        out = out.unionByName(chunker(good)).unionByName(plain_sections(other))
+    return out
+
+
+def jira(docs: DataFrame) -> DataFrame:
+    """Tickets; without a readable object the body is the description."""
+    good, other = rehydrated(docs, "jira_issue")
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("key", "string"), ("summary", "string"), ("description", "string"), ("resolution", "string"), ("comments", _COMMENTS))]
+    return tickets(good).unionByName(tickets(other.select("*", *none)))
 
 
-CHUNKERS = {"markdown": markdown, "yaml": manifests, "code": code, "git": history_entries, "telegram": chat_requests}
+CHUNKERS = {"markdown": markdown, "yaml": manifests, "code": code, "git": history_entries, "gitlab": gitlab, "jira": jira, "telegram": chat_requests}
+#: Raised one by one when a chunker's output changes, so that its documents are chunked again.
+VERSIONS = dict.fromkeys(CHUNKERS, CHUNKER_VERSION) | {"code": "2", "gitlab": "2", "jira": "2"}
 
 
 def chunked(docs: DataFrame, kind: str) -> DataFrame:
-    """Chunks of documents of one kind; tracker objects have functions of their own."""
+    """Chunks of documents of one kind."""
+    if kind not in CHUNKERS:
+        raise ValueError(f"no chunker for {kind!r}")
     return CHUNKERS[kind](docs)

@@ -106,7 +106,7 @@ def issue_events(issues: DataFrame) -> DataFrame:
 
 def report_events(reports: DataFrame) -> DataFrame:
     """``investigation.completed`` events of reports ``job_id, verdict, title, description, findings, actions, links, completed_at``; actions stay only under verdicts that call for them."""
-    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.nullif(T.title_line(F.col("description")), F.lit("")), F.lit("Investigation"))
+    title = F.coalesce(F.nullif(T.trimmed("title"), F.lit("")), F.nullif(T.title_line(F.col("description")), F.lit("")), F.lit("Investigation"))
     acts = F.when(P.actionable("verdict"), F.col("actions")).otherwise(F.array().cast("array<string>"))
     rows = reports.withColumn("title", title).withColumn("actions", acts).withColumn("object_id", F.col("job_id")).withColumn("url", F.lit(""))
     fields = [f.name for f in schemas._struct(PAYLOADS["investigation.completed"]).fields]
@@ -134,12 +134,11 @@ def newest_notes(notes: DataFrame) -> DataFrame:
 
 
 def thread_states(notes: DataFrame) -> DataFrame:
-    """Threads of notes ``object_id, thread_id, resolved, resolved_by, resolved_at``: resolved if any note is; the newest resolution counts."""
+    """Threads of notes ``object_id, thread_id, resolved, resolved_by, resolved_at``: resolved if any note is; the newest resolution counts, of equal times the last by name."""
     return notes.groupBy("object_id", "thread_id").agg(
         F.bool_or(F.coalesce("resolved", F.lit(False))).alias("resolved"),
-        F.max_by("resolved_by", F.when(F.col("resolved"), F.col("resolved_at"))).alias("resolved_by"),
-        F.max(F.when(F.col("resolved"), F.col("resolved_at"))).alias("resolved_at"),
-    )
+        F.max(F.when(F.col("resolved") & F.col("resolved_at").isNotNull(), F.struct("resolved_at", "resolved_by"))).alias("_last"),
+    ).select("object_id", "thread_id", "resolved", F.col("_last.resolved_by").alias("resolved_by"), F.col("_last.resolved_at").alias("resolved_at"))
 
 
 def newest_comments(comments: DataFrame, key: str, at: str, tie: str, k: int = NEWEST_COMMENTS) -> DataFrame:
@@ -151,12 +150,23 @@ def newest_comments(comments: DataFrame, key: str, at: str, tie: str, k: int = N
 def routed(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Every event with every subscription that takes its source and type; empty lists take all.
 
-    Subscriptions (``name, sources, types``) are a few rows of configuration.
-    Where they are many, only those with lists are joined by their entries.
+    Subscriptions: ``name, sources, types``. Their lists become keys with open
+    places, and each event looks for the four keys that can take it, so it is an
+    equi-join however many subscriptions there are; an event meets a
+    subscription once.
     """
-    s = subscriptions.select("name", "sources", "types")
-    on = P.subscription_matches("sources", "source") & P.subscription_matches("types", "type")
-    return events.join(small(s), on).select(events["*"], "name")
+    none = F.array(F.lit(None).cast("string"))
+
+    def keys(c: str) -> Column:
+        listed = F.coalesce(F.size(c), F.lit(0)) > 0
+        return F.when(listed, F.transform(F.array_distinct(c), lambda x: F.struct(F.lit(False).alias("any"), x.alias("key")))).otherwise(F.transform(none, lambda x: F.struct(F.lit(True).alias("any"), x.alias("key"))))
+
+    s = subscriptions.select("name", F.explode(keys("sources")).alias("_s"), keys("types").alias("_t")).select("name", "_s", F.explode("_t").alias("_t"))
+    s = s.select("name", F.struct("_s", "_t").alias("_want"))
+    place = lambda c, open_: F.struct(F.lit(open_).alias("any"), (F.lit(None).cast("string") if open_ else F.col(c)).alias("key"))
+    wants = F.array(*(F.struct(place("source", a).alias("_s"), place("type", b).alias("_t")) for a in (False, True) for b in (False, True)))
+    asked = events.withColumn("_want", F.explode(wants))
+    return asked.join(small(s).withColumnRenamed("_want", "_has"), F.col("_want").eqNullSafe(F.col("_has"))).select(*(asked[c] for c in events.columns), "name")
 
 
 # Projection: event -> addressed notifications.
@@ -262,7 +272,7 @@ def project_alerts(events: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<text:string,url:string>>")
     buttons = F.concat(_annotated(notes, "runbook", "Runbook"), _annotated(notes, "dashboard", "Dashboard"), F.coalesce(outside, none))
     kind = F.when(F.col("type") == "alert.firing", "alert_firing").otherwise("alert_resolved")
-    return _note(e, kind, F.lit(""), "alerts", F.lit(None).cast("string"), F.col("id"), F.col("occurred_at"), description=F.trim(F.coalesce(notes["description"], F.lit(""))), labels=labels, buttons=buttons)
+    return _note(e, kind, F.lit(""), "alerts", F.lit(None).cast("string"), F.col("id"), F.col("occurred_at"), description=T.trimmed(F.coalesce(notes["description"], F.lit(""))), labels=labels, buttons=buttons)
 
 
 MAX_FINDINGS = 700
@@ -271,9 +281,9 @@ MAX_FINDINGS = 700
 def project_reports(events: DataFrame) -> DataFrame:
     """Investigation notes for broadcast: verdict, findings up to 700 characters, and actions."""
     e, _ = decoded(events.where("type = 'investigation.completed'"), "investigation.completed")
-    found = F.trim(F.coalesce("p.findings", F.lit("")))
-    found = F.when(F.char_length(found) > MAX_FINDINGS, F.concat(F.trim(F.substring(found, 1, MAX_FINDINGS)), F.lit("…"))).otherwise(found)
-    acts = F.filter(F.transform(F.coalesce("p.actions", F.array().cast("array<string>")), lambda a: F.trim(a)), lambda a: a != "")
+    found = T.trimmed(F.coalesce("p.findings", F.lit("")))
+    found = F.when(F.char_length(found) > MAX_FINDINGS, F.concat(T.trimmed(F.substring(found, 1, MAX_FINDINGS)), F.lit("…"))).otherwise(found)
+    acts = F.filter(F.transform(F.coalesce("p.actions", F.array().cast("array<string>")), T.trimmed), lambda a: a != "")
     lines = F.concat(
         F.array(F.concat(F.lit("Verdict: "), F.nullif(F.col("p.verdict"), F.lit(""))), F.nullif(found, F.lit(""))), F.transform(acts, lambda a: F.concat(F.lit("- "), a))
     )

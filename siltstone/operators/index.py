@@ -6,6 +6,7 @@ snapshot is written beside the old one (``Snapshots``), since there is no MERGE.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -144,11 +145,35 @@ def unsubscribed(old: DataFrame, user_id: str, source: str) -> DataFrame:
     return old.withColumn("enabled", F.when(mine, F.lit(False)).otherwise(F.col("enabled")))
 
 
-class Snapshots:
-    """Versioned tables in one folder: a version is written whole, then a pointer names it.
+def enrolled(users: DataFrame, telegram_ids: DataFrame, now: Column) -> DataFrame:
+    """Users with a row for each of ``telegram_id``; those that are there stay as they are."""
+    rows = telegram_ids.select("telegram_id").distinct().select(
+        stable_id(F.lit("user"), "telegram_id").alias("id"), "telegram_id", F.lit(None).cast("string").alias("gitlab_username"),
+        F.lit(None).cast("string").alias("jira_account"), F.lit(True).alias("enabled"), now.alias("created_at"),
+    )
+    return users.unionByName(inserted(users, rows, ["telegram_id"]).select(*users.columns))
+
+
+def subscriptions_of(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """``telegram_id, source, event_types, enabled`` of every user's subscriptions."""
+    who = users.select(F.col("id").alias("user_id"), "telegram_id")
+    return subscriptions.join(who, "user_id").select("telegram_id", "source", "event_types", "enabled")
+
+
+def synced(states: DataFrame, new: DataFrame) -> DataFrame:
+    """Sync states with the new rows by source."""
+    return upserted(states, new, ["source"], keep=())
 
-    A reader sees the version that the pointer named when it opened the table;
-    a failed write leaves the pointer as it was.
+
+class Snapshots:
+    """Versioned tables in one folder, changed by numbered commits.
+
+    Versions are written whole; then one small file, which is created and never
+    replaced, names the version of every table. The complete commit with the
+    highest number holds. A writer that stops at any point leaves the last
+    commit in force, several tables change together, and a reader sees the
+    versions that held when it asked. One writer commits at a time; a second one
+    that takes the same number fails to create it and tries the next.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -159,27 +184,67 @@ class Snapshots:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/CURRENT"
+    def _commits(self) -> list[int]:
+        """The numbers of all commits, complete or not, highest first."""
+        fs, p = self._fs(f"{self.root}/_commits")
+        if not fs.exists(p):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(p)]
+        return sorted((int(n) for n in names if n.isdigit()), reverse=True)
+
+    def _tables(self, number: int) -> dict[str, str] | None:
+        """What a commit names; None if its writer stopped before its end."""
+        fs, p = self._fs(f"{self.root}/_commits/{number:012d}")
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("\n") else None
+
+    def current(self) -> dict[str, str]:
+        """The version of every table."""
+        return next((t for t in map(self._tables, self._commits()) if t is not None), {})
 
     def version(self, table: str) -> str | None:
-        fs, p = self._fs(self._pointer(table))
-        if not fs.exists(p):
-            return None
-        return self.spark.read.schema("value string").text(self._pointer(table)).first()[0]
+        return self.current().get(table)
 
     def read(self, table: str) -> DataFrame | None:
         v = self.version(table)
         return self.spark.read.parquet(f"{self.root}/{table}/{v}") if v else None
 
+    def commit(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+        """Write new versions of tables and make them hold together."""
+        made = {}
+        for table, df in tables.items():
+            made[table] = f"v-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.root}/{table}/{made[table]}")
+        while True:
+            number = max(self._commits(), default=0) + 1
+            text = json.dumps(self.current() | made) + "\n"
+            fs, p = self._fs(f"{self.root}/_commits/{number:012d}")
+            try:
+                out = fs.create(p, False)
+            except Exception:
+                if not fs.exists(p):
+                    raise
+                continue  # another writer took the number
+            out.write(bytearray(text.encode()))
+            out.close()
+            return made
+
     def write(self, table: str, df: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{table}/{v}")
-        fs, p = self._fs(self._pointer(table) + ".new")
-        out = fs.create(p, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        fs2, target = self._fs(self._pointer(table))
-        fs2.delete(target, False)
-        fs2.rename(p, target)
-        return v
+        return self.commit({table: df})[table]
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete versions that none of the last ``keep`` complete commits names; returns how many. Not while a commit is being written."""
+        whole = [t for t in map(self._tables, self._commits()) if t is not None][:keep]
+        live = {(table, v) for t in whole for table, v in t.items()}
+        gone = 0
+        for table in sorted({table for table, _ in live}):
+            fs, p = self._fs(f"{self.root}/{table}")
+            for x in fs.listStatus(p):
+                if (table, x.getPath().getName()) not in live:
+                    fs.delete(x.getPath(), True)
+                    gone += 1
+        return gone

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as P
 from siltstone.functions import scoring as S
 from siltstone.functions import text as T
-from siltstone.operators.index import inserted
+from siltstone.operators.index import inserted, upserted
 from siltstone.operators.retrieval import small
 
 # Emoji, verb and layout of each type of note.
@@ -42,8 +42,8 @@ def rendered(notes: DataFrame) -> DataFrame:
     """Notes with ``text``, their Markdown message; unknown types get a plain line."""
     kind = F.col("type")
     emoji, verb, layout = (_style(kind, i) for i in range(3))
-    plain, said = T.escape_markdown(F.trim("title")), F.nullif(T.escape_markdown("description"), F.lit(""))
-    title = F.when((F.trim(F.coalesce("url", F.lit(""))) != "") & (plain != ""), F.concat(F.lit("["), plain, F.lit("]("), F.trim("url"), F.lit(")"))).otherwise(plain)
+    plain, said = T.escape_markdown(T.trimmed("title")), F.nullif(T.escape_markdown("description"), F.lit(""))
+    title = F.when((T.trimmed(F.coalesce("url", F.lit(""))) != "") & (plain != ""), F.concat(F.lit("["), plain, F.lit("]("), T.trimmed("url"), F.lit(")"))).otherwise(plain)
     actor = F.coalesce(F.nullif(F.col("actor.display"), F.lit("")), F.nullif(F.col("actor.key"), F.lit("")), F.lit("Someone"))
     line = F.concat_ws(" ", emoji, F.concat(F.lit("**"), T.escape_markdown(actor), F.lit("**")), verb, title)
     state = F.concat(emoji, F.lit(" _"), verb, F.lit(":_ "))
@@ -61,16 +61,18 @@ def rendered(notes: DataFrame) -> DataFrame:
 def subscribers(notes: DataFrame, users: DataFrame, subscriptions: DataFrame, peers: DataFrame) -> DataFrame:
     """Addressed notes joined to enabled users by the source's identity, their enabled subscriptions that list the type, and their peers.
 
-    A note without a recipient matches nobody. The user side is configuration;
-    it is broadcast when its estimate is small.
+    A note without a recipient matches nobody. A user whose peer isn't in the
+    book can't be addressed and is left out; a known peer without a hash has
+    hash 0. The user side is configuration; it is broadcast when its estimate is
+    small.
     """
     u = users.where("enabled").select(F.col("id").alias("user_id"), "telegram_id", "gitlab_username", "jira_account")
     one = u.select("user_id", "telegram_id", F.lit("gitlab").alias("source"), F.col("gitlab_username").alias("recipient")).unionByName(
         u.select("user_id", "telegram_id", F.lit("jira").alias("source"), F.col("jira_account").alias("recipient"))
     ).where("recipient is not null and recipient <> ''")
     subs = subscriptions.where("enabled").select("user_id", "source", F.explode(F.array_distinct("event_types")).alias("type")).distinct()
-    book = peers.where("peer_type = 'user'").select(F.col("peer_id").alias("telegram_id"), "access_hash")
-    to = one.join(subs, ["user_id", "source"]).join(book, "telegram_id", "left")
+    book = peers.where("peer_type = 'user'").select(F.col("peer_id").alias("telegram_id"), F.coalesce("access_hash", F.lit(0)).alias("access_hash"))
+    to = one.join(subs, ["user_id", "source"]).join(book, "telegram_id")
     return notes.join(small(to), ["source", "type", "recipient"])
 
 
@@ -80,10 +82,37 @@ def dispatched(notes: DataFrame, users: DataFrame, subscriptions: DataFrame, pee
     to = rendered(subscribers(real, users, subscriptions, peers))
     return to.select(
         S.user_key("user_id", "event_id").alias("dedup_key"), F.lit("telegram").alias("channel"), F.lit("user").alias("peer_type"),
-        F.col("telegram_id").alias("peer_id"), F.coalesce("access_hash", F.lit(0)).alias("access_hash"), "source", F.col("type").alias("event_type"), "text", "url", "event_id",
+        F.col("telegram_id").alias("peer_id"), "access_hash", "source", F.col("type").alias("event_type"), "text", "url", "event_id",
     )
 
 
+def resolved_peers(asked: DataFrame, peers: DataFrame) -> DataFrame:
+    """``peer_type, peer_id`` with ``access_hash`` and ``found``; a known peer without a hash is found with hash 0."""
+    book = peers.select("peer_type", "peer_id", F.coalesce("access_hash", F.lit(0)).alias("access_hash"), F.lit(True).alias("found"))
+    out = asked.join(book, ["peer_type", "peer_id"], "left")
+    return out.withColumn("access_hash", F.coalesce("access_hash", F.lit(0))).withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def registered(chats: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Chats with ``new`` ones (``peer_type, peer_id, title, added_by``) recorded, or enabled again under their new title."""
+    rows = new.withColumn("enabled", F.lit(True)).withColumn("created_at", now)
+    return upserted(chats, rows, ["peer_type", "peer_id"], keep=("created_at",))
+
+
+def unregistered(chats: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chats with ``gone`` ones disabled but not forgotten, the chats that this changed)."""
+    key = ["peer_type", "peer_id"]
+    off = gone.select(*key).distinct().withColumn("_off", F.lit(True))
+    both = chats.join(off, key, "left")
+    out = both.withColumn("enabled", F.col("enabled") & F.col("_off").isNull()).select(*chats.columns)
+    return out, chats.where("enabled").join(off, key, "left_semi")
+
+
+def listed(chats: DataFrame) -> DataFrame:
+    """Every chat, enabled or not, in the order of registration."""
+    return chats.select("peer_type", "peer_id", "title", "enabled", "added_by", F.row_number().over(Window.orderBy("created_at", "peer_type", "peer_id")).alias("place"))
+
+
 def targets(chats: DataFrame, peers: DataFrame) -> DataFrame:
     """Enabled chats with their access hash: 0 if unknown, and whether the peer is in the book."""
     book = peers.select("peer_type", "peer_id", F.coalesce("access_hash", F.lit(0)).alias("access_hash"), F.lit(True).alias("known"))

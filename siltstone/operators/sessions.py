@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.functions.lineage import checkpointed
 from siltstone.functions.scoring import stable_id
 
 WINDOW_SECONDS = 45 * 60
@@ -47,20 +48,32 @@ def conversations(messages: DataFrame, seconds: int = WINDOW_SECONDS, max_rounds
     for _ in range(max_rounds):
         ahead = base.select("chat_id", F.col("_from").alias("_to"), F.col("_to").alias("_far"))
         nxt = base.join(ahead, ["chat_id", "_to"], "left").select("chat_id", "_from", F.coalesce("_far", "_to").alias("_to"), F.col("_far").isNotNull().alias("_moved"))
-        nxt = nxt.checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt.cache()
+        nxt = checkpointed(nxt)
         base = nxt.drop("_moved")
         if nxt.where("_moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"reply chains are longer than 2**{max_rounds}")
     roots = m.select("chat_id", F.col("_at").alias("_to"), F.col("_cur").alias("_root"))
     through = base.join(roots, ["chat_id", "_to"]).select("chat_id", F.col("_from").alias("_at"), "_root")
     out = m.join(through, ["chat_id", "_at"], "left").withColumn("conversation", F.coalesce("_root", "_cur").cast("long"))
     return out.select(*messages.columns, "conversation")
 
 
+def line_of(sender, text):
+    """``sender: text``; a message without a sender is a ``user``'s."""
+    return F.concat(F.coalesce(F.nullif(T.trimmed(sender), F.lit("")), F.lit("user")), F.lit(": "), T.trimmed(text))
+
+
+def transcripts(rows: DataFrame, key: str, order: str, sender: str, text: str) -> DataFrame:
+    """The lines of each conversation in order, as ``transcript``; a conversation must fit a row."""
+    said = F.array_sort(F.collect_list(F.struct(order, line_of(sender, text).alias("line"))))
+    return rows.groupBy(key).agg(F.array_join(F.transform(said, lambda x: x["line"]), "\n").alias("transcript"))
+
+
 def grouped(messages: DataFrame, min_messages: int = 1, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Conversations ``chat_id, first_message_id, last_message_id, n, raw_text, created_at, updated_at, message_ids`` of at least ``min_messages``."""
-    line = F.concat(F.coalesce(F.nullif(F.trim("sender_name"), F.lit("")), F.lit("user")), F.lit(": "), T.trimmed("text"))
-    c = conversations(messages, seconds).withColumn("_line", line)
+    c = conversations(messages, seconds).withColumn("_line", line_of("sender_name", "text"))
     said = F.array_sort(F.collect_list(F.struct("date", "message_id", F.col("_line").alias("line"))))
     g = c.groupBy("chat_id", "conversation").agg(
         F.min("message_id").alias("first_message_id"), F.max("message_id").alias("last_message_id"), F.count("*").alias("n"), said.alias("m")
@@ -97,9 +110,16 @@ def cursors(messages: DataFrame) -> DataFrame:
 
 
 def encoded_cursor(newest: DataFrame) -> DataFrame:
-    """One row: the cursors of all chats as a JSON object."""
+    """One row: the cursors of all chats as a JSON object ``{"per_chat": {chat: message}}``; empty without chats."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col("chat_id").cast("string").alias("key"), F.col("message_id").alias("value"))))
-    return newest.agg(F.to_json(F.map_from_entries(pairs)).alias("cursor"))
+    return newest.agg(F.to_json(F.struct(F.map_from_entries(pairs).alias("per_chat"))).alias("cursor"))
+
+
+def decoded_cursor(states: DataFrame, cursor: str = "cursor") -> DataFrame:
+    """``chat_id, message_id`` of stored cursors; one that can't be read, or is empty, is no cursor."""
+    seen = F.from_json(cursor, "per_chat map<string,bigint>")["per_chat"]
+    rows = states.select(F.explode(seen).alias("chat_id", "message_id"))
+    return rows.select(F.expr("try_cast(chat_id as bigint)").alias("chat_id"), "message_id").where("chat_id is not null")
 
 
 def after_cursor(messages: DataFrame, newest: DataFrame) -> DataFrame:

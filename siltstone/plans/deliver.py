@@ -16,6 +16,6 @@ def deliver(events: DataFrame, users: DataFrame, subscriptions: DataFrame, peers
     return N.outbox_rows(N.enqueued(both, outbox), now)
 
 
-def newest_watermark(events: DataFrame) -> DataFrame:
-    """The newest time by source, for incremental cursors."""
-    return events.groupBy("source").agg(F.max("occurred_at").alias("cursor"))
+def newest_watermark(events: DataFrame, by: str = "source", at: str = "occurred_at") -> DataFrame:
+    """The newest time by source, as an incremental cursor in text."""
+    return events.groupBy(by).agg(E.rfc3339(F.max(at)).alias("cursor"))

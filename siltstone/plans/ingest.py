@@ -13,11 +13,11 @@ from siltstone.operators import maintenance as M
 def ingest(store: I.Snapshots, incoming: DataFrame, kind: str, embed=M.hashed_embedding, chunker=None) -> dict[str, int]:
     """Index documents ``id, source, source_id, url, title, body, body_hash, metadata``; a second run changes nothing.
 
-    Vectors are made before any table is replaced; the tables follow one by one
-    and points first, so a chunk never refers to a vector that isn't there.
+    Vectors are made before any table is replaced, and all tables change in one
+    commit, so a chunk never refers to a vector that isn't there.
     """
     spark = incoming.sparkSession
-    incoming = incoming.withColumn("chunker_version", F.lit(C.CHUNKER_VERSION))
+    incoming = incoming.withColumn("chunker_version", F.lit(C.VERSIONS.get(kind, C.CHUNKER_VERSION)))
     docs, old, points = store.read("documents"), store.read("chunks"), store.read("points")
     empty = docs is None
     docs = incoming.limit(0) if empty else docs
@@ -28,7 +28,7 @@ def ingest(store: I.Snapshots, incoming: DataFrame, kind: str, embed=M.hashed_em
         n = changed.count()
         if not n:
             return {"documents": 0, "embedded": 0, "reused": 0, "stale": 0}
-        made = C.finished((chunker or C.CHUNKERS[kind])(changed), changed)
+        made = C.finished((chunker(changed) if chunker else C.chunked(changed, kind)), changed)
         # Documents that lost all their chunks are planned too.
         gone = changed.select(F.col("id").alias("document_id"))
         plan = I.chunk_plan(made, old).unionByName(
@@ -42,9 +42,7 @@ def ingest(store: I.Snapshots, incoming: DataFrame, kind: str, embed=M.hashed_em
         dead = plan.where("action = 'stale' and point_id is not null").select("point_id")
         kept = points.join(dead, "point_id", "left_anti").join(fresh.select("point_id"), "point_id", "left_anti")
         new_chunks = I.upserted(I.without_stale(old, plan), made.withColumn("point_id", F.col("id")).select(*old.columns), key)
-        store.write("points", kept.unionByName(fresh))
-        store.write("chunks", new_chunks)
-        store.write("documents", I.upserted(docs, changed, ["source", "source_id"]) if not empty else changed)
+        store.commit({"points": kept.unionByName(fresh), "chunks": new_chunks, "documents": changed if empty else I.upserted(docs, changed, ["source", "source_id"])})
         plan.unpersist()
         return {"documents": n, "embedded": counts.get("embed", 0), "reused": counts.get("reuse", 0), "stale": counts.get("stale", 0)}
     finally:

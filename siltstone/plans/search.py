@@ -13,17 +13,9 @@ TOOL_LIMIT, ANSWER_LIMIT, MAX_IDS = 10, 12, 20
 BOT_POOL, BOT_SHOWN, BOT_INLINE = 20, 5, 8
 
 
-def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, limit: int = R.DEFAULT_LIMIT, tier: str | None = None, explicit=(), filters: dict[str, str] | None = None, index: DataFrame | None = None) -> DataFrame:
+def search(chunks: DataFrame, points: DataFrame, queries: DataFrame, limit: int = R.DEFAULT_LIMIT, tier: str | None = None, explicit=(), filters: dict[str, str] | None = None, index: DataFrame | None = None, degrade: bool = False) -> DataFrame:
     """Ranked chunks of every query under one source policy."""
-    return R.hybrid_search(chunks, points, queries, limit, index, P.tier_prefixes(tier, explicit, filters), filters)
-
-
-def degraded(search_backend, queries: DataFrame) -> DataFrame:
-    """A backend's hits, or none where it fails: a query degrades, it doesn't fail."""
-    try:
-        return search_backend(queries)
-    except Exception:  # any failure of one backend leaves the other's hits
-        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+    return R.hybrid_search(chunks, points, queries, limit, index, P.tier_prefixes(tier, explicit, filters), filters, degrade)
 
 
 def context(results: DataFrame) -> DataFrame:
@@ -72,3 +64,37 @@ def bot_results(hits: DataFrame, inline: bool = False) -> DataFrame:
     """Distinct documents of the best hits, as a chat shows them."""
     best = R.distinct_documents(hits.where(F.col("rank") <= BOT_POOL), BOT_INLINE if inline else BOT_SHOWN)
     return best.select("query_id", "rank", "document_id", "title", T.snippet("text", 160).alias("snippet"))
+
+
+def allowed_urls(seeds, discovered) -> F.Column:
+    """The URLs that an answer may cite: those of the first results and those found on the way, once each, in order."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(seeds, none), F.coalesce(discovered, none)))
+
+
+# Response headers that are passed on.
+HEADERS = ("Content-Type", "Content-Length", "ETag", "Last-Modified")
+
+
+def passed_headers(headers) -> F.Column:
+    """The headers of a response that are passed on, under their usual names; empty values are left out."""
+    names = F.array(*(F.lit(h) for h in HEADERS))
+    value = lambda name: F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == F.lower(name))
+    found = F.transform(names, lambda h: F.struct(h.alias("key"), F.try_element_at(value(h), F.lit(1))["value"].alias("value")))
+    return F.map_from_entries(F.filter(found, lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+
+
+def report_length(report) -> F.Column:
+    """Characters of a report ``struct<problem, findings, steps, sources, actions, links array<struct<text, url>>>`` in all its fields."""
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+    total = lambda items, one: F.coalesce(F.aggregate(items, F.lit(0), lambda a, x: a + one(x)), F.lit(0))
+    return size(report["problem"]) + size(report["findings"]) + total(report["steps"], size) + total(report["sources"], size) + total(report["actions"], size) + total(report["links"], lambda x: size(x["text"]) + size(x["url"]))
+
+
+def metrics(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: searches, results and empty searches, and the spread of results to a search."""
+    per = queries.select("query_id").join(results.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return per.agg(
+        F.count("*").alias("searches"), F.sum("n").alias("results"), F.count_if(F.col("n") == 0).alias("empty"),
+        F.percentile_approx("n", 0.5).alias("p50"), F.max("n").alias("most"),
+    )

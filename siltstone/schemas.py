@@ -23,7 +23,7 @@ SPECS = {
     "subscriptions": "user_id string, source string, event_types array<string>, filters map<string,string>, enabled boolean",
     "users": "id string, telegram_id bigint, gitlab_username string, jira_account string, enabled boolean, created_at timestamp",
     "peers": "peer_type string, peer_id bigint, access_hash bigint, username string, first_name string, last_name string, last_seen timestamp",
-    "chats": "peer_type string, peer_id bigint, enabled boolean, created_at timestamp",
+    "chats": "peer_type string, peer_id bigint, title string, enabled boolean, added_by bigint, created_at timestamp",
     "messages": "chat_id bigint, message_id bigint, thread_id bigint, sender_id bigint, sender_name string, text string, date timestamp, reply_to bigint",
     "support_requests": "chat_id bigint, first_message_id bigint, last_message_id bigint, raw_text string, summary string, status string, confidence double",
     "sync_states": "source string, last_cursor string, status string, count bigint, updated_at timestamp",

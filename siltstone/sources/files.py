@@ -101,7 +101,7 @@ def after_commit(commits: DataFrame, cursor: str | None, limit: int | None = Non
 
 def commit_documents(commits: DataFrame) -> DataFrame:
     """Documents of commits that are neither merges nor by bots nor trivial."""
-    subject = F.trim(F.split("message", "\n")[0])
+    subject = T.trimmed(F.split("message", "\n")[0])
     good = commits.where((F.col("parents") < 2) & ~P.by_bot("author_name", "author_email") & ~P.trivial_subject(subject))
     source, source_id = F.concat(F.lit("git_commits:"), "repo"), F.concat_ws("@", "repo", F.substring("sha", 1, 12))
     body = T.trimmed("message")
@@ -114,7 +114,7 @@ def commit_documents(commits: DataFrame) -> DataFrame:
 
 def tag_documents(tags: DataFrame) -> DataFrame:
     """Documents of tags: an annotated one's message, else what it points to; a lightweight tag's message is its commit's."""
-    subject = F.trim(F.split(F.coalesce("message", F.lit("")), "\n")[0])
+    subject = T.trimmed(F.split(F.coalesce("message", F.lit("")), "\n")[0])
     plain = F.format_string("Lightweight tag pointing to %s: %s", F.substring("target", 1, 12), subject)
     body = F.when(F.col("annotated") & (T.trimmed("message") != ""), T.trimmed("message")).otherwise(plain)
     source, source_id = F.concat(F.lit("git_tags:"), "repo"), F.concat(F.col("repo"), F.lit("@tag:"), F.col("name"))
@@ -183,3 +183,23 @@ def converted_documents(files: DataFrame, name: str, convert=html_text) -> DataF
     """Context files that need a converter, as documents; those that give no text are left out."""
     rows = files.where(convertible("path")).withColumn("content", F.encode(convert(F.make_valid_utf8(F.col("content").cast("string"))), "UTF-8"))
     return context_documents(rows.where(F.octet_length("content") > 0), name)
+
+
+def encoded_commit_cursor(sha, branch) -> Column:
+    return F.to_json(F.struct(F.coalesce(T._c(sha), F.lit("")).alias("last_sha"), F.coalesce(T._c(branch), F.lit("")).alias("branch")))
+
+
+def decoded_commit_cursor(cursor) -> Column:
+    """``struct<last_sha, branch>``; an empty or unreadable cursor is an empty one."""
+    got = F.from_json(T._c(cursor), "last_sha string, branch string")
+    return F.struct(F.coalesce(got["last_sha"], F.lit("")).alias("last_sha"), F.coalesce(got["branch"], F.lit("")).alias("branch"))
+
+
+# Sources of a repository, in the order of a clean-up.
+REPOSITORY_SOURCES = ("git_docs:", "git_manifest:", "git_code:", "git_commits:", "git_tags:")
+
+
+def sources_of(repo: str = "", source: str = "") -> list[str]:
+    """The sources that a clean-up of a repository and of a named source covers, once each."""
+    repo, source = repo.strip(), source.strip()
+    return list(dict.fromkeys([*(p + repo for p in REPOSITORY_SOURCES if repo), *([source] if source else [])]))

@@ -58,10 +58,13 @@ def test_yaml_and_go():
     assert [(t, m["start_line"]) for t, _, m in C.yaml_parts(y)] == [("Service api (prod)", "1"), ("ConfigMap c", "9")]
     assert C.yaml_parts("# Source: chart\nkind: X") == []
     go = 'package p\n\nimport "fmt"\n\n// Hi says {.\nfunc Hi(a string) {\n\tfmt.Println("}", `{`)\n}\n\ntype T struct {\n\tA int\n}\n\nfunc (t *T) M() {}\nvar x = 1\n'
-    got = C.go_parts(go)
-    assert [t for t, *_ in got] == ["package p", "func Hi", "type T", "(*T) M", "var x"]
+    got = C.go_parts("a.go", go)
+    assert [t for t, *_ in got] == ["file: a.go (p)", "Hi", "T", "(*T).M", "x"]
     assert got[1][1].startswith("// Hi says") and got[1][2]["start_line"] == "5" and got[1][2]["end_line"] == "8"
-    assert C.go_parts("package p\nfunc broken( {") is None
+    assert C.go_parts("a.go", "package p\nfunc broken( {") == []
+    group = C.go_parts("g.go", "package p\n\ntype (\n\t// A is one.\n\tA struct {\n\t\tX int\n\t}\n\n\tB int // two\n)\n\nconst (\n\tC = iota\n\tD\n)\n", "https://h/g.go")
+    assert [(t, m["symbol_kind"], m.get("start_line"), m.get("end_line")) for t, _, m in group[1:]] == [("A", "type", "4", "7"), ("B", "type", "9", "9"), ("C", "const", "13", "13"), ("D", "const", "14", "14")]
+    assert group[1][1] == "// A is one.\n\tA struct {\n\t\tX int\n\t}" and group[2][1] == "B int" and group[1][2]["source_url"] == "https://h/g.go#L4-7" and group[2][2]["source_url"] == "https://h/g.go#L9"
 
 
 def test_chunkers_on_frames(spark):
@@ -70,7 +73,7 @@ def test_chunkers_on_frames(spark):
     assert md[0].title == "A" and md[0].metadata["source"] == "git_docs:x" and md[0].metadata["source_url"] == "u"
     code = d.where("id <> '0'").withColumn("metadata", F.create_map(F.lit("lang"), F.element_at(F.split("title", r"\."), -1)))
     got = sorted((r.document_id, r.chunk_index, r.text) for r in C.code(code).collect())
-    assert got == [("1", 0, "package p\nfunc F()"), ("1", 1, "func F() {}"), ("2", 0, "select 1"), ("2", 1, "select 2"), ("3", 0, "package p\nfunc broken( {")]
+    assert got == [("1", 0, "package p\n\nfunc F()"), ("1", 1, "func F() {}"), ("2", 0, "select 1"), ("2", 1, "select 2")]
     item = docs_of(spark, [("t", "b")]).select("*", F.lit(7).alias("iid"), F.lit("s").alias("summary"), F.lit("").alias("description"), F.expr("transform(sequence(1, 10), i -> named_struct('resolved', i = 1, 'comments', array(named_struct('author', 'a', 'created', timestamp'2026-01-01', 'body', if(i = 2, 'ok', concat('c', i))))))").alias("threads"))
     got = C.tracker_items(item).orderBy("chunk_index").collect()
     assert [r.title for r in got] == ["Summary: Issue #7", "Comments [1-8]", "Comments [9-9]"]
@@ -187,13 +190,15 @@ def test_alert_webhook(spark):
 def test_delivery_is_idempotent(spark):
     users = spark.createDataFrame([("1", 11, "bob", None, True, T0), ("2", 22, "dan", None, True, T0)], schemas.schema("users"))
     subs = spark.createDataFrame([("1", "gitlab", ["mr_assigned"], {}, True), ("2", "gitlab", ["mr_assigned"], {}, True)], schemas.schema("subscriptions"))
-    peers = spark.createDataFrame([], schemas.schema("peers"))
-    chats = spark.createDataFrame([("channel", 5, True, T0)], schemas.schema("chats"))
+    peers = spark.createDataFrame([("user", 11, 7, "", "", "", T0)], schemas.schema("peers"))
+    chats = spark.createDataFrame([("channel", 5, "", True, 1, T0)], schemas.schema("chats"))
     outbox = spark.createDataFrame([], schemas.schema("notifications"))
     e = merge_request(spark, assignees=["bob", "dan"])
     out, jobs = D.deliver(e.unionByName(e), users, subs, peers, chats, outbox, F.lit(T0))
     rows = out.collect()
     assert [(r.peer_id, r.text) for r in rows] == [(11, "🔀 **dan** assigned you to [T](https://h.x/1)")] and jobs.count() == 1
+    unknown, _ = D.deliver(e, users, subs, peers.limit(0), chats, outbox, F.lit(T0))
+    assert unknown.count() == 0  # who isn't in the book can't be addressed
     again, _ = D.deliver(e, users, subs, peers, chats, out.select(*outbox.columns), F.lit(T0))
     assert again.count() == 0
 

@@ -56,5 +56,5 @@ def test_every_order_and_customer_counts(spark, duck, tmp_path):
     """Ids far over those of the small tables are kept."""
     for name, key in (("customer", "c_custkey"), ("lineitem", "l_orderkey")):
         spark.read.parquet(f"{ROOT}/{name}.parquet").withColumn(key, spark_col(key) + 1_000_000).write.parquet(f"{tmp_path}/{name}.parquet")
-    assert queries.QUERIES["peer_merge_all"](spark, tmp_path).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
-    assert queries.QUERIES["coalesce_per_thread_all"](spark, tmp_path).count() == duck.sql(queries.ORACLES["coalesce_per_thread_all"]).count("*").fetchall()[0][0]
+    assert queries.QUERIES["peer_merge"](spark, tmp_path).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
+    assert queries.QUERIES["coalesce_per_thread"](spark, tmp_path).count() == duck.sql(queries.ORACLES["coalesce_per_thread"]).count("*").fetchall()[0][0]
