@@ -789,3 +789,7 @@ def stream_dedup(t):
 
     twice = lambda e: jobs.deduplicated(e.unionByName(e), id_="event_id", at="ts")
     return _streamed(t, twice, "dedup").select("event_id")
+
+
+# Queries of tracker objects, projections and stores register themselves here.
+from siltstone import object_queries  # noqa: E402, F401

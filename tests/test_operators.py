@@ -287,3 +287,74 @@ def test_stream_replies_to_old_messages():
     run = lambda r: list(jobs.conversation_state((7,), iter([pd.DataFrame(r, columns=["message_id", "date", "reply_to"])]), state))[0]
     run(rows)
     assert run([(20_000, at + pd.Timedelta(hours=3), 1)]).conversation.tolist() == [0]
+
+
+def test_snapshots_survive_a_writer_that_stops(spark, tmp_path):
+    """A commit that was begun and not ended, and versions that no commit names, change nothing; several tables change together."""
+    root = tmp_path / "store"
+    store = I.Snapshots(spark, str(root))
+    a, b = spark.range(3), spark.range(5)
+    assert store.read("x") is None
+    store.commit({"x": a, "y": a})
+    b.write.parquet(str(root / "x" / "v-stray"))
+    number = max(int(p.name) for p in (root / "_commits").iterdir() if p.name.isdigit())
+    (root / "_commits" / f"{number + 1:012d}").write_text('{"x": "v-str')
+    assert store.read("x").count() == 3 and store.read("y").count() == 3
+    store.write("x", b)
+    assert store.read("x").count() == 5 and store.read("y").count() == 3
+    old = store.read("y")
+    assert store.vacuum(keep=1) == 2 and old.count() == 3 and store.read("x").count() == 5
+
+
+def test_a_failed_sink_holds_the_cursor_back(spark, tmp_path):
+    from siltstone.plans import routing as RT
+
+    store = I.Snapshots(spark, str(tmp_path / "store"))
+    now = F.lit(T0)
+    events = E.alert_events(spark.createDataFrame([('{"alerts":[{"status":"firing","labels":{"alertname":"A","severity":"page"},"startsAt":"2026-05-01T10:00:00Z","fingerprint":"f"}]}',)], "value string"))
+    empty = lambda name: spark.createDataFrame([], schemas.schema(name))
+    chats = spark.createDataFrame([("channel", 5, "", True, 1, T0)], schemas.schema("chats"))
+    write = RT.outbox_sink(store, empty("users"), empty("subscriptions"), empty("peers"), chats, now, -1)
+    asked = RT.investigation_sink(store, now, "warning")
+    down = [True]
+
+    def flaky(_):
+        if down[0]:
+            raise RuntimeError("down")
+
+    sinks = [RT.Sink("flaky", flaky), RT.Sink("outbox", write, types=("alert.firing",)), RT.Sink("agent", asked)]
+    state = lambda: store.read("sync_states").first()
+    assert RT.run_source(store, "alerts", spark.range(2), events, "c1", [sinks[1]], now) and state().last_cursor == "c1"
+    assert not RT.run_source(store, "alerts", spark.range(2), events, "c2", sinks, now)
+    assert (state().last_cursor, state().status) == ("c1", "error")
+    down[0] = False
+    assert RT.run_source(store, "alerts", spark.range(2), events, "c2", sinks, now) and (state().last_cursor, state().status) == ("c2", "ok")
+    # All sinks had the event each time and wrote it once; the job has its row's id.
+    assert [r.id for r in store.read("notifications").collect()] == [r.id for r in store.read("queue_jobs").collect()] and store.read("queue_jobs").count() == 1
+    assert store.read("investigation_jobs").count() == 1
+    n = RT.drained(store, lambda jobs: jobs.select("id", F.lit(None).cast("string").alias("cause")), now)
+    assert n == 1 and store.read("queue_jobs").first().status == "done"
+
+
+def test_a_broken_backend_leaves_the_other_one(spark):
+    chunks = spark.createDataFrame([(1, "cats", "all about cats", {}), (2, "dogs", "all about dogs", {})], "id long, title string, text string, metadata map<string,string>")
+    queries = spark.createDataFrame([(9, "cats", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    points = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, embedding array<double>")
+    bad = points.withColumn("embedding", F.raise_error(F.lit("down")).cast("array<double>"))
+    ids = lambda p, d: [r.id for r in R.hybrid_search(chunks, p, queries, degrade=d).orderBy("rank").collect()]
+    assert set(ids(points, True)) == {1, 2} and ids(bad, True) == [1]
+    with pytest.raises(Exception, match="down"):
+        ids(bad, False)
+
+
+def test_vector_search_edges(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0, 1.0]), (5, [])], "query_id long, embedding array<double>")
+    p = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [0.0, 3.0, 0.0]), (7, [-1.0, 0.0])], "id long, embedding array<double>")
+    got = [(r.query_id, r.id, r.rank) for r in R.vector_blocks(p, q, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 1), (1, 2, 2), (4, 6, 1)]
+    assert R.vector_blocks(p, q.limit(0), 2).count() == 0 and R.vector_blocks(p.limit(0), q, 2).count() == 0
+
+
+def test_source_lists():
+    assert files.sources_of(" r ", "jira") == ["git_docs:r", "git_manifest:r", "git_code:r", "git_commits:r", "git_tags:r", "jira"]
+    assert files.sources_of("r", "git_code:r")[-1] == "git_tags:r" and files.sources_of(" ", "") == []
