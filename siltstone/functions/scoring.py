@@ -22,21 +22,26 @@ def idf(total, df) -> Column:
     return F.log1p(_c(total).cast("double") / (_c(df) + 1))
 
 
-def specificity(terms, hay, total) -> Column:
+def seen_terms(terms, hay) -> Column:
+    """Those of ``terms`` (array<struct<term, idf>>) that a text has."""
+    h = _c(hay)
+    return F.filter(_c(terms), lambda x: F.contains(h, x["term"]))
+
+
+def specificity(terms, hay, total, seen=None) -> Column:
     """How much of the query's rarity a text has.
 
     ``terms`` is array<struct<term, idf>>. (1 + matched / total rarity), times
     0.2 if the rarest terms (the anchors) are all missing. 1 where the query
-    has a single term or the collection is empty.
+    has a single term or the collection is empty. ``seen`` is a column with the
+    ``seen_terms``, so that the text isn't searched twice.
     """
-    t, h = _c(terms), _c(hay)
-    zero = F.lit(0.0)
-    top = F.array_max(F.transform(t, lambda x: x["idf"]))
-    whole = F.aggregate(t, zero, lambda a, x: a + x["idf"])
-    hit = F.aggregate(F.filter(t, lambda x: F.contains(h, x["term"])), zero, lambda a, x: a + x["idf"])
-    anchors = F.filter(t, lambda x: x["idf"] >= ANCHOR_SHARE * top)
-    missed = ~F.exists(anchors, lambda x: F.contains(h, x["term"]))
-    factor = (1 + hit / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
+    t, s = _c(terms), seen_terms(terms, hay) if seen is None else _c(seen)
+    rarity = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x["idf"])
+    rarest = lambda items: F.array_max(F.transform(items, lambda x: x["idf"]))
+    whole = rarity(t)
+    missed = F.coalesce(rarest(s), F.lit(-1.0)) < ANCHOR_SHARE * rarest(t)
+    factor = (1 + rarity(s) / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
     return F.when((F.size(t) <= 1) | (_c(total) <= 0) | (whole <= 0), F.lit(1.0)).otherwise(factor)
 
 

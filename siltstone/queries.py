@@ -338,7 +338,7 @@ def specificity(t, q):
     index = R.postings(c, R.query_terms(q))
     both = R.fused(R.lexical_hits(index, q, k), R.vector_blocks(_points(t), q, k))
     terms = R.weighted_terms(q, R.term_stats(index), c.agg(F.count("*").alias("n")))
-    return R.reranked(R.hydrated(both, c), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
+    return R.reranked(R.described(both, c), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
 
 
 _KEYED = r"keyed AS (SELECT *, CASE WHEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) = '' THEN 'id:' || id ELSE 'text:' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) END AS key FROM reranked)"
