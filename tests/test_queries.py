@@ -58,3 +58,21 @@ def test_every_order_and_customer_counts(spark, duck, tmp_path):
         spark.read.parquet(f"{ROOT}/{name}.parquet").withColumn(key, spark_col(key) + 1_000_000).write.parquet(f"{tmp_path}/{name}.parquet")
     assert queries.QUERIES["peer_merge"](spark, tmp_path).count() == duck.sql("SELECT count(*) FROM customer").fetchall()[0][0]
     assert queries.QUERIES["coalesce_per_thread"](spark, tmp_path).count() == duck.sql(queries.ORACLES["coalesce_per_thread"]).count("*").fetchall()[0][0]
+
+
+def test_search_by_blocks_and_by_a_stored_index(spark, tmp_path, monkeypatch):
+    """Neither the number of query blocks nor the place of the index changes an answer."""
+    from siltstone.operators import retrieval as R
+
+    read = lambda n: spark.read.parquet(f"{ROOT}/{n}.parquet")
+    tables = type("Tables", (), {n: read(n) for n in ("documents", "benchmark", "embeddings")})
+    chunks, points, asked = queries._chunks(tables), queries._points(tables), queries._queries(tables)
+
+    def rows(**how):
+        return sorted((r.query_id, r.rank, r.id, round(r.score, 9), r.text) for r in R.hybrid_search(chunks, points, asked, 10, **how).collect())
+
+    want = rows()
+    R.postings(chunks).write.parquet(f"{tmp_path}/index")
+    assert want and rows(index=spark.read.parquet(f"{tmp_path}/index")) == want
+    monkeypatch.setattr(R, "BLOCK", 7)
+    assert rows() == want
