@@ -146,8 +146,8 @@ def _rare(batches: Batches) -> Batches:
 
     size = 0
     for batch in batches:
-        for doc_id, comp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            s = shingle_set(words_of(text.as_py()))
+        for doc_id, comp, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            s = np.frombuffer(held.as_py(), np.uint64)
             wait.append((s, np.full(len(s), doc_id, np.int64), np.full(len(s), comp, np.int64)))
             size += len(s)
             if size > 1_000_000:
@@ -176,7 +176,7 @@ def _common(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """For each pair (a, b): whether it links, and bounds of its distance."""
     agreement = F.pandas_udf(_agreement, "double")
     common = F.pandas_udf(_common, "long")
@@ -186,9 +186,6 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: flo
         "estimates",
     )
     close = est.where(F.col("est") >= threshold - SIGNATURE_SLACK)
-    ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
-    sets = scratch.save(map_arrow(texts, _sets, "doc_id bigint, shingles binary"), "sets")
     half = lambda k: sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"set_{k}"))
     size = lambda k: (F.octet_length(f"set_{k}") / 8).cast("long")
     full = (
@@ -213,7 +210,7 @@ def _verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: flo
         F.lit(1.0).alias("most"),
     )
     out = scratch.save(exact.unionByName(far), "verified")
-    scratch.drop(sets, est)
+    scratch.drop(est)
     return out
 
 
@@ -241,14 +238,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         "signatures",
     )
     real = table.where("n_shingles > 0 and doc_id is not null")
-    reps = scratch.save(real.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    own = real.join(reps.withColumnRenamed("rep", "doc_id"), ["fp", "doc_id"], "left_semi")
-    sigs = scratch.save(own.select("doc_id", "n_shingles", "sig", "bands").dropDuplicates(["doc_id", "sig"]), "representatives")
+    least = F.min(F.struct("doc_id", "n_shingles", "sig", "bands"))
+    reps = scratch.save(real.groupBy("fp").agg(least.alias("rep")).select("fp", "rep.*"), "representatives")
+    sigs = reps.drop("fp")
 
     rows = sigs.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     buckets = scratch.save(rows.join(centres, "bucket"), "buckets")
-    star = _verified(buckets.where("a <> b").select("a", "b").distinct(), sigs, docs, threshold, scratch)
+    # The sets of all that share a bucket are made once; texts are shuffled for them alone.
+    met = buckets.where("a <> b").select("a", "b").distinct()
+    ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.save(map_arrow(docs.join(ids.hint("merge"), "doc_id", "left_semi"), _sets, "doc_id bigint, shingles binary"), "sets")
+    star = _verified(met, sigs, sets, threshold, scratch)
     first = connected_components(star.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
     # What a bucket's centre has not linked: only pairs of different components.
@@ -270,17 +271,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     # In crowded buckets most pairs can share only what many there have: rare shingles are compared on their own.
     crowded = mixed.groupBy("bucket").agg((F.count("*") * F.count_if("foreign")).alias("pairs")).where(F.col("pairs") > CROWDED)
     crowd = mixed.join(crowded, "bucket", "left_semi").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp_a").alias("comp"))
-    texts = docs.join(crowd.hint("merge"), "doc_id").select("doc_id", "comp", "text")
-    rare = map_arrow(texts, _rare, "shingle long, n long, docs array<long>, comps array<long>")
+    held = sets.join(crowd, "doc_id").select("doc_id", "comp", "shingles")
+    rare = map_arrow(held, _rare, "shingle long, n long, docs array<long>, comps array<long>")
     rare = rare.groupBy("shingle").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("comps")).alias("comps"))
     rare = scratch.save(rare.where(F.col("n") <= RARE).select("n", "docs", "comps"), "rare")
-    own_rare = rare.select("n", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("few"))
+    own_rare = rare.select(F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("few"))
     bound = sigs.select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"]).join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
     bound = bound.select(
         F.col("doc_id").alias("a"),
         "n_shingles",
         F.coalesce("crowded", F.lit(False)).alias("crowded"),
-        (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("sharable"),
         (F.col("n_shingles") - F.coalesce("few", F.lit(0))).alias("common"),
         F.when(F.col("crowded"), F.col("bands")).alias("bands"),
     )
@@ -307,21 +307,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     member = F.explode(F.arrays_zip("docs", "comps"))
     left, right = rare.where("n > 1").select("docs", "comps", member.alias("l")), F.explode(F.arrays_zip("docs", "comps"))
     shared = left.select("l", right.alias("r")).where((F.col("l.docs") < F.col("r.docs")) & (F.col("l.comps") != F.col("r.comps")))
-    shared = shared.select(F.col("r.docs").alias("a"), F.col("l.docs").alias("b")).distinct()
-    limits = lambda k: bound.select(F.col("a").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sharable").alias(f"s_{k}"))
+    shared = shared.groupBy(F.col("r.docs").alias("a"), F.col("l.docs").alias("b")).agg(F.count("*").alias("rare"))
+    limits = lambda k: bound.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n_shingles", "common")))
     shared = shared.join(limits("a"), "a").join(limits("b"), "b")
-    shared = shared.where(F.least("s_a", "s_b") >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-6)
+    needed = threshold / (1 + threshold) * (F.col("n_shingles_a") + F.col("n_shingles_b")) - 1e-6
+    shared = shared.where(F.col("rare") + F.least("common_a", "common_b") >= needed)
     rest = rest.unionByName(shared.select("a", "b")).distinct()
     rest = scratch.save(rest, "rest")
     if rest.isEmpty():
         last = first
     else:
-        more = _verified(rest, sigs, docs, threshold, scratch)
+        more = _verified(rest, sigs, sets, threshold, scratch)
         links = more.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
         last = first if links.isEmpty() else connected_components(first.unionByName(links), scratch)
-    scratch.drop(buckets, mixed)
+    scratch.drop(buckets, mixed, sets)
 
-    labels = reps.join(last, reps.rep == last.u, "left").select("fp", F.coalesce("v", "rep").alias("component"))
+    labels = reps.select("fp", "doc_id").join(last, F.col("doc_id") == F.col("u"), "left").select("fp", F.coalesce("v", "doc_id").alias("component"))
     whole = table.select("doc_id", "fp", "n_shingles", "text_key").join(labels, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")

@@ -31,9 +31,10 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("crowded", [2000, 0])
-def test_against_brute_force(spark, monkeypatch, crowded):
+@pytest.mark.parametrize(("crowded", "rare"), [(2000, 16), (0, 16), (0, 2)])
+def test_against_brute_force(spark, monkeypatch, crowded, rare):
     monkeypatch.setattr(minhash, "CROWDED", crowded)
+    monkeypatch.setattr(minhash, "RARE", rare)
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     rows, base = [], [[word() for _ in range(rnd.choice([3, 8, 40, 120]))] for _ in range(30)]
