@@ -38,6 +38,8 @@ HASHES = BANDS * ROWS
 SIGNATURE_SLACK = 0.2
 #: Pairs of one bucket over which its documents' unshared shingles are counted first.
 CROWDED = 2000
+#: Bytes of sets that leave a task at once.
+FLUSH = 4_000_000
 #: A shingle is rare if no more of these documents have it.
 RARE = 16
 
@@ -122,10 +124,17 @@ def _signatures(batches: Batches) -> Batches:
 
 
 def _sets(batches: Batches) -> Batches:
+    """The set of each text, some megabytes of sets at a time."""
     for batch in batches:
-        ids = batch.column(0)
-        sets = [shingle_set(words_of(t.as_py())).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+        ids, sets, size = [], [], 0
+        last = batch.num_rows - 1
+        for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            ids.append(doc_id)
+            sets.append(shingle_set(words_of(text.as_py())).tobytes())
+            size += len(sets[-1])
+            if size > FLUSH or i == last:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                ids, sets, size = [], [], 0
 
 
 def _rare(batches: Batches) -> Batches:
