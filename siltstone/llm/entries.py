@@ -11,13 +11,16 @@ from siltstone.llm.chat import chat_digests
 from siltstone.llm.common import read
 from siltstone.llm.decontam import find_leaks
 from siltstone.llm.htmlx import extract_pages
+from siltstone.llm.intervals import sale_sessions
 from siltstone.llm.langid import language_ids
 from siltstone.llm.minhash import near_duplicates
 from siltstone.llm.packing import pack_documents
 from siltstone.llm.quality import quality_scores
 from siltstone.llm.sharding import shard_documents
+from siltstone.llm.token_counts import token_counts
 from siltstone.llm.tokens import token_output
 from siltstone.llm.topk import top_k
+from siltstone.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +128,61 @@ SELECT * FROM r WHERE rank <= 10
 @_query
 def op10_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(read(spark, sf_dir, "pages"))
+
+
+@_query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale_sessions(read(spark, sf_dir, "sales"), read(spark, sf_dir, "sale_lines"), read(spark, sf_dir, "clicks"))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of an ASCII text in DuckDB SQL: eight steps for each bit of each byte."""
+    step = "xor(r >> 1, 3988292384 * (r & 1))"
+    for _ in range(7):
+        step = f"list_transform([{step}], lambda r: xor(r >> 1, 3988292384 * (r & 1)))[1]"
+    whole = f"list_reduce(list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT), lambda a, c: list_transform([xor(a, c)], lambda r: {step})[1], 4294967295::BIGINT)"
+    return f"xor({whole}, 4294967295)"
+
+
+ORACLES["op13_interval_overlap"] = f"""
+WITH c AS (
+  SELECT client_id, epoch_us(ts) AS us, max((coalesce(kind, '') = 'error')::INTEGER) AS err
+  FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL
+), g AS (
+  SELECT *, CASE WHEN us - lag(us) OVER w <= 900000000 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY client_id ORDER BY us)
+), h AS (
+  SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY us) AS k FROM g
+), sessions AS (
+  SELECT client_id, min(us) AS first, min(us) // 21600000000 AS a,
+         CASE WHEN max_by(err, us) = 1 THEN 1000000000000 ELSE max(us) // 21600000000 END AS b
+  FROM h GROUP BY client_id, k
+), coded AS (
+  SELECT *, {_crc32("first::VARCHAR")}::BIGINT AS crc FROM sessions
+), shipped AS (SELECT sale_id, max(epoch_us(shipped_at)) AS us FROM sale_lines GROUP BY sale_id
+), spans AS (
+  SELECT s.sale_id, s.client_id, epoch_us(s.sold_at) // 21600000000 AS a,
+         CASE WHEN s.status = 'open' THEN 1000000000000
+              ELSE greatest(epoch_us(s.sold_at), coalesce(l.us, epoch_us(s.sold_at))) // 21600000000 END AS b
+  FROM sales s LEFT JOIN shipped l ON l.sale_id = s.sale_id
+  WHERE s.client_id IS NOT NULL AND s.sold_at IS NOT NULL
+), pairs AS (
+  SELECT p.sale_id, crc,
+         CASE WHEN p.a < q.a THEN CASE WHEN p.b < q.b THEN 'overlaps' WHEN p.b = q.b THEN 'finished_by' ELSE 'contains' END
+              WHEN p.a = q.a THEN CASE WHEN p.b < q.b THEN 'starts' WHEN p.b = q.b THEN 'equals' ELSE 'started_by' END
+              ELSE CASE WHEN p.b < q.b THEN 'during' WHEN p.b = q.b THEN 'finishes' ELSE 'overlapped_by' END END AS relation,
+         CASE WHEN least(p.b, q.b) < 1000000000000 THEN least(p.b, q.b) - greatest(p.a, q.a) + 1 END AS shared
+  FROM spans p JOIN coded q ON p.client_id = q.client_id AND p.a <= q.b AND q.a <= p.b
+)
+SELECT sale_id, relation, count(*)::BIGINT AS n_pairs, sum(shared)::BIGINT AS overlap_slots, sum(crc)::BIGINT AS sessions_crc
+FROM pairs GROUP BY sale_id, relation
+"""
