@@ -77,14 +77,26 @@ def cosine(a, b) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def lexical_score(title_tokens, text_tokens, query) -> Column:
-    """A weighted term score in place of the database's: per query term 1.0 for each of up to four hits in the title and 0.4 in the text, over the number of terms."""
-    def capped(tokens: Column, term: Column) -> Column:
-        return F.least(F.size(F.filter(tokens, lambda x: x == term)), F.lit(4))
-
-    t, b, q = _c(title_tokens), _c(text_tokens), _c(query)
-    total = F.aggregate(q, F.lit(0.0), lambda s, term: s + 1.0 * capped(t, term) + 0.4 * capped(b, term))
-    return F.try_divide(total, F.size(q))
+#: Sums of 1 / j**2, by the number of terms in the sum, up to the 256 positions that the database keeps of a word.
+_SQUARES = [0.0]
+for _j in range(1, 257):
+    _SQUARES.append(_SQUARES[-1] + 1.0 / (_j * _j))
+TITLE_WEIGHT, TEXT_WEIGHT, ALL_SQUARES = 1.0, 0.4, 1.64493406685
+
+
+def text_rank(tf_title, tf_text) -> Column:
+    """A word's part of the database's text rank, in whole billionths, so that sums don't depend on their order.
+
+    The rank of a query of alternatives is the mean of its words' parts. A part
+    sums the weights of the word's places, those in the title (weight A) first,
+    each over the square of its number, over the limit of such a sum.
+    """
+    a = F.least(_c(tf_title), F.lit(255))
+    b = F.least(_c(tf_text), F.lit(255), 256 - a)
+    table = F.array(*(F.lit(x) for x in _SQUARES))
+    upto = lambda n: F.element_at(table, (n + 1).cast("int"))
+    part = (TITLE_WEIGHT * upto(a) + TEXT_WEIGHT * (upto(a + b) - upto(a))) / ALL_SQUARES
+    return F.round(part * 1e9).cast("long")
 
 
 def backoff_seconds(attempts, base: float = 30.0, cap: float = 600.0) -> Column:

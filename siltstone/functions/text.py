@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import as_column as _c
 
-# The Unicode white space that trimming removes.
+# The Unicode white space that trimming removes, as a pattern and as characters.
 SPACE = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(text) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(_c(text), f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    return F.btrim(_c(text), F.lit(SPACES))
 
 
 def body_hash(text) -> Column:

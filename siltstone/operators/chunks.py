@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as P
 from siltstone.functions import text as T
+from siltstone.functions.lineage import shipped
 from siltstone.functions.scoring import stable_id
 
 WINDOW, STEP = 4000, 3700
@@ -382,6 +383,7 @@ def _parsed(docs: DataFrame, parse) -> DataFrame:
                 names=["document_id", "chunk_index", "chunk_type", "title", "text", "metadata"],
             )
 
+    shipped(docs.sparkSession)
     return docs.select("id", "title", "body", "metadata").mapInArrow(run, CHUNK_SCHEMA)
 
 

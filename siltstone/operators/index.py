@@ -27,10 +27,7 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, .
     Of new rows with one key the last by all columns holds, so the result
     doesn't depend on their order.
     """
-    rest = [F.col(c).desc_nulls_last() for c in _orderable(new) if c not in keys]
-    if rest:
-        w = Window.partitionBy(*keys).orderBy(*rest)
-        new = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    new = one_for_each(new, keys)
     a = old.select(*keys, F.struct(*old.columns).alias("_old"))
     b = new.select(*keys, F.struct(*new.columns).alias("_new"))
     both = a.join(b, keys, "full_outer")
@@ -46,6 +43,15 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, .
     return both.select(*(F.col(c) if c in keys else value(c) for c in old.columns))
 
 
+def one_for_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key, the last by all columns."""
+    rest = [F.col(c).desc_nulls_last() for c in _orderable(rows) if c not in keys]
+    if not rest:
+        return rows
+    w = Window.partitionBy(*keys).orderBy(*rest)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def inserted(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """New rows whose key isn't there yet, one for each key (insert or ignore)."""
     fresh = new.join(old.select(*keys).distinct(), keys, "left_anti")
@@ -165,6 +171,10 @@ def synced(states: DataFrame, new: DataFrame) -> DataFrame:
     return upserted(states, new, ["source"], keep=())
 
 
+class CommitConflict(RuntimeError):
+    """Another writer changed a table after this one read it."""
+
+
 class Snapshots:
     """Versioned tables in one folder, changed by numbered commits.
 
@@ -172,12 +182,15 @@ class Snapshots:
     replaced, names the version of every table. The complete commit with the
     highest number holds. A writer that stops at any point leaves the last
     commit in force, several tables change together, and a reader sees the
-    versions that held when it asked. One writer commits at a time; a second one
-    that takes the same number fails to create it and tries the next.
+    versions that held when it asked. A writer whose number is taken tries the
+    next one, but never over a table that has changed since it read it: then the
+    commit fails with ``CommitConflict``, and the caller reads and plans again.
+    The folder's file system must create a file only where none is.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: dict[str, str | None] = {}  # the version of each table that this writer read last
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -210,18 +223,22 @@ class Snapshots:
         return self.current().get(table)
 
     def read(self, table: str) -> DataFrame | None:
-        v = self.version(table)
+        v = self._seen[table] = self.version(table)
         return self.spark.read.parquet(f"{self.root}/{table}/{v}") if v else None
 
     def commit(self, tables: dict[str, DataFrame]) -> dict[str, str]:
         """Write new versions of tables and make them hold together."""
-        made = {}
+        made, base = {}, self.current()
+        base = {t: self._seen.get(t, base.get(t)) for t in tables}
         for table, df in tables.items():
             made[table] = f"v-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.root}/{table}/{made[table]}")
         while True:
             number = max(self._commits(), default=0) + 1
-            text = json.dumps(self.current() | made) + "\n"
+            now = self.current()
+            if changed := sorted(t for t in tables if now.get(t) != base[t]):
+                raise CommitConflict(", ".join(changed))
+            text = json.dumps(now | made) + "\n"
             fs, p = self._fs(f"{self.root}/_commits/{number:012d}")
             try:
                 out = fs.create(p, False)
@@ -231,6 +248,7 @@ class Snapshots:
                 continue  # another writer took the number
             out.write(bytearray(text.encode()))
             out.close()
+            self._seen |= made
             return made
 
     def write(self, table: str, df: DataFrame) -> str:

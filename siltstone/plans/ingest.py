@@ -13,10 +13,13 @@ from siltstone.operators import maintenance as M
 def ingest(store: I.Snapshots, incoming: DataFrame, kind: str, embed=M.hashed_embedding, chunker=None) -> dict[str, int]:
     """Index documents ``id, source, source_id, url, title, body, body_hash, metadata``; a second run changes nothing.
 
+    Of rows with one natural key (source and source_id) the last by all columns counts.
+
     Vectors are made before any table is replaced, and all tables change in one
     commit, so a chunk never refers to a vector that isn't there.
     """
     spark = incoming.sparkSession
+    incoming = I.one_for_each(incoming, ["source", "source_id"])
     incoming = incoming.withColumn("chunker_version", F.lit(C.VERSIONS.get(kind, C.CHUNKER_VERSION)))
     docs, old, points = store.read("documents"), store.read("chunks"), store.read("points")
     empty = docs is None

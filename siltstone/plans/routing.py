@@ -105,10 +105,10 @@ def submitted(jobs: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
     return fresh.select(S.stable_id("idempotency_key").alias("id"), "idempotency_key", "description", F.lit("pending").alias("status"), F.lit("").alias("report"), now.alias("created_at"), none.alias("started_at"), none.alias("completed_at"))
 
 
-def drained(store: I.Snapshots, work: Callable[[DataFrame], DataFrame], now: Column, batch: int = 100, rounds: int = 1000) -> int:
+def drained(store: I.Snapshots, work: Callable[[DataFrame], DataFrame], now: Column, batch: int = 100) -> int:
     """Claim, work and settle until nothing is claimable; ``work`` takes claimed jobs and returns ``id, cause`` (null: done). Returns how many jobs were claimed."""
     total = 0
-    for _ in range(rounds):
+    while True:  # a claimed job is settled or visible only after ``now``, so there is an end
         jobs = store.read("queue_jobs")
         if jobs is None:
             return total
@@ -122,7 +122,6 @@ def drained(store: I.Snapshots, work: Callable[[DataFrame], DataFrame], now: Col
         done = Q.acked(held, told.where("cause is null"), now)
         failed = Q.nacked(held, told.where("cause is not null"), now)
         store.write("queue_jobs", checkpointed(Q.applied(held, done.unionByName(failed))))
-    return total
 
 
 def batches(ids: DataFrame, n: int) -> DataFrame:

@@ -245,10 +245,13 @@ _POSTINGS = f"""chunks AS ({_TITLED}),
 words AS (SELECT id, unnest({_TOKENS.format('title')}) AS term, 1 AS a, 0 AS b FROM chunks UNION ALL SELECT id, unnest({_TOKENS.format('text')}), 0, 1 FROM chunks),
 postings AS (SELECT term, id, sum(a)::BIGINT AS tf_title, sum(b)::BIGINT AS tf_text FROM words GROUP BY term, id),
 stats AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+squares AS (SELECT n, coalesce((SELECT sum(1.0::DOUBLE / (j * j)) FROM range(1, n + 1) r(j)), 0) AS h FROM range(0, 257) x(n)),
+ranked AS (SELECT term, id, round(1e9::DOUBLE * (x.h + 0.4::DOUBLE * (y.h - x.h)) / 1.64493406685::DOUBLE)::BIGINT AS part FROM postings
+  JOIN squares x ON x.n = least(tf_title, 255) JOIN squares y ON y.n = least(tf_title, 255) + least(tf_text, 255, 256 - least(tf_title, 255))),
 total AS (SELECT count(*) AS n FROM chunks)"""
 _QUERIES = f"q AS (SELECT item_id AS query_id, text, list_distinct({_TOKENS.format('text')}) AS terms FROM benchmark), qt AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms FROM q)"
 _LEXICAL = """lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT query_id, id, sum(least(tf_title, 4) * 10 + least(tf_text, 4) * 4) / 10.0::DOUBLE / any_value(n_terms) AS score FROM qt JOIN postings USING (term) GROUP BY query_id, id)) WHERE rank <= {k})"""
+  SELECT query_id, id, sum(part)::DOUBLE / 1e9 / any_value(n_terms) AS score FROM qt JOIN ranked USING (term) GROUP BY query_id, id)) WHERE rank <= {k})"""
 _VECTOR = """vector AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a, embeddings b WHERE a.vec_id IN (SELECT item_id FROM benchmark))) WHERE rank <= {k})"""
 
@@ -304,9 +307,9 @@ def total_chunks(t):
 # Retrieval
 
 
-@search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM lexical")
+@search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=30)} SELECT query_id, id, score, rank::INTEGER AS rank FROM lexical")
 def lexical_topk(t, q):
-    return R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, R.DEFAULT_LIMIT).select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
+    return R.lexical_hits(R.postings(_chunks(t), R.query_terms(q)), q, R.DEFAULT_LIMIT).select("query_id", "id", "score", "rank")
 
 
 @search_query(f"WITH {_VECTOR.format(k=30)} SELECT query_id, id, round(score, 9) AS score, rank::INTEGER AS rank FROM vector")
@@ -338,7 +341,7 @@ def specificity(t, q):
     index = R.postings(c, R.query_terms(q))
     both = R.fused(R.lexical_hits(index, q, k), R.vector_blocks(_points(t), q, k))
     terms = R.weighted_terms(q, R.term_stats(index), c.agg(F.count("*").alias("n")))
-    return R.reranked(R.described(both, c), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
+    return R.reranked(R.described(both, R.haystacks(c), q), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
 
 
 _KEYED = r"keyed AS (SELECT *, CASE WHEN trim(regexp_replace(lower(text), '\s+', ' ', 'g')) = '' THEN 'id:' || id ELSE 'text:' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) END AS key FROM reranked)"
@@ -751,19 +754,11 @@ FLAGSHIP = "hybrid_search"
 
 def _streamed(t, run, name: str) -> DataFrame:
     """Run a stream over the events' file to its end and return what its batches wrote."""
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
+    from siltstone.functions.lineage import shared_folder
     from siltstone.streaming import jobs
 
     spark = t._spark
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:  # one machine, as in tests
-        base = tempfile.mkdtemp(prefix="siltstone-stream-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    out = f"{base.rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
+    out = shared_folder(spark, name)
     events = spark.readStream.schema(t.events.schema).parquet(f"{t._root}/event[s].parquet")  # a pattern: the source wants a folder or one
     stream = run(events)
     jobs.start(stream, lambda batch, _: batch.write.mode("append").parquet(f"{out}/rows"), f"{out}/checkpoint").awaitTermination()
@@ -792,4 +787,4 @@ def stream_dedup(t):
 
 
 # Queries of tracker objects, projections and stores register themselves here.
-from siltstone import object_queries  # noqa: E402, F401
+from siltstone import index_queries, object_queries  # noqa: E402, F401
