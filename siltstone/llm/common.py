@@ -12,7 +12,6 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.functions.lineage import shipped
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -38,28 +39,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/") + "/siltstone"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark context.
-
-    Also safe where the executors already have it installed.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_siltstone_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="siltstone-zip-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = os.path.join(folder, "siltstone_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for where, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(where, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._siltstone_shipped = True
-
-
 class Scratch:
     """Intermediate tables of one run in the shared folder."""
 
@@ -101,7 +80,7 @@ class Scratch:
 
 def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the executors."""
-    ship_package(df.sparkSession)
+    shipped(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

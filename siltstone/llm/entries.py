@@ -33,7 +33,7 @@ def _query(fn):
 
 @_query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key", "leads")
 
 
 ORACLES["op1_minhash_dedup"] = r"""

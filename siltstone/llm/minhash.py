@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Batches, Scratch, map_arrow, ship_package
+from siltstone.functions.lineage import shipped
+from siltstone.llm.common import Batches, Scratch, map_arrow
 from siltstone.llm.components import connected_components
 
 WORDS = 5
@@ -231,14 +232,16 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
 
     Null or empty texts, and texts of white space only, have an empty set and
     link with nothing; very long texts count whole. Equal texts always link.
-    Rows that repeat a ``doc_id`` with another text are grouped by their own
-    text, rows that repeat it with the same text have the same result each. A
+    The graph's nodes are texts, not ids: rows that repeat a ``doc_id`` with
+    another text are grouped each by its own text, so two groups never meet in
+    an id; rows that repeat it with the same text have the same result each. A
     null ``doc_id`` is in no group: its ``component_id`` is null and it is kept.
-    Empty tables give empty results. ``text_key``, the last column, is the md5
-    of the text (null: empty), which tells rows with one id apart.
+    Empty tables give empty results. Two more columns tell rows with one id
+    apart: ``text_key`` is the md5 of the text (null: empty), and ``leads`` says
+    whether it is the one text that a group keeps, the least by id and key.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    shipped(spark)
     scratch = Scratch(spark, "minhash")
     docs = docs.select("doc_id", "text")
     keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
@@ -247,9 +250,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         "signatures",
     )
     real = table.where("n_shingles > 0 and doc_id is not null")
-    least = F.min(F.struct("doc_id", "n_shingles", "sig", "bands"))
-    reps = scratch.save(real.groupBy("fp").agg(least.alias("rep")).select("fp", "rep.*"), "representatives")
-    sigs = reps.drop("fp")
+    least = F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "bands"))
+    # A node is a number of its own, given once as the table is written; ``first_id`` is the least id of its text.
+    reps = real.groupBy("fp").agg(least.alias("rep")).select("fp", F.monotonically_increasing_id().alias("doc_id"), F.col("rep.doc_id").alias("first_id"), "rep.text_key", "rep.n_shingles", "rep.sig", "rep.bands")
+    reps = scratch.save(reps, "representatives")
+    sigs = reps.select("doc_id", "n_shingles", "sig", "bands")
 
     rows = sigs.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
     centres = rows.groupBy("bucket").agg(F.min("a").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -257,7 +262,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     # The sets of all that share a bucket are made once; texts are shuffled for them alone.
     met = buckets.where("a <> b").select("a", "b").distinct()
     ids = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(map_arrow(docs.join(ids.hint("merge"), "doc_id", "left_semi"), _sets, "doc_id bigint, shingles binary"), "sets")
+    wanted = reps.join(ids, "doc_id").select(F.col("doc_id").alias("node"), F.col("first_id").alias("doc_id"), "text_key")
+    texts = keyed.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"]).select("node", "text")
+    sets = scratch.save(map_arrow(texts, _sets, "doc_id bigint, shingles binary"), "sets")
     star = _verified(met, sigs, sets, threshold, scratch)
     first = connected_components(star.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
 
@@ -285,7 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     rare = rare.groupBy("shingle").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("comps")).alias("comps"))
     rare = scratch.save(rare.where(F.col("n") <= RARE).select("n", "docs", "comps"), "rare")
     own_rare = rare.select(F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("few"))
-    bound = sigs.select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"]).join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
+    bound = sigs.select("doc_id", "n_shingles", "bands").join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
     bound = bound.select(
         F.col("doc_id").alias("a"),
         "n_shingles",
@@ -331,28 +338,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         last = first if links.isEmpty() else connected_components(first.unionByName(links), scratch)
     scratch.drop(buckets, mixed, sets)
 
-    labels = reps.select("fp", "doc_id").join(last, F.col("doc_id") == F.col("u"), "left").select("fp", F.coalesce("v", "doc_id").alias("component"))
+    labels = reps.select("fp", "doc_id", "first_id", "text_key").join(last, F.col("doc_id") == F.col("u"), "left")
+    labels = labels.select("fp", F.struct("first_id", "text_key").alias("first"), F.coalesce("v", "doc_id").alias("root"))
+    names = labels.groupBy("root").agg(F.min("first").alias("lead"))
+    labels = labels.join(names, "root").select("fp", F.col("lead.first_id").alias("component"), F.col("lead.text_key").alias("lead_key"))
     whole = table.select("doc_id", "fp", "n_shingles", "text_key").join(labels, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
-    return whole.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", kept, "text_key")
+    leads = (F.col("lead_key").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("text_key") == F.col("lead_key")))).alias("leads")
+    return whole.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", kept, "text_key", leads)
 
 
 def without_copies(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The documents of which one of each group of near duplicates is left, the one with the least id.
 
     Rows with one ``doc_id`` and different texts are judged each by its own
-    text; of rows that repeat id and text one is left. Rows without an id stay.
+    text; of rows that repeat id and text, and of texts under one id that are
+    near duplicates of each other, one is left. Rows without an id stay.
     """
     scratch = Scratch(docs.sparkSession, "copies")
-    told = scratch.save(near_duplicates(docs, threshold).select("doc_id", "kept", "text_key"), "told")
+    told = scratch.save(near_duplicates(docs, threshold).select("doc_id", "leads", "text_key"), "told")
     key = "text_key"
     while key in docs.columns:
         key += "_"
     told, both = told.withColumnRenamed("text_key", key), ["doc_id", key]
     keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    left = keyed.join(told.where("not kept").select(*both), both, "left_anti")
-    again = told.where("kept and doc_id is not null").groupBy(*both).count().where("count > 1").select(*both)
+    left = keyed.join(told.where("not leads").select(*both), both, "left_anti")
+    again = told.where("leads and doc_id is not null").groupBy(*both).count().where("count > 1").select(*both)
     if not again.isEmpty():
         again = scratch.save(again, "again")
         left = left.join(again, both, "left_anti").unionByName(left.join(again, both, "left_semi").dropDuplicates(both))

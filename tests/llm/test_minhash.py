@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -69,6 +70,48 @@ def test_one_of_each_group_is_left(spark):
     assert without_copies(spark.createDataFrame([], schema)).collect() == []
 
 
+def text(name, *changed):
+    """A text of 60 words that are like no other name's; near copies change a word or two."""
+    words = [f"{name}{k}" for k in range(60)]
+    for k in changed:
+        words[k] = f"other{k}"
+    return " ".join(words)
+
+
+def test_ids_are_not_nodes(spark):
+    """Two texts under one id weld no groups: of each group of texts one is left."""
+    x, x1, y, y1, z = text("x"), text("x", 0), text("y"), text("y", 59), text("z")
+    rows = [(5, x, None), (5, y, None), (3, x1, None), (4, y1, None), (7, y, None), (7, z, None), (8, text("z", 1), None)]
+    got = {(r.doc_id, r.text_key): r.component_id for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    key = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {(5, key(x)): 3, (3, key(x1)): 3, (5, key(y)): 4, (4, key(y1)): 4, (7, key(y)): 4, (7, key(z)): 7, (8, key(text("z", 1))): 7}
+    left = without_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == sorted([(3, x1), (4, y1), (7, z)])
+
+
+def test_near_copies_under_one_id(spark):
+    rows = [(5, text("x"), None), (5, text("x", 0), None), (5, text("x").upper(), None), (5, text("y"), None), (5, text("y"), None)]
+    left = without_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(left) == 2 and sorted(r.text.lower()[:2] for r in left) in (["ot", "y0"], ["x0", "y0"])
+
+
+def test_many_repeated_ids_against_groups_of_texts(spark):
+    """Random groups of near copies under few ids: every group keeps exactly one text, the one with its least id."""
+    rnd = random.Random(8)
+    ends = [(), (0,), (59,), (0, 59), (0, 1), (58, 59)]  # changes that leave similarities over 0.9
+    groups = {g: [text(f"g{g}w", *c) for c in rnd.sample(ends, rnd.randint(1, 6))] for g in range(30)}
+    rows = [(rnd.randint(1, 12), t, None) for texts in groups.values() for t in texts]
+    of = {t: g for g, texts in groups.items() for t in texts}
+    least = {}
+    for i, t, _ in rows:
+        least[of[t]] = min(least.get(of[t], i), i)
+    told = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    key = {hashlib.md5(t.encode()).hexdigest(): g for t, g in of.items()}
+    assert all(r.component_id == least[key[r.text_key]] for r in told)
+    left = without_copies(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert sorted(of[r.text] for r in left) == sorted(groups) and all(r.doc_id == least[of[r.text]] for r in left)
+
+
 def test_very_long_texts(spark):
     long = " ".join(f"w{k}" for k in range(200_000))
     rows = [(1, long, None), (2, long.replace("w77 ", "v77 ").upper(), None), (3, long[: len(long) // 2], None)]
