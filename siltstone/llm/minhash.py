@@ -224,6 +224,29 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, threshold: flo
     return out
 
 
+def _numbered(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Representatives with their node ``doc_id``: the least id of their text, or a free number if another text has that id.
+
+    A bucket's centre is its least node. Originals tend to have the least ids,
+    and copies are nearer to them than to each other, so nodes keep that order.
+    """
+    twice = reps.groupBy("first_id").agg(F.count("*").alias("n"), F.min("seq").alias("keeps"))
+    twice = scratch.save(twice.where("n > 1").drop("n"), "repeated")
+    if twice.isEmpty():
+        return reps.withColumn("doc_id", F.col("first_id"))
+    low, high = reps.agg(F.min("first_id"), F.max("first_id")).first()
+    room = 2**62 - 1  # more than there are places
+    if high < room:
+        free = F.col("seq") + F.lit(high + 1)
+    elif low > -room:
+        free = F.lit(low - 1) - F.col("seq")
+    else:  # ids at both ends of their range
+        return reps.withColumn("doc_id", F.col("seq"))
+    both = reps.join(twice, "first_id", "left")
+    own = F.col("keeps").isNull() | (F.col("keeps") == F.col("seq"))
+    return scratch.save(both.withColumn("doc_id", F.when(own, F.col("first_id")).otherwise(free)).drop("keeps"), "numbered")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Components of documents whose shingle sets have at least this similarity.
 
@@ -251,9 +274,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     )
     real = table.where("n_shingles > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "bands"))
-    # A node is a number of its own, given once as the table is written; ``first_id`` is the least id of its text.
-    reps = real.groupBy("fp").agg(least.alias("rep")).select("fp", F.monotonically_increasing_id().alias("doc_id"), F.col("rep.doc_id").alias("first_id"), "rep.text_key", "rep.n_shingles", "rep.sig", "rep.bands")
-    reps = scratch.save(reps, "representatives")
+    reps = real.groupBy("fp").agg(least.alias("rep")).select("fp", F.monotonically_increasing_id().alias("seq"), F.col("rep.doc_id").alias("first_id"), "rep.text_key", "rep.n_shingles", "rep.sig", "rep.bands")
+    reps = _numbered(scratch.save(reps, "representatives"), scratch)
     sigs = reps.select("doc_id", "n_shingles", "sig", "bands")
 
     rows = sigs.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))

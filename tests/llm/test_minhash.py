@@ -89,6 +89,14 @@ def test_ids_are_not_nodes(spark):
     assert sorted((r.doc_id, r.text) for r in left) == sorted([(3, x1), (4, y1), (7, z)])
 
 
+@pytest.mark.parametrize("ids", [(5, 3, 4, 7), (2**63 - 1, -3, 4, 7), (2**63 - 1, -(2**63), 4, 7)])
+def test_repeated_ids_at_the_ends_of_their_range(spark, ids):
+    a, b, c, d = ids
+    rows = [(a, text("x"), None), (a, text("y"), None), (b, text("x", 0), None), (c, text("y", 59), None), (d, text("y"), None)]
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(a, min(a, b)), (a, min(a, c, d)), (b, min(a, b)), (c, min(a, c, d)), (d, min(a, c, d))])
+
+
 def test_near_copies_under_one_id(spark):
     rows = [(5, text("x"), None), (5, text("x", 0), None), (5, text("x").upper(), None), (5, text("y"), None), (5, text("y"), None)]
     left = without_copies(spark.createDataFrame(rows, SCHEMA)).collect()
