@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def _base(spark: SparkSession) -> str:
@@ -38,11 +38,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(_base(df.sparkSession))
-    return df.checkpoint()
+    """The rows, computed once and kept in the shared folder (``checkpoint`` would compute them twice)."""
+    path = shared_folder(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``checkpointed`` rows, and aggregates of them that the same pass collects."""
+    seen = Observation()
+    kept = checkpointed(df.observe(seen, *(c.alias(name) for name, c in measures.items())))
+    return kept, seen.get
 
 
 def shipped(spark: SparkSession) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.lineage import shared_folder
+from siltstone.operators import chunks as C
+from siltstone.operators import markup
 from siltstone.operators import retrieval as R
 from siltstone.operators.term_index import TermIndex
 from siltstone.operators.vector_index import VectorIndex
@@ -104,3 +106,23 @@ def vector_index_filtered(t, q):
     """The index's exact path under a filter."""
     found = _vector_index(t).search(q, R.DEFAULT_LIMIT, where=F.col("part") == 1, exact=True)
     return found.select("query_id", "id", _r9(F.col("score")).alias("score"), "rank")
+
+
+# HTML
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g')) AS f FROM documents), m AS (SELECT doc_id, '# Doc ' || doc_id || CASE WHEN f = '' THEN '' ELSE chr(10) || chr(10) || f END || chr(10) || chr(10) || '- a' || chr(10) || '- [b](http://h/' || doc_id || ')' || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| n | ' || doc_id || ' |' AS b FROM d)
+SELECT doc_id, sha256(b) AS body FROM m""")
+def html_markdown(t):
+    """Every text in a page with a heading, a list, a link and a table, as Markdown."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    k = F.col("doc_id").cast("string")
+    html = F.concat(F.lit("<html><head><title>no</title></head><body><h1>Doc "), k, F.lit("</h1><p>"), safe, F.lit("<ul><li>a<li><a href='http://h/"), k, F.lit("'>b</a></ul><script>no</script><table><tr><th>k<th>v<tr><td>n<td>"), k, F.lit("</table>"))
+    return markup.converted(t.documents.select("doc_id", html.alias("html"))).select("doc_id", F.sha2("body", 256).alias("body"))
+
+
+@query(None)
+def page_sections(t):
+    """Pages as Markdown, cut by headings; tests hold the conversion against written results."""
+    docs = markup.converted(t.pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), "html")).withColumn("metadata", F.create_map().cast("map<string,string>"))
+    return C.chunked(docs, "markdown").select(F.col("document_id").cast("long").alias("page_id"), "chunk_index", "title", F.char_length("text").alias("n_chars"))

@@ -8,7 +8,7 @@ pointer jumping: each round halves the remaining depth.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -16,14 +16,42 @@ from siltstone.functions.lineage import checkpointed
 from siltstone.functions.scoring import stable_id
 
 WINDOW_SECONDS = 45 * 60
+#: The length of a block of time, a day.
+BLOCK_MICROS = 24 * 3600 * 1_000_000
+
+
+def chained(rows: DataFrame, key: str, ts: str, order: str, seconds: int, free: Column, unknown_opens: bool) -> DataFrame:
+    """Rows with ``_at``, their place in their key from 1, and ``_cur``, the number of their session from 0.
+
+    A key's first row opens a session, and so does a row that is ``free`` to
+    after more than the gap; ``unknown_opens`` says whether one without a known
+    gap does. No key is sorted in one task: rows are numbered within blocks of
+    time, and the blocks' totals, a row for each, are summed up over the key.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    # Without nulls, so that the totals join by plain equality where the rows lie; unknown times come first.
+    m = rows.withColumn("_us", at).withColumn("_free", F.coalesce(free, F.lit(False)))
+    m = m.withColumn("_block", F.coalesce(F.floor(F.col("_us") / BLOCK_MICROS), F.lit(-(2**62)))).withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("\0")))
+    w = Window.partitionBy("_key", "_block").orderBy("_us", order)
+    opens = lambda gap, is_free: (is_free & F.coalesce(gap > seconds * 1_000_000, F.lit(unknown_opens))).cast("int")
+    m = m.withColumn("_n", F.row_number().over(w))
+    m = m.withColumn("_opens", F.when(F.col("_n") == 1, 0).otherwise(opens(F.col("_us") - F.lag("_us").over(w), F.col("_free")))).withColumn("_inner", F.sum("_opens").over(w))
+    blocks = m.groupBy("_key", "_block").agg(F.count("*").alias("_rows"), F.sum("_opens").alias("_sum"), F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.max(F.when(F.col("_n") == 1, F.col("_free"))).alias("_first_free"))
+    k = Window.partitionBy("_key").orderBy("_block")
+    blocks = blocks.withColumn("_number", F.row_number().over(k))
+    opened = F.when(F.col("_number") == 1, 1).otherwise(opens(F.col("_first") - F.lag("_last").over(k), F.col("_first_free")))
+    blocks = blocks.withColumn("_opened", opened)
+    before = blocks.select(
+        "_key", "_block", (F.sum("_rows").over(k) - F.col("_rows")).alias("_past"),
+        (F.sum(F.col("_opened") + F.col("_sum")).over(k) - F.col("_sum") - 1).alias("_base"),
+    )
+    both = m.join(before, ["_key", "_block"])
+    return both.select(*rows.columns, (F.col("_past") + F.col("_n")).alias("_at"), (F.col("_base") + F.col("_inner")).cast("long").alias("_cur"))
 
 
 def gap_sessions(rows: DataFrame, key: str, ts: str, order: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """Number the sessions of each key from 0 as ``session``: a new one after more than the gap."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(F.col(ts)).over(w).cast("timestamp"))
-    opens = F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)
-    return rows.withColumn("_open", opens).withColumn("session", (F.sum("_open").over(w) - 1).cast("long")).drop("_open")
+    return chained(rows, key, ts, order, seconds, F.lit(True), True).withColumnRenamed("_cur", "session").drop("_at")
 
 
 def conversations(messages: DataFrame, seconds: int = WINDOW_SECONDS, max_rounds: int = 64) -> DataFrame:
@@ -32,12 +60,8 @@ def conversations(messages: DataFrame, seconds: int = WINDOW_SECONDS, max_rounds
     Messages: ``chat_id, message_id, date, reply_to`` (null or 0: none) and
     more. Of repeated message ids the first by date is the reply target.
     """
-    w = Window.partitionBy("chat_id").orderBy("date", "message_id")
-    m = messages.withColumn("_at", F.row_number().over(w))
-    m = m.withColumn("_reply", F.nullif(F.col("reply_to"), F.lit(0)))
-    gap = F.unix_micros(F.col("date").cast("timestamp")) - F.unix_micros(F.lag("date").over(w).cast("timestamp"))
-    opens = (F.col("_at") == 1) | (F.col("_reply").isNull() & (gap > seconds * 1_000_000))
-    m = m.withColumn("_cur", F.sum(opens.cast("int")).over(w) - 1)
+    m = messages.withColumn("_reply", F.nullif(F.col("reply_to"), F.lit(0)))
+    m = chained(m, "chat_id", "date", "message_id", seconds, F.col("_reply").isNull(), False)
     targets = m.groupBy("chat_id", F.col("message_id").alias("_reply")).agg(F.min("_at").alias("_target"))
     m = m.join(targets, ["chat_id", "_reply"], "left")
     m = m.withColumn("_up", F.when((F.col("_at") > 1) & (F.col("_target") < F.col("_at")), F.col("_target"))).drop("_target", "_reply")

@@ -787,4 +787,4 @@ def stream_dedup(t):
 
 
 # Queries of tracker objects, projections and stores register themselves here.
-from siltstone import index_queries, object_queries  # noqa: E402, F401
+from siltstone import field_queries, index_queries, object_queries  # noqa: E402, F401

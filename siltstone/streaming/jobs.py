@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from siltstone.functions.lineage import shipped
 from siltstone.operators.sessions import WINDOW_SECONDS
 
 
@@ -33,37 +35,71 @@ def debounced(triggers: DataFrame, key: str, at: str, seconds: int = 10, late: s
     return sessions(triggers, key, at, seconds, late).select(key, F.col("last_at").alias("run_after"), "n")
 
 
-def conversation_state(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Conversations of one chat with replies, message by message in batches ordered by time.
+class ConversationProcessor(StatefulProcessor):
+    """Conversations of one chat, message by message in order of time.
 
-    State: the current conversation, the last time, and the conversations of
-    all messages, which replies can name; it grows with the chat.
+    Messages wait in ``waiting`` until the watermark has passed their time, when
+    a timer fires and they are taken in order, so their order of arrival doesn't
+    matter. ``known`` maps message ids to conversations, an entry for each
+    message; a batch writes the entries of its own messages alone. Only messages
+    that are not late count: Spark drops later ones and reports how many. A
+    message that comes again, with the same time, number and target, is one
+    message; of several with one number the first by time is the reply target.
     """
-    cur, last, ids, convs = state.get if state.exists else (-1, None, [], [])
-    known = dict(zip(ids, convs, strict=True))
-    rows = pd.concat(list(batches)).sort_values(["date", "message_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        reply = None if pd.isna(r.reply_to) or not r.reply_to else int(r.reply_to)
-        at = int(pd.Timestamp(r.date).timestamp() * 1_000_000)
-        if cur >= 0 and reply is not None and reply in known:
-            conv = known[reply]
-        elif cur >= 0 and (reply is not None or at - last <= WINDOW_SECONDS * 1_000_000):
-            conv = cur
-        else:
-            cur += 1
-            conv = cur
-        last = at
-        known[int(r.message_id)] = conv
-        out.append((key[0], int(r.message_id), conv))
-    state.update((cur, last, list(known), list(known.values())))
-    yield pd.DataFrame(out, columns=["chat_id", "message_id", "conversation"])
-
-
-def streaming_conversations(messages: DataFrame) -> DataFrame:
-    """Messages with their conversation as they come, chat by chat."""
-    return messages.groupBy("chat_id").applyInPandasWithState(
-        conversation_state, "chat_id long, message_id long, conversation long", "cur int, last long, ids array<long>, convs array<long>", "append", "NoTimeout"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, message_id long, reply_to long", "n int")
+        self.known = handle.getMapState("known", "message_id long", "conversation long")
+        self.current = handle.getValueState("current", "conversation long, last_at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        due = set()
+        for frame in rows:
+            for at, message, reply in zip(frame["at"].tolist(), frame["message_id"].tolist(), frame["reply_to"].tolist(), strict=True):
+                self.waiting.updateValue((at, message, reply), (1,))
+                due.add(-(-at // 1000))
+        for ms in due:
+            self.handle.registerTimer(ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        ready = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= until)
+        current, last = self.current.get() if self.current.exists() else (-1, None)
+        out = []
+        for at, message, reply in ready:
+            told = self.known.getValue((reply,))[0] if current >= 0 and reply and self.known.containsKey((reply,)) else None
+            if told is not None:
+                conversation = told
+            elif current >= 0 and (reply or at - last <= WINDOW_SECONDS * 1_000_000):
+                conversation = current
+            else:
+                current += 1
+                conversation = current
+            last = at
+            if not self.known.containsKey((message,)):
+                self.known.updateValue((message,), (conversation,))
+            self.waiting.removeKey((at, message, reply))
+            out.append((key[0], message, conversation))
+        if out:
+            self.current.update((current, last))
+            yield pd.DataFrame(out, columns=["chat_id", "message_id", "conversation"])
+
+
+def streaming_conversations(messages: DataFrame, late: str = "1 hour") -> DataFrame:
+    """``chat_id, message_id, conversation`` of messages (``chat_id, message_id, date, reply_to``), once the watermark has passed them.
+
+    The same conversations as ``sessions.conversations`` gives, in whatever
+    order messages come, as long as none comes later than ``late``.
+    """
+    spark = messages.sparkSession
+    shipped(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    m = messages.select("chat_id", "message_id", F.col("date").cast("timestamp").alias("date"), F.coalesce("reply_to", F.lit(0)).cast("long").alias("reply_to"))
+    m = m.withColumn("at", F.unix_micros("date")).withWatermark("date", late)
+    return m.groupBy("chat_id").transformWithStateInPandas(
+        statefulProcessor=ConversationProcessor(), outputStructType="chat_id long, message_id long, conversation long", outputMode="Append", timeMode="EventTime"
     )
 
 

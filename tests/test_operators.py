@@ -101,19 +101,6 @@ def test_conversations(spark, rows, least, want):
     assert sorted(r.message_ids for r in got) == want
 
 
-def test_streaming_conversations_equal_batch(spark, tmp_path):
-    from siltstone.streaming import jobs
-
-    rows = [(i, (i * 37) % 300 + i * 11, (i - 3 if i % 4 == 0 else None)) for i in range(1, 60)]
-    m = messages(spark, rows)
-    m.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = jobs.streaming_conversations(jobs.read_events(spark, str(tmp_path / "in"), m.schema))
-    q = out.writeStream.format("memory").queryName("convs").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r.message_id: r.conversation for r in spark.table("convs").collect()}
-    assert got == {r.message_id: r.conversation for r in G.conversations(m).collect()}
-
-
 def test_fusion_and_rerank_arithmetic(spark):
     hit = lambda q, i, r: (q, i, 0.0, r)
     schema = "query_id int, id string, score double, rank int"
