@@ -12,7 +12,7 @@ from siltstone.operators import retrieval as R
 from siltstone.operators.term_index import TermIndex
 from siltstone.operators.vector_index import VectorIndex
 from siltstone.plans import search as plans
-from siltstone.queries import ORACLES, _chunks, _points, _r9, query, search_query
+from siltstone.queries import ORACLES, _chunks, _messages, _points, _r9, _streamed, query, search_query
 from siltstone.sources import paged
 
 # Paged readers
@@ -126,3 +126,23 @@ def page_sections(t):
     """Pages as Markdown, cut by headings; tests hold the conversion against written results."""
     docs = markup.converted(t.pages.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("title"), "html")).withColumn("metadata", F.create_map().cast("map<string,string>"))
     return C.chunked(docs, "markdown").select(F.col("document_id").cast("long").alias("page_id"), "chunk_index", "title", F.char_length("text").alias("n_chars"))
+
+
+# Streams with state
+
+
+@query(ORACLES["reply_sessions"] + " WHERE m.user_id IS NOT NULL AND f.event_id IN (SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 2 HOUR)")
+def stream_conversations(t):
+    """Conversations with replies as a stream: what the watermark has passed equals the batch operator."""
+    from siltstone.streaming import jobs
+
+    replies = _messages(t).select(F.col("message_id").alias("event_id"), "reply_to")
+
+    def run(events):
+        m = events.join(replies, "event_id").select(F.col("user_id").alias("chat_id"), F.col("event_id").alias("message_id"), F.col("ts").alias("date"), "reply_to")
+        return jobs.streaming_conversations(m, "1 hour")
+
+    done = _streamed(t, run, "conversations")
+    last = t.events.agg(F.max("ts")).first()[0]
+    old = t.events.where(F.col("ts") < F.lit(last) - F.expr("interval 2 hours")).select(F.col("event_id").alias("message_id"))
+    return done.join(old, "message_id").select("message_id", "chat_id", "conversation")

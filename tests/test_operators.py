@@ -267,13 +267,32 @@ def test_stream_replies_to_old_messages():
 
     from siltstone.streaming import jobs
 
-    state = SimpleNamespace(exists=False, get=None)
-    state.update = lambda x: vars(state).update(exists=True, get=x)
-    at = pd.Timestamp("2024-01-01")
-    rows = [(1, at, None)] + [(i, at + pd.Timedelta(hours=2), None) for i in range(2, 10_010)]
-    run = lambda r: list(jobs.conversation_state((7,), iter([pd.DataFrame(r, columns=["message_id", "date", "reply_to"])]), state))[0]
-    run(rows)
-    assert run([(20_000, at + pd.Timedelta(hours=3), 1)]).conversation.tolist() == [0]
+    class Map(dict):
+        def updateValue(self, k, v):
+            self[k] = v
+
+        containsKey, getValue, removeKey = dict.__contains__, dict.__getitem__, dict.pop
+
+    class Value(list):
+        exists, get = list.__len__, lambda self: self[-1]
+
+        def update(self, v):
+            self[:] = [v]
+
+    timers = set()
+    p = jobs.ConversationProcessor()
+    p.init(SimpleNamespace(getMapState=lambda *_: Map(), getValueState=lambda *_: Value(), registerTimer=timers.add))
+    hour = 3_600_000_000
+
+    def run(rows):
+        list(p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["message_id", "at", "reply_to"])]), None))
+        out = [f for ms in sorted(timers) for f in p.handleExpiredTimer((7,), None, SimpleNamespace(getExpiryTimeInMs=lambda ms=ms: ms))]
+        timers.clear()
+        return pd.concat(out)
+
+    first = run([(1, 0, 0)] + [(i, 2 * hour, 0) for i in range(2, 10_010)])
+    assert first.conversation.tolist() == [0] + [1] * 10_008 and not p.waiting
+    assert run([(20_000, 3 * hour, 1)]).conversation.tolist() == [0]
 
 
 def test_snapshots_survive_a_writer_that_stops(spark, tmp_path):
