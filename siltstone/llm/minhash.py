@@ -43,6 +43,8 @@ CROWDED = 2000
 FLUSH = 4_000_000
 #: A shingle is rare if no more of these documents have it.
 RARE = 16
+#: Shingles of crowded buckets' documents that are counted together, about.
+RANGE = 100_000
 
 _U = np.uint64
 _MIX = _U(0x9E3779B97F4A7C15)
@@ -138,33 +140,65 @@ def _sets(batches: Batches) -> Batches:
                 ids, sets, size = [], [], 0
 
 
-def _rare(batches: Batches) -> Batches:
-    """Shingles of these documents, how many have them and, if they are few, which ones with their components; merged before they leave the task."""
-    wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _packed(ranges: int, few: int):
+    """Shingles with their documents and components, packed by ranges of shingles.
 
-    def merged() -> pa.RecordBatch:
+    Of a shingle that more than ``few`` of some documents have, so many and one
+    are sent: that says it isn't rare, however many have it.
+    """
+
+    def rows(wait: list) -> pa.RecordBatch:
         x, doc, comp = (np.concatenate(c) for c in zip(*wait, strict=True))
         order = np.argsort(x, kind="stable")
-        u, start, n = np.unique(x[order], return_index=True, return_counts=True)
-        few = np.flatnonzero(n <= RARE)
-        at = np.concatenate([np.arange(s, s + k) for s, k in zip(start[few], n[few], strict=True)]) if len(few) else np.empty(0, np.int64)
-        pick = order[at]
-        sizes = np.where(n <= RARE, n, 0)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[pick])) for c in (doc, comp)]
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n), *lists], names=["shingle", "n", "docs", "comps"])
-
-    size = 0
-    for batch in batches:
-        for doc_id, comp, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            s = np.frombuffer(held.as_py(), np.uint64)
-            wait.append((s, np.full(len(s), doc_id, np.int64), np.full(len(s), comp, np.int64)))
-            size += len(s)
-            if size > 1_000_000:
-                yield merged()
-                size, wait = 0, []
-    if wait:
-        yield merged()
+        x, doc, comp = x[order], doc[order], comp[order]
+        keep = np.arange(len(x)) - np.searchsorted(x, x) <= few
+        x, doc, comp = x[keep], doc[keep], comp[keep]
+        of = ((x >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)  # in order, as the shingles are
+        found, start = np.unique(of, return_index=True)
+        ends = [*start[1:].tolist(), len(x)]
+        cut = [[c[i:j].tobytes() for i, j in zip(start.tolist(), ends, strict=True)] for c in (x, doc, comp)]
+        return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(c, pa.binary()) for c in cut)], names=["range", "shingles", "docs", "comps"])
+
+    def run(batches: Batches) -> Batches:
+        wait: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for doc_id, comp, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = np.frombuffer(held.as_py(), np.uint64)
+                wait.append((s, np.full(len(s), doc_id, np.int64), np.full(len(s), comp, np.int64)))
+                size += len(s)
+                if size > 1_000_000:
+                    yield rows(wait)
+                    size, wait = 0, []
+        if size:
+            yield rows(wait)
+
+    return run
+
+
+def _shared(most: int):
+    """Of one range: how many rare shingles, those of ``most`` documents, a document has (``b`` null), and how many two documents of different components share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, doc, comp = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("shingles", np.uint64), ("docs", np.int64), ("comps", np.int64)))
+        order = np.argsort(x, kind="stable")
+        doc, comp = doc[order], comp[order]
+        _, start, n = np.unique(x[order], return_index=True, return_counts=True)
+        left, right = [doc[:0]], [doc[:0]]
+        for k in range(2, most + 1):
+            at = start[n == k]
+            for i in range(k):
+                for j in range(i + 1, k):
+                    apart = at[comp[at + i] != comp[at + j]]
+                    left.append(np.minimum(doc[apart + i], doc[apart + j]))
+                    right.append(np.maximum(doc[apart + i], doc[apart + j]))
+        own, few = np.unique(doc[np.repeat(n <= most, n)], return_counts=True)
+        b, a = np.concatenate(left), np.concatenate(right)
+        pairs, times = np.unique(np.stack([a, b], axis=1), axis=0, return_counts=True) if len(a) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
+        second = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(pairs[:, 1])])
+        return pa.table({"a": np.concatenate([own, pairs[:, 0]]), "b": second, "n": np.concatenate([few, times])})
+
+    return run
 
 
 def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -310,10 +344,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     crowded = mixed.groupBy("bucket").agg((F.count("*") * F.count_if("foreign")).alias("pairs")).where(F.col("pairs") > CROWDED)
     crowd = mixed.join(crowded, "bucket", "left_semi").groupBy(F.col("a").alias("doc_id")).agg(F.min("comp_a").alias("comp"))
     held = sets.join(crowd, "doc_id").select("doc_id", "comp", "shingles")
-    rare = map_arrow(held, _rare, "shingle long, n long, docs array<long>, comps array<long>")
-    rare = rare.groupBy("shingle").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("docs")).alias("docs"), F.flatten(F.collect_list("comps")).alias("comps"))
-    rare = scratch.save(rare.where(F.col("n") <= RARE).select("n", "docs", "comps"), "rare")
-    own_rare = rare.select(F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("few"))
+    held = scratch.save(held, "crowd")
+    total = held.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
+    packed = map_arrow(held, _packed(1 + total // (8 * RANGE), RARE), "range int, shingles binary, docs binary, comps binary")
+    rare = scratch.save(packed.groupBy("range").applyInArrow(_shared(RARE), "a long, b long, n long"), "rare")
+    own_rare = rare.where("b is null").groupBy(F.col("a").alias("doc_id")).agg(F.sum("n").alias("few"))
     bound = sigs.select("doc_id", "n_shingles", "bands").join(crowd.select("doc_id", F.lit(True).alias("crowded")), "doc_id", "left").join(own_rare, "doc_id", "left")
     bound = bound.select(
         F.col("doc_id").alias("a"),
@@ -342,10 +377,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
         .select(F.greatest("x.a", "y.a").alias("a"), F.least("x.a", "y.a").alias("b"))
         .distinct()
     )
-    member = F.explode(F.arrays_zip("docs", "comps"))
-    left, right = rare.where("n > 1").select("docs", "comps", member.alias("l")), F.explode(F.arrays_zip("docs", "comps"))
-    shared = left.select("l", right.alias("r")).where((F.col("l.docs") < F.col("r.docs")) & (F.col("l.comps") != F.col("r.comps")))
-    shared = shared.groupBy(F.col("r.docs").alias("a"), F.col("l.docs").alias("b")).agg(F.count("*").alias("rare"))
+    shared = rare.where("b is not null").groupBy("a", "b").agg(F.sum("n").alias("rare"))
     limits = lambda k: bound.select(F.col("a").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n_shingles", "common")))
     shared = shared.join(limits("a"), "a").join(limits("b"), "b")
     needed = threshold / (1 + threshold) * (F.col("n_shingles_a") + F.col("n_shingles_b")) - 1e-6

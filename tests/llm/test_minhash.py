@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import minhash
@@ -32,10 +35,11 @@ def brute(rows):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("crowded", "rare"), [(2000, 16), (0, 16), (0, 2)])
-def test_against_brute_force(spark, monkeypatch, crowded, rare):
+@pytest.mark.parametrize(("crowded", "rare", "together"), [(2000, 16, 100_000), (0, 16, 100_000), (0, 2, 100_000), (0, 16, 50), (0, 1, 7)])
+def test_against_brute_force(spark, monkeypatch, crowded, rare, together):
     monkeypatch.setattr(minhash, "CROWDED", crowded)
     monkeypatch.setattr(minhash, "RARE", rare)
+    monkeypatch.setattr(minhash, "RANGE", together)
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     rows, base = [], [[word() for _ in range(rnd.choice([3, 8, 40, 120]))] for _ in range(30)]
@@ -51,6 +55,36 @@ def test_against_brute_force(spark, monkeypatch, crowded, rare):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rare_shingles_are_counted_whole():
+    """Packed by ranges from several tasks, one of them with a shingle that all its documents have, against dictionaries."""
+    rnd = random.Random(2)
+    docs = {d: (d % 3, sorted({rnd.getrandbits(64) if rnd.random() < 0.5 else rnd.randrange(40) << 58 for _ in range(30)} | {7})) for d in range(60)}
+    packed = []
+    for part in range(4):
+        mine = [(d, c, np.array(s, np.uint64).tobytes()) for d, (c, s) in docs.items() if d % 4 == part]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*mine)], names=["doc_id", "comp", "shingles"])
+        packed += [b.to_pandas() for b in minhash._packed(5, 4)(iter([batch]))]
+    rows = pd.concat(packed)
+    own, pairs = {}, {}
+    for _, g in rows.groupby("range"):
+        for a, b, n in zip(*(c.to_pylist() for c in minhash._shared(4)(pa.Table.from_pandas(g)).columns)):
+            at, key = (own, a) if b is None else (pairs, (a, b))
+            at[key] = at.get(key, 0) + n
+    have = {}
+    for d, (_, s) in docs.items():
+        for x in s:
+            have.setdefault(x, []).append(d)
+    few = {x: ds for x, ds in have.items() if len(ds) <= 4}
+    assert own == {d: n for d in docs if (n := sum(d in ds for ds in few.values()))}
+    want = {}
+    for ds in few.values():
+        for i, x in enumerate(ds):
+            for y in ds[i + 1 :]:
+                if docs[x][0] != docs[y][0]:
+                    want[(max(x, y), min(x, y))] = want.get((max(x, y), min(x, y)), 0) + 1
+    assert want and pairs == want
+
+
 def test_empty_repeats_and_nulls(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (None, "a b c d e f", None), (2, "a b c d e f", None), (None, None, None)]
