@@ -58,7 +58,7 @@ def test_against_brute_force(spark, monkeypatch, crowded, rare, together):
 def test_rare_shingles_are_counted_whole():
     """Packed by ranges from several tasks, one of them with a shingle that all its documents have, against dictionaries."""
     rnd = random.Random(2)
-    docs = {d: (d % 3, sorted({rnd.getrandbits(64) if rnd.random() < 0.5 else rnd.randrange(40) << 58 for _ in range(30)} | {7})) for d in range(60)}
+    docs = {d: (d % 3, sorted({rnd.getrandbits(64) if rnd.random() < 0.5 else rnd.randrange(300) << 55 for _ in range(30)} | {7})) for d in range(60)}
     packed = []
     for part in range(4):
         mine = [(d, c, np.array(s, np.uint64).tobytes()) for d, (c, s) in docs.items() if d % 4 == part]
