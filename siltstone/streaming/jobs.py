@@ -12,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from siltstone.functions.lineage import shipped
 from siltstone.operators.sessions import WINDOW_SECONDS
 
+#: Rows that a message to the state holds at most.
+SENT = 10_000
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
     """New files of a folder as a stream; checkpointed offsets stand for the cursor."""
@@ -39,52 +42,72 @@ class ConversationProcessor(StatefulProcessor):
     """Conversations of one chat, message by message in order of time.
 
     Messages wait in ``waiting`` until the watermark has passed their time, when
-    a timer fires and they are taken in order, so their order of arrival doesn't
-    matter. ``known`` maps message ids to conversations, an entry for each
-    message; a batch writes the entries of its own messages alone. Only messages
-    that are not late count: Spark drops later ones and reports how many. A
-    message that comes again, with the same time, number and target, is one
-    message; of several with one number the first by time is the reply target.
+    a timer fires and all that it has passed are taken at once, in order, so
+    their order of arrival doesn't matter; the next timer is that of the first
+    that still waits. ``known`` maps message ids to conversations, an entry for
+    each message; a batch writes the entries of its own messages alone, and
+    reads those that its own messages and the highest number so far (``top``)
+    don't settle. Only messages that are not late count: Spark drops later ones
+    and reports how many. A message that comes again, with the same time, number
+    and target, is one message; of several with one number the first by time is
+    the reply target.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, message_id long, reply_to long", "n int")
+        self.waiting = handle.getListState("waiting", "at long, message_id long, reply_to long")
         self.known = handle.getMapState("known", "message_id long", "conversation long")
-        self.current = handle.getValueState("current", "conversation long, last_at long")
+        self.current = handle.getValueState("current", "conversation long, last_at long, top long")
+
+    def _wait(self, rows: list[tuple]) -> None:
+        for i in range(0, len(rows), SENT):
+            self.waiting.appendList(rows[i : i + SENT])
+        if rows:
+            self.handle.registerTimer(-(-min(rows)[0] // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        new: set[tuple] = set()
         for frame in rows:
-            for at, message, reply in zip(frame["at"].tolist(), frame["message_id"].tolist(), frame["reply_to"].tolist(), strict=True):
-                self.waiting.updateValue((at, message, reply), (1,))
-                due.add(-(-at // 1000))
-        for ms in due:
-            self.handle.registerTimer(ms)
+            new.update(zip(frame["at"].tolist(), frame["message_id"].tolist(), frame["reply_to"].tolist(), strict=True))
+        self._wait(list(new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        ready = sorted(tuple(k) for k in self.waiting.keys() if k[0] <= until)
-        current, last = self.current.get() if self.current.exists() else (-1, None)
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+        held = {tuple(k) for k in self.waiting.get()}
+        ready = sorted(k for k in held if k[0] <= until)
+        if not ready:
+            return
+        self.waiting.clear()
+        self._wait([k for k in held if k[0] > until])
+        current, last, top = self.current.get() if self.current.exists() else (-1, None, None)
+        highest, seen = top, {}
+
+        def told(message: int) -> int | None:
+            if message not in seen and highest is not None and message <= highest:
+                kept = self.known.getValue((message,))
+                if kept is not None:
+                    seen[message] = kept[0]
+            return seen.get(message)
+
         out = []
         for at, message, reply in ready:
-            told = self.known.getValue((reply,))[0] if current >= 0 and reply and self.known.containsKey((reply,)) else None
-            if told is not None:
-                conversation = told
+            target = told(reply) if reply else None
+            if target is not None:
+                conversation = target
             elif current >= 0 and (reply or at - last <= WINDOW_SECONDS * 1_000_000):
                 conversation = current
             else:
                 current += 1
                 conversation = current
             last = at
-            if not self.known.containsKey((message,)):
+            if told(message) is None:
+                seen[message] = conversation
                 self.known.updateValue((message,), (conversation,))
-            self.waiting.removeKey((at, message, reply))
+            top = message if top is None else max(top, message)
             out.append((key[0], message, conversation))
-        if out:
-            self.current.update((current, last))
-            yield pd.DataFrame(out, columns=["chat_id", "message_id", "conversation"])
+        self.current.update((current, last, top))
+        yield pd.DataFrame(out, columns=["chat_id", "message_id", "conversation"])
 
 
 def streaming_conversations(messages: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -8,6 +8,7 @@ import threading
 from datetime import datetime, timedelta
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 
@@ -73,6 +74,77 @@ def test_late_messages_and_the_size_of_writes(spark, tmp_path):
     assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress if p["stateOperators"]) == 1
 
 
+def test_a_chat_that_waits_is_read_once_for_all_that_is_due(spark):
+    """One timer takes all that the watermark has passed, so work grows with messages, not with their square."""
+
+    class State(dict):
+        rows, reads = [], 0
+
+        def get(self):
+            self.reads += len(self.rows)
+            return iter(list(self.rows))
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        def clear(self):
+            self.rows = []
+
+        def keys(self):
+            self.reads += len(self)
+            return list(super().keys())
+
+        containsKey = dict.__contains__
+
+        def getValue(self, k):
+            return dict.get(self, k)
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Value:
+        it = None
+
+        def exists(self):
+            return self.it is not None
+
+        def get(self):
+            return self.it
+
+        def update(self, it):
+            self.it = it
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.waiting = set(), State()
+
+        def getListState(self, *_):
+            return self.waiting
+
+        def getMapState(self, name, *_):
+            return self.waiting if name == "waiting" else State()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, ms):
+            self.timers.add(ms)
+
+    at = lambda ms: type("At", (), {"getExpiryTimeInMs": lambda _: ms, "getCurrentWatermarkInMs": lambda _: 1_500})()
+    handle, p = Handle(), jobs.ConversationProcessor()
+    p.init(handle)
+    rows = pd.DataFrame([(i * 1000, i, i - 3 if i % 4 == 0 else 0) for i in range(1, 2001)], columns=["at", "message_id", "reply_to"])
+    list(p.handleInputRows((1,), iter([rows]), None))
+    out = []
+    for ms in sorted(t for t in handle.timers if t <= 1_500):
+        out += [frame for frame in p.handleExpiredTimer((1,), at(ms), at(ms))]
+    assert pd.concat(out)["message_id"].tolist() == list(range(1, 1501))
+    assert handle.waiting.reads <= 2 * len(rows) and 1501 in handle.timers
+
+
 class Words:
     """Word counts; a text with ``nan`` has no vector."""
 
