@@ -85,14 +85,19 @@ def reaped(jobs: DataFrame, now: Column) -> DataFrame:
     return dead.withColumn("status", F.lit("error")).withColumn("error", F.coalesce(F.nullif("error", F.lit("")), F.lit("lease expired after the last attempt"))).withColumn("completed_at", now).withColumn("updated_at", now).select(*jobs.columns)
 
 
-def purgeable(jobs: DataFrame, now: Column, hours: dict[str, int] | None = None, batch: int = PURGE_BATCH, batches: int = PURGE_BATCHES, at: str = "completed_at") -> DataFrame:
-    """Terminal rows over their age, oldest first, as many as one sweep takes; 0 hours keep a status for ever."""
+def overdue(jobs: DataFrame, now: Column, hours: dict[str, int] | None = None, at: str = "completed_at") -> DataFrame:
+    """Terminal rows over their age, all that sweeps take until none is left; 0 hours keep a status for ever."""
     hours = RETENTION_HOURS if hours is None else hours
     test = F.lit(False)
     for status, h in hours.items():
         if h:
             test = test | ((F.col("status") == status) & (F.col(at) < after(now, F.lit(-h * 3600))))
-    return jobs.where(test).orderBy(at, "id").limit(batch * batches)
+    return jobs.where(test)
+
+
+def purgeable(jobs: DataFrame, now: Column, hours: dict[str, int] | None = None, batch: int = PURGE_BATCH, batches: int = PURGE_BATCHES, at: str = "completed_at") -> DataFrame:
+    """``overdue`` rows, oldest first, as many as one sweep takes."""
+    return overdue(jobs, now, hours, at).orderBy(at, "id").limit(batch * batches)
 
 
 def settled(investigations: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:

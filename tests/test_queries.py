@@ -76,3 +76,15 @@ def test_search_by_blocks_and_by_a_stored_index(spark, tmp_path, monkeypatch):
     assert want and rows(index=spark.read.parquet(f"{tmp_path}/index")) == want
     monkeypatch.setattr(R, "BLOCK", 7)
     assert rows() == want
+
+
+def test_a_purge_report_counts_more_than_one_sweep(spark, tmp_path):
+    """240,000 events that are over their age."""
+    from siltstone.operators import queue as Q
+
+    rows = spark.range(600_000).selectExpr("id as event_id", "timestamp_ntz'2023-12-01 00:00:00' as ts", "id as user_id", "'view' as event_type", "0D as value", "'{}' as props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted((r.status, r.deleted, r.total) for r in queries.QUERIES["purge_report"](spark, tmp_path).collect())
+    assert got == sorted(con.sql(queries.ORACLES["purge_report"]).fetchall()) and got[0][2] > Q.PURGE_BATCH * Q.PURGE_BATCHES
