@@ -28,21 +28,26 @@ def seen_terms(terms, hay) -> Column:
     return F.filter(_c(terms), lambda x: F.contains(h, x["term"]))
 
 
-def specificity(terms, hay, total, seen=None) -> Column:
-    """How much of the query's rarity a text has.
+def specific(score, terms, hay, total, seen=None) -> Column:
+    """A score times how much of the query's rarity a text has.
 
-    ``terms`` is array<struct<term, idf>>. (1 + matched / total rarity), times
-    0.2 if the rarest terms (the anchors) are all missing. 1 where the query
-    has a single term or the collection is empty. ``seen`` is a column with the
-    ``seen_terms``, so that the text isn't searched twice.
+    ``terms`` is array<struct<term, idf>>. The factor is (1 + matched / total
+    rarity), times 0.2 if the rarest terms (the anchors) are all missing; 1 where
+    the query has a single term or the collection is empty. ``seen`` is a column
+    with the ``seen_terms``, so that the text isn't searched twice.
     """
     t, s = _c(terms), seen_terms(terms, hay) if seen is None else _c(seen)
     rarity = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x["idf"])
     rarest = lambda items: F.array_max(F.transform(items, lambda x: x["idf"]))
     whole = rarity(t)
     missed = F.coalesce(rarest(s), F.lit(-1.0)) < ANCHOR_SHARE * rarest(t)
-    factor = (1 + rarity(s) / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
-    return F.when((F.size(t) <= 1) | (_c(total) <= 0) | (whole <= 0), F.lit(1.0)).otherwise(factor)
+    told = _c(score) * (1 + rarity(s) / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
+    return F.when((F.size(t) <= 1) | (_c(total) <= 0) | (whole <= 0), _c(score)).otherwise(F.coalesce(told, _c(score)))
+
+
+def specificity(terms, hay, total, seen=None) -> Column:
+    """How much of the query's rarity a text has: ``specific`` of 1."""
+    return F.when(_c(terms).isNotNull(), specific(F.lit(1.0), terms, hay, total, seen))
 
 
 def authority_weight(authority) -> Column:
