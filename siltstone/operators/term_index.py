@@ -26,15 +26,21 @@ from siltstone.operators import retrieval as R
 
 #: Generations over which ``add`` compacts.
 MOST_GENERATIONS = 8
+#: Bytes of stored chunks for each bucket of a generation, at most.
+BUCKET = 16 * 1024 * 1024
 
 
 class TermIndex:
-    """The index of one folder, for chunks ``id, title, text, metadata`` (and ``text_hash``, if they have it)."""
+    """The index of one folder, for chunks ``id, title, text, metadata`` (and ``text_hash``, if they have it).
+
+    A generation has at least ``buckets`` buckets, and more as its chunks take
+    more than ``BUCKET`` for each, so no task sorts more than its share.
+    """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root = spark, root.rstrip("/")
         marks = self._marks()
-        self.buckets = marks[max(marks)]["buckets"] if marks else buckets
+        self.buckets = min(m["buckets"] for m in marks.values()) if marks else buckets
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -63,16 +69,17 @@ class TermIndex:
 
     def _table(self, generation: int, part: str) -> DataFrame:
         """A part of a generation, with its buckets known to the planner."""
-        mark = self._marks()[generation]["parts"][part]
+        whole = self._marks()[generation]
+        mark = whole["parts"][part]
         if not mark["by"]:
             return self.spark.read.schema(mark["schema"]).parquet(f"{self.root}/{generation:06d}/{part}")
         name = f"siltstone_{part}_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{generation}"
-        by = f"CLUSTERED BY ({mark['by']}) SORTED BY ({mark['by']}) INTO {self.buckets} BUCKETS"
+        by = f"CLUSTERED BY ({mark['by']}) SORTED BY ({mark['by']}) INTO {whole['buckets']} BUCKETS"
         place = f"{self.root}/{generation:06d}/{part}".replace("'", "\\'")
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({mark['schema']}) USING parquet {by} LOCATION '{place}'")
         return self.spark.table(name)
 
-    def _write(self, parts: dict[str, tuple[DataFrame, str | None]], base: bool) -> int:
+    def _write(self, parts: dict[str, tuple[DataFrame, str | None]], base: bool, buckets: int) -> int:
         marks = self._marks()
         g = max(marks, default=0) + 1
         told = {}
@@ -82,12 +89,12 @@ class TermIndex:
             if by:  # hash partitioning is the buckets' own, so a bucket is one file
                 name = f"siltstone_{part}_{hashlib.md5(self.root.encode()).hexdigest()[:12]}_{g}"
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                df.repartition(self.buckets, by).write.format("parquet").bucketBy(self.buckets, by).sortBy(by).option("path", place).mode("overwrite").saveAsTable(name)
+                df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(by).option("path", place).mode("overwrite").saveAsTable(name)
             else:
                 df.write.mode("overwrite").parquet(place)
         fs, p = self._fs(f"{self.root}/_complete/{g:06d}")
         out = fs.create(p, False)
-        out.write(bytearray((json.dumps({"base": base, "buckets": self.buckets, "parts": told}) + "\n").encode()))
+        out.write(bytearray((json.dumps({"base": base, "buckets": buckets, "parts": told}) + "\n").encode()))
         out.close()
         return g
 
@@ -99,10 +106,11 @@ class TermIndex:
         """
         from siltstone.operators.index import one_for_each
 
-        chunks = one_for_each(chunks.where("id is not null"), ["id"])
+        chunks = checkpointed(one_for_each(chunks.where("id is not null"), ["id"]))  # read for each part
+        buckets = max(self.buckets, -(-(R.estimated(chunks) or 0) // BUCKET))
         out = chunks.select("id") if gone is None else chunks.select("id").unionByName(gone.select("id").where("id is not null")).distinct()
         first = not self.generations()
-        g = self._write({"postings": (R.postings(chunks), "term"), "known": (R.haystacks(chunks), "id"), "gone": (out.limit(0) if first else out, None)}, first)
+        g = self._write({"postings": (R.postings(chunks), "term"), "known": (R.haystacks(chunks), "id"), "gone": (out.limit(0) if first else out, None)}, first, buckets)
         return self.compact() if len(self.generations()) > MOST_GENERATIONS else g
 
     def _gone(self, after: int) -> DataFrame | None:
@@ -130,11 +138,12 @@ class TermIndex:
 
     def known(self, lists: DataFrame) -> DataFrame:
         """A table of ids with what ranking needs of their chunks; each generation is joined where its buckets lie."""
-        found = self.generations()
-        lists = lists.repartition(self.buckets, "id") if len(found) == 1 else checkpointed(lists.repartition(self.buckets, "id"))
+        found, marks = self.generations(), self._marks()
+        dealt = lambda g: lists.repartition(marks[g]["buckets"], "id")
         if len(found) == 1:
-            return lists.join(self._table(found[0], "known").hint("merge"), "id", "left")
-        met = reduce(DataFrame.unionByName, [self._live(g, lists.join(self._table(g, "known").hint("merge"), "id")) for g in found])
+            return dealt(found[0]).join(self._table(found[0], "known").hint("merge"), "id", "left")
+        lists = checkpointed(lists)
+        met = reduce(DataFrame.unionByName, [self._live(g, dealt(g).join(self._table(g, "known").hint("merge"), "id")) for g in found])
         none = self._table(found[0], "known").limit(0)
         rest = lists.join(met.select("id"), "id", "left_anti").join(none, "id", "left")
         return met.unionByName(rest)
@@ -145,8 +154,10 @@ class TermIndex:
 
     def compact(self) -> int:
         """Write all that is live as one generation."""
-        empty = self._table(self.generations()[0], "gone").limit(0)
-        return self._write({"postings": (self.postings(), "term"), "known": (self.haystacks(), "id"), "gone": (empty, None)}, True)
+        found, marks = self.generations(), self._marks()
+        empty = self._table(found[0], "gone").limit(0)
+        buckets = sum(marks[g]["buckets"] for g in found)
+        return self._write({"postings": (self.postings(), "term"), "known": (self.haystacks(), "id"), "gone": (empty, None)}, True, buckets)
 
     def vacuum(self) -> int:
         """Delete generations that the last compaction replaced, and those that were never completed; returns how many. Not while one is being written."""

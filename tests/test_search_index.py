@@ -130,3 +130,52 @@ def test_search_rows_against_sql(spark, name):
     at = [rel.columns.index(c) for c in df.columns]
     got = sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
     assert got == sorted(tuple(round(r[i], 9) if isinstance(r[i], float) else r[i] for i in at) for r in rel.fetchall())
+
+
+def test_a_large_generation_has_more_buckets(spark, tables, tmp_path, monkeypatch):
+    """The number follows what is stored; generations of different numbers are searched together."""
+    from siltstone.operators import term_index
+
+    chunks, points, asked = tables
+    index = TermIndex(spark, f"{tmp_path}/index", buckets=2)
+    index.add(chunks.where("id % 2 = 0"))
+    monkeypatch.setattr(term_index, "BUCKET", 20_000)
+    index.add(chunks.where("id % 2 = 1"))
+    small, large = (index._marks()[g]["buckets"] for g in index.generations())
+    assert small == 2 < large
+    assert rows(chunks, points, asked, index=index) == rows(chunks, points, asked)
+    monkeypatch.setattr(term_index, "BUCKET", 2**24)
+    index.compact()
+    assert len(index.generations()) == 1 and rows(chunks, points, asked, index=TermIndex(spark, f"{tmp_path}/index")) == rows(chunks, points, asked)
+
+
+def test_scores_are_cut_where_a_chunk_lies(spark, tables, monkeypatch):
+    """No row for each hit comes out of the scoring: a task keeps k of each query, whatever the number of blocks and of sums at a time."""
+    chunks, _, asked = tables
+    index = R.postings(chunks)
+    want = lexical(index, asked)
+    seen = []
+    monkeypatch.setattr(R, "top", lambda scored, k: seen.append(scored.count()) or scored)
+    R.lexical_hits(index, asked, 5)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 0 < seen[0] <= 5 * asked.count() * tasks
+    monkeypatch.undo()
+    monkeypatch.setattr(R, "CELLS", 500)
+    assert lexical(index, asked) == want
+    monkeypatch.setattr(R, "BLOCK", 7)
+    assert lexical(index, asked) == want
+
+
+def test_equal_scores_tie_to_smaller_ids(spark):
+    """1.4 / 84 and 1.25 / 75 are rounded as their products from left to right."""
+    kind = "query_id long, id long, score double, metadata map<string,string>, _found array<string>"
+    places = [(84, "high", 1.4), (75, "medium_high", 1.25), (63, "high", 1.4), (70, "medium", 1.1)]
+    hits = [(q, i, 1 / n, {"authority": a}, ["x"]) for q in range(40) for i, (n, a, _) in enumerate(places)]
+    terms = spark.createDataFrame([(q, [("x", 0.1 + q / 7), ("y", 0.3 + q / 11)], 100) for q in range(40)], "query_id long, terms array<struct<term:string,idf:double>>, total long")
+    asked = spark.createDataFrame([(q, "x y") for q in range(40)], "query_id long, text string")
+    got = {(r.query_id, r.id): r.score for r in R.reranked(spark.createDataFrame(hits, kind), asked, terms).collect()}
+    for q in range(40):
+        x, y = 0.1 + q / 7, 0.3 + q / 11
+        missed = 0.2 if x < 0.8 * max(x, y) else 1.0
+        for i, (n, _, w) in enumerate(places):
+            assert got[q, i] == 1 / n * (1 + (0.0 + x) / (0.0 + x + y)) * missed * w * 1.0
