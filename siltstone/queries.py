@@ -338,7 +338,7 @@ reranked AS (SELECT y.query_id, id, title, text, source, vector, score * (1 + co
 @search_query(f"WITH {_POSTINGS}, {_QUERIES}, {_LEXICAL.format(k=200)}, {_VECTOR.format(k=200)}, {_FUSED}, {_RERANKED} SELECT query_id, id, round(score, 9) AS score FROM reranked")
 def specificity(t, q):
     c, k = _chunks(t), R.candidate_count(10)
-    index = R.postings(c, R.query_terms(q))
+    index = R.checkpointed(R.postings(c, R.query_terms(q)))  # for the hits and, after them, the statistics
     both = R.fused(R.lexical_hits(index, q, k), R.vector_blocks(_points(t), q, k))
     terms = R.weighted_terms(q, R.term_stats(index), c.agg(F.count("*").alias("n")))
     return R.reranked(R.described(both, R.haystacks(c), q), q, terms).select("query_id", "id", _r9(F.col("score")).alias("score"))
