@@ -22,6 +22,11 @@ def test_events_are_read_and_decoded_once(spark):
     assert not any(x in told for x in ("Union", "Exchange", "Window"))
 
 
+def test_coalescing_shuffles_only_what_differs(spark):
+    told = plan(queries.QUERIES["coalesce_per_thread"](spark, ROOT))
+    assert told.count("Exchange hashpartitioning") == 1 and "Window" not in told
+
+
 def test_newest_comment_of_each_thread_and_watcher(spark):
     """The last by another in each thread, also in the null one; a comment of a watcher's own or with a mention doesn't hide or repeat."""
     rows = [("1", "t", "a", ["b"]), ("2", None, "b", []), ("3", "t", "b", None), ("", "t", "c", []), ("4", "t", "a", []), ("5", None, "c", ["a"])]
