@@ -121,8 +121,15 @@ def targets(chats: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def broadcast(notes: DataFrame, chats: DataFrame, peers: DataFrame) -> DataFrame:
-    """Outbox candidates of notes for every enabled chat: each event goes to each chat, which is the feature."""
-    to = rendered(notes.where("recipient = ''")).join(small(targets(chats, peers).drop("created_at")), F.lit(True))
+    """Outbox candidates of notes for every enabled chat: each event goes to each chat, which is the feature.
+
+    Notes are dealt by their event and chats copied for each deal, so that
+    neither side is computed again for the other's tasks, as a product would do.
+    """
+    n = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rendered(notes.where("recipient = ''")).withColumn("_deal", F.pmod(F.xxhash64("event_id"), F.lit(n)))
+    each = targets(chats, peers).drop("created_at").withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    to = dealt.join(each, "_deal")
     return to.select(
         S.chat_key("peer_type", "peer_id", "event_id").alias("dedup_key"), F.lit("telegram").alias("channel"), "peer_type", "peer_id", "access_hash",
         "source", F.col("type").alias("event_type"), "text", "url", "event_id",
