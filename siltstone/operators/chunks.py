@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import bound
 from siltstone.functions import predicates as P
 from siltstone.functions import text as T
 from siltstone.functions.lineage import shipped
@@ -101,14 +102,18 @@ def chat_requests(docs: DataFrame) -> DataFrame:
 
 def _groups(items: Column, kind: str, render) -> Column:
     """Comment chunks of up to eight items, titled by their range."""
-    n = F.size(items)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(GROUP))).otherwise(F.array().cast("array<int>"))
 
-    def one(i: Column) -> Column:
-        title = F.format_string("Comments [%d-%d]", i + 1, F.least(i + GROUP, n))
-        return _part(kind, title, F.array_join(F.transform(F.slice(items, i + 1, GROUP), render), "\n---\n\n"))
+    def parts(x: Column) -> Column:
+        n = F.size(x)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(GROUP))).otherwise(F.array().cast("array<int>"))
 
-    return F.transform(starts, one)
+        def one(i: Column) -> Column:
+            title = F.format_string("Comments [%d-%d]", i + 1, F.least(i + GROUP, n))
+            return _part(kind, title, F.array_join(F.transform(F.slice(x, i + 1, GROUP), render), "\n---\n\n"))
+
+        return F.transform(starts, one)
+
+    return bound(items, parts)
 
 
 def _said(c: Column) -> Column:
@@ -125,29 +130,52 @@ def _thread_text(t: Column) -> Column:
     return F.concat(F.when(t["resolved"], "[resolved] ").otherwise(""), F.array_join(F.transform(t["comments"], _said), "\n\n"))
 
 
+def _tracker_parts(o, merge_requests: bool = False) -> Column:
+    noun, prefix = ("MR !%d", "gitlab_mr") if merge_requests else ("Issue #%d", "gitlab_issue")
+    parts = F.array(
+        _part(f"{prefix}_summary", F.format_string(f"Summary: {noun}", o("iid")), o("summary")),
+        _part(f"{prefix}_summary", F.format_string(f"Description: {noun}", o("iid")), o("description")),
+    )
+    return F.concat(parts, _groups(_threads(o("threads")), f"{prefix}_comment_group", _thread_text))
+
+
 def tracker_items(docs: DataFrame, merge_requests: bool = False) -> DataFrame:
     """Issues or merge requests: summary, description and groups of threads.
 
     Besides document columns: ``iid, summary, description, threads
     array<struct<resolved, comments array<struct<author, created, body>>>>``.
     """
-    noun, prefix = ("MR !%d", "gitlab_mr") if merge_requests else ("Issue #%d", "gitlab_issue")
-    parts = F.array(
-        _part(f"{prefix}_summary", F.format_string(f"Summary: {noun}", "iid"), F.col("summary")),
-        _part(f"{prefix}_summary", F.format_string(f"Description: {noun}", "iid"), F.col("description")),
-    )
-    return _exploded(docs, F.concat(parts, _groups(_threads(F.col("threads")), f"{prefix}_comment_group", _thread_text)))
+    return _exploded(docs, _tracker_parts(F.col, merge_requests))
+
+
+def _release_parts(o) -> Column:
+    said = F.coalesce(F.nullif(o("description"), F.lit("")), o("name"))
+    return F.array(_part("gitlab_release_notes", F.format_string("Release: %s", o("tag_name")), said))
 
 
 def releases(docs: DataFrame) -> DataFrame:
     """Release notes, else the name, else nothing. Besides document columns: ``tag_name, name, description``."""
-    said = F.coalesce(F.nullif("description", F.lit("")), F.col("name"))
-    return _exploded(docs, F.array(_part("gitlab_release_notes", F.format_string("Release: %s", "tag_name"), said)))
+    return _exploded(docs, _release_parts(F.col))
+
+
+def _plain_parts() -> Column:
+    return F.array(_part("section", F.col("title"), F.col("body")))
 
 
 def plain_sections(docs: DataFrame) -> DataFrame:
     """The whole body as one section, where the object behind a document is unknown."""
-    return _exploded(docs, F.array(_part("section", F.col("title"), F.col("body"))))
+    return _exploded(docs, _plain_parts())
+
+
+def _ticket_parts(o) -> Column:
+    kept = F.filter(F.coalesce(o("comments"), F.array().cast("array<struct<author:string,created:timestamp,body:string>>")), lambda c: ~P.trivial_comment(c["body"]))
+    parts = F.array(
+        _part("jira_issue_summary", F.format_string("Summary: %s", o("key")), o("summary")),
+        _part("jira_issue_description", F.format_string("Description: %s", o("key")), o("description")),
+        _part("jira_issue_resolution", F.format_string("Resolution: %s", o("key")), o("resolution")),
+    )
+    alone = F.array(_part("jira_issue_description", F.col("title"), F.col("body")))
+    return F.when(F.coalesce(o("key"), F.lit("")) != "", F.concat(parts, _groups(kept, "jira_issue_comment_group", _said))).otherwise(alone)
 
 
 def tickets(docs: DataFrame) -> DataFrame:
@@ -156,15 +184,7 @@ def tickets(docs: DataFrame) -> DataFrame:
     Besides document columns: ``key, summary, description, resolution, comments
     array<struct<author, created, body>>``.
     """
-    kept = F.filter(F.coalesce("comments", F.array().cast("array<struct<author:string,created:timestamp,body:string>>")), lambda c: ~P.trivial_comment(c["body"]))
-    parts = F.array(
-        _part("jira_issue_summary", F.format_string("Summary: %s", "key"), F.col("summary")),
-        _part("jira_issue_description", F.format_string("Description: %s", "key"), F.col("description")),
-        _part("jira_issue_resolution", F.format_string("Resolution: %s", "key"), F.col("resolution")),
-    )
-    whole = F.concat(parts, _groups(kept, "jira_issue_comment_group", _said))
-    alone = F.array(_part("jira_issue_description", F.col("title"), F.col("body")))
-    return _exploded(docs, F.when(F.coalesce("key", F.lit("")) != "", whole).otherwise(alone))
+    return _exploded(docs, _ticket_parts(F.col))
 
 
 def comment_groups(rows: DataFrame, parent: str, order: list, body: str) -> DataFrame:
@@ -417,29 +437,32 @@ OBJECTS = {
 _BASE = ("id", "source", "source_id", "url", "title", "body")
 
 
-def rehydrated(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with the columns of the object that their metadata hold under ``key``; documents without a readable one). The object itself leaves the metadata."""
+def _told(docs: DataFrame, **sources: Column) -> DataFrame:
+    """Documents with the objects that their metadata hold, each decoded once where its condition holds; null where it can't be read. The objects leave the metadata."""
     plain = F.map_filter("metadata", lambda k, _: ~k.isin(*OBJECTS))
-    rows = docs.select(*_BASE, plain.alias("metadata"), F.from_json(F.col("metadata")[key], OBJECTS[key]).alias("_object"))
-    told = F.col("_object").isNotNull() & F.exists(F.array(*(F.col(f"_object.{f.name}").isNotNull() for f in rows.schema["_object"].dataType)), lambda x: x)
-    return rows.where(told).select(*_BASE, "metadata", "_object.*"), rows.where(~told).drop("_object")
+    objects = (F.when(here, F.from_json(F.col("metadata")[key], OBJECTS[key])).alias(f"_{key}") for key, here in sources.items())
+    return docs.select(*_BASE, plain.alias("metadata"), *objects)
+
+
+def _read(rows: DataFrame, key: str) -> Column:
+    """Whether the object under ``key`` was readable."""
+    o = F.col(f"_{key}")
+    return o.isNotNull() & F.exists(F.array(*(o[f.name].isNotNull() for f in rows.schema[f"_{key}"].dataType)), lambda x: x)
 
 
 def gitlab(docs: DataFrame) -> DataFrame:
     """Issues, merge requests and releases by their source; other sources, and objects that can't be read, as plain sections."""
-    kinds = {"gitlab_issue": tracker_items, "gitlab_mr": lambda d: tracker_items(d, merge_requests=True), "gitlab_release": releases}
-    out = plain_sections(docs.where(~F.coalesce(F.col("source").isin(*kinds), F.lit(False))))
-    for source, chunker in kinds.items():
-        good, other = rehydrated(docs.where(F.col("source") == source), source)
-        out = out.unionByName(chunker(good)).unionByName(plain_sections(other))
-    return out
+    kinds = {"gitlab_issue": _tracker_parts, "gitlab_mr": lambda o: _tracker_parts(o, merge_requests=True), "gitlab_release": _release_parts}
+    rows = _told(docs, **{k: F.col("source") == k for k in kinds})
+    parts = _plain_parts()
+    for key, of in kinds.items():
+        parts = F.when(_read(rows, key), of(lambda name, key=key: F.col(f"_{key}")[name])).otherwise(parts)
+    return _exploded(rows, parts)
 
 
 def jira(docs: DataFrame) -> DataFrame:
     """Tickets; without a readable object the body is the description."""
-    good, other = rehydrated(docs, "jira_issue")
-    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("key", "string"), ("summary", "string"), ("description", "string"), ("resolution", "string"), ("comments", _COMMENTS))]
-    return tickets(good).unionByName(tickets(other.select("*", *none)))
+    return _exploded(_told(docs, jira_issue=F.lit(True)), _ticket_parts(lambda name: F.col("_jira_issue")[name]))
 
 
 CHUNKERS = {"markdown": markdown, "yaml": manifests, "code": code, "git": history_entries, "gitlab": gitlab, "jira": jira, "telegram": chat_requests}
