@@ -181,11 +181,8 @@ _COMMITS = "(SELECT *, 'r' || o_custkey % 4 AS repo, row_number() OVER (PARTITIO
 
 
 def _commits(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.col("o_custkey") % 4).orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return t.orders.select(
-        "o_orderkey", F.concat(F.lit("r"), F.col("o_custkey") % 4).alias("repo"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha"), (F.row_number().over(w) - 1).alias("position"),
+        "o_orderkey", F.concat(F.lit("r"), F.col("o_custkey") % 4).alias("repo"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha"),
         F.when(F.col("o_orderkey") % 7 == 0, "wip x").otherwise(F.concat(F.lit("fix "), "o_orderpriority", F.lit("\n\nbody\n"))).alias("message"), F.when(F.col("o_orderkey") % 11 == 0, 2).otherwise(1).alias("parents"),
         F.when(F.col("o_orderkey") % 5 == 0, "dependabot").otherwise("Ann").alias("author_name"), F.lit("a@b").alias("author_email"), F.col("o_orderdate").alias("committed_at"),
     )
@@ -196,7 +193,8 @@ f AS (SELECT c.*, row_number() OVER (PARTITION BY c.repo ORDER BY c.position DES
 SELECT repo, o_orderkey, position, sha256(o_orderkey::VARCHAR) = (SELECT sha256(x.o_orderkey::VARCHAR) FROM f x WHERE x.repo = f.repo AND x.n <= 40 ORDER BY x.position LIMIT 1) AS is_cursor FROM f WHERE n <= 40""")
 def commits_after_cursor(t):
     """Each repository's oldest unseen commits under a limit, and where its cursor moves."""
-    c = _commits(t)
+    keys = t.orders.select("o_orderkey", F.concat(F.lit("r"), F.col("o_custkey") % 4).alias("repo"), "o_orderdate")
+    c = files.placed(keys, F.desc("o_orderdate"), F.desc("o_orderkey")).withColumn("sha", F.sha2(F.col("o_orderkey").cast("string"), 256))
     seen = t.orders.where("o_custkey % 4 = 1 and o_orderdate < timestamp'1996-01-01'").agg(F.sha2(F.max("o_orderkey").cast("string"), 256).alias("sha")).first()[0]
     fresh, cursors = files.after_commit(c, seen, 40)
     return fresh.join(cursors, "repo").select("repo", "o_orderkey", F.col("position").cast("long").alias("position"), (F.col("sha") == F.col("cursor")).alias("is_cursor"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import predicates as P
 from siltstone.functions import text as T
+from siltstone.functions.lineage import checkpointed
 from siltstone.functions.scoring import stable_id
 
 # What a file becomes, and how far it is trusted.
@@ -82,6 +83,23 @@ def context_documents(files: DataFrame, name: str, include=(), exclude=()) -> Da
     )
 
 
+def placed(commits: DataFrame, *newest: Column) -> DataFrame:
+    """Commits with ``position``, counted from their repository's newest, 0, in the order of ``newest``.
+
+    Rows are dealt by ranges of that order and kept in the shared folder; the
+    ranges' counts tell where each one begins, so no repository is one task.
+    """
+    n = int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = commits.repartitionByRange(n, F.col("repo"), *newest).sortWithinPartitions(F.col("repo"), *newest)
+    kept = checkpointed(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    before = Window.partitionBy("repo").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    each = kept.groupBy("repo", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    starts = each.select(F.col("repo").alias("_repo"), F.col("_part").alias("_range"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    # A row for each range, and for each repository.
+    both = kept.join(F.broadcast(starts), F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("_part") == F.col("_range")))
+    return both.select(*commits.columns, (F.col("_start") + F.col("_at")).alias("position"))
+
+
 def after_commit(commits: DataFrame, cursor: str | None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(commits newer than the cursor, the next cursor as one row).
 
@@ -92,7 +110,8 @@ def after_commit(commits: DataFrame, cursor: str | None, limit: int | None = Non
     fresh = commits
     if cursor:
         seen = commits.where(F.col("sha") == cursor).groupBy("repo").agg(F.min("position").alias("_seen"))
-        fresh = commits.join(seen, "repo", "left").where("_seen is null or position < _seen").drop("_seen")
+        # A row for each repository that has the cursor's commit.
+        fresh = commits.join(F.broadcast(seen), "repo", "left").where("_seen is null or position < _seen").drop("_seen")
     if limit is not None:
         w = Window.partitionBy("repo").orderBy(F.desc("position"))
         fresh = fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
