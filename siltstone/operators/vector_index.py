@@ -36,6 +36,8 @@ TARGET = 0.95
 LISTS, ENTRIES, ROUNDS = 4096, 256, 12
 #: Candidates by code for each result.
 OVERFETCH = 8
+#: Bytes of a row group of the stored lists.
+GROUP_BYTES = 4 << 20
 
 
 def _units(lists: pa.Array, d: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -162,10 +164,7 @@ class VectorIndex:
         self.probe, self.recall = about["probe"], about["recall"]
         parts = {r["part"]: np.array(r["rows"]) for r in spark.read.parquet(f"{self.root}/quantiser").collect()}  # bounded by LISTS and ENTRIES
         self.quantiser = Quantiser(parts[-1], [parts[i] for i in range(len(parts) - 1)])
-
-    @property
-    def points(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/points")
+        self.points = spark.read.parquet(f"{self.root}/points")  # listed once for all searches
 
     @classmethod
     def build(cls, points: DataFrame, root: str, lists: int | None = None, k: int = R.DEFAULT_LIMIT, target: float = TARGET) -> VectorIndex:
@@ -178,7 +177,7 @@ class VectorIndex:
         spark = points.sparkSession
         shipped(spark)
         rows = points.where("id is not null and embedding is not null and size(embedding) > 0").withColumn("embedding", F.col("embedding").cast("array<double>"))
-        taken = rows.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+        taken = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("embedding").cast("array<float>").alias("embedding")).toArrow()
         sizes = pc.list_value_length(taken["embedding"].combine_chunks()).to_numpy(zero_copy_only=False) if taken.num_rows else np.empty(0, int)
         if not len(sizes):
             raise ValueError("no vectors to index")
@@ -192,8 +191,9 @@ class VectorIndex:
         placed = rows.select(*rest, "embedding").mapInArrow(_places(quantiser), f"{kind}, list int, code binary")
         placed = placed.withColumn("embedding", F.col("embedding").cast("array<float>"))
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        # A list's rows lie together, in as many files as it takes; a range may split a long list.
-        placed.repartitionByRange(n, "list", F.xxhash64("id")).sortWithinPartitions("list").write.partitionBy("list").parquet(f"{root}/points")
+        # A list's rows lie together, a range may split a long list. Files and their row groups span few lists and are left
+        # out by the lists' bounds; a folder for each list would be listed by a task each, whose answers go to the driver.
+        placed.repartitionByRange(n, "list", F.xxhash64("id")).sortWithinPartitions("list").write.option("parquet.block.size", GROUP_BYTES).parquet(f"{root}/points")
         books = [(-1, quantiser.centres.tolist()), *((i, b.tolist()) for i, b in enumerate(quantiser.books))]
         spark.createDataFrame(books, "part int, rows array<array<double>>").coalesce(1).write.parquet(f"{root}/quantiser")
         asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:MEASURED])], "query_id long, embedding array<double>")
