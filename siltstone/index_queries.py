@@ -28,7 +28,7 @@ def _recorded(t, root: str, session: int, first: int, last: int) -> list[str]:
     )
     rows = t.orders.select(F.concat(F.lit("p"), F.col("o_custkey") % 8).alias("scope"), page.alias("page"), issue.alias("x")).where(F.col("page").between(first, last))
     pages = rows.groupBy("scope", "page").agg(F.to_json(F.collect_list("x")).alias("value")).withColumn("session", F.lit(f"{session:04d}"))
-    pages.repartition("scope").sortWithinPartitions("scope", "page").select("scope", "session", "value").write.mode("append").partitionBy("scope", "session").text(f"{root}/issues")
+    pages.repartitionByRange("scope", "page").sortWithinPartitions("scope", "page").select("scope", "session", "value").write.mode("append").partitionBy("scope", "session").text(f"{root}/issues")
     return [f"scope=p{i}" for i in range(8)]
 
 

@@ -41,6 +41,8 @@ FORMAT = "siltstone_pages"
 SCHEMA = "scope string, updated_us bigint, number bigint, name string, body string"
 #: Tries of a request that fails for a while, and seconds before the second one.
 TRIES, WAIT = 5, 0.5
+#: Bytes of a recording that are read at once from its end.
+BLOCK = 1 << 20
 
 Place = tuple[int, int, str]
 START: Place = (-(2**62), -(2**62), "")
@@ -127,18 +129,55 @@ class Recorded:
             if rest.strip():
                 yield json.loads(rest)
 
+    def _last_lines(self, path: str) -> Iterator[list[dict]]:
+        """The lines from the last one back."""
+        with self.fs.open_input_file(path) as f:
+            at, pieces = f.size(), []  # pieces: of a line whose begin isn't read yet, the last one first
+            while at > 0:
+                n = min(BLOCK, at)
+                at -= n
+                f.seek(at)
+                first, *lines = f.read(n).split(b"\n")
+                for x in reversed(lines):
+                    if (line := x + b"".join(reversed(pieces))).strip():
+                        yield json.loads(line)
+                    pieces = []
+                pieces.append(first)
+            if (line := b"".join(reversed(pieces))).strip():
+                yield json.loads(line)
+
+    def _highest(self, page: list[dict]) -> Place | None:
+        return max((p for x in page if (p := place(self.kind, x))), default=None)
+
+    def _end(self, path: str) -> Place | None:
+        """The highest place of a file: its pages are read from the last one until all objects are older; histories go by number alone, so all are read."""
+        if self.kind.by_number:
+            return max(filter(None, map(self._highest, self._lines(path))), default=None)
+        best = None
+        for page in self._last_lines(path):
+            highest = self._highest(page)
+            if best and highest and highest[0] < best[0]:
+                break
+            best = max(filter(None, (best, highest)), default=None)
+        return best
+
     def newest(self, scope: str) -> Place | None:
         """The highest place; files are read from the last one until all objects are older."""
         best = None
         for path in reversed(self._files(scope)):
-            highest = max((p for page in self._lines(path) for x in page if (p := place(self.kind, x))), default=None)
+            highest = self._end(path)
             if best and highest and (self.kind.by_number or highest[0] < best[0]):
                 break
             best = max(filter(None, (best, highest)), default=None)
         return best
 
     def pages(self, scope: str, after: Place) -> Iterator[list[dict]]:
-        for path in self._files(scope):
+        """Pages in order, without the files that end before the place's time."""
+        files = self._files(scope)
+        if after != START and not self.kind.by_number:
+            behind = next((i for i in reversed(range(len(files))) if (p := self._end(files[i])) and p[0] < after[0]), -1)
+            files = files[behind + 1 :]
+        for path in files:
             yield from self._lines(path)
 
     def part(self, scope: str, number: int, what: str) -> list[dict]:
