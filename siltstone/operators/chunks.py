@@ -80,9 +80,9 @@ def history_entries(docs: DataFrame) -> DataFrame:
     )
 
 
-def _exploded(docs: DataFrame, parts: Column) -> DataFrame:
-    """Chunks of an array of (type, title, text); empty texts are left out and indexes have no gaps."""
-    live = F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != "")
+def _exploded(docs: DataFrame, parts: Column, empty: bool = False) -> DataFrame:
+    """Chunks of an array of (type, title, text); empty texts are left out, unless asked for, and indexes have no gaps."""
+    live = parts if empty else F.filter(parts, lambda p: F.coalesce(p["text"], F.lit("")) != "")
     return docs.select("*", F.posexplode(live).alias("chunk_index", "part")).select(
         F.col("id").alias("document_id"), "chunk_index", F.col("part.type").alias("chunk_type"), F.col("part.title").alias("title"),
         F.col("part.text").alias("text"), _meta().alias("metadata"),
@@ -93,11 +93,11 @@ def _part(kind: str, title: Column, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("type"), title.alias("title"), text.alias("text"))
 
 
-def chat_requests(docs: DataFrame) -> DataFrame:
-    """Chat conversations: a summary, from the metadata or else an excerpt, and the raw excerpt."""
+def chat_requests(docs: DataFrame, empty: bool = False) -> DataFrame:
+    """Chat conversations: a summary, from the metadata or else an excerpt, and the raw excerpt; with ``empty`` both for each, also without text."""
     excerpt = T.truncated("body", EXCERPT)
     said = F.coalesce(F.nullif(F.col("metadata")["summary"], F.lit("")), excerpt)
-    return _exploded(docs, F.array(_part("telegram_request_summary", F.col("title"), said), _part("telegram_raw_excerpt", F.col("title"), excerpt)))
+    return _exploded(docs, F.array(_part("telegram_request_summary", F.col("title"), said), _part("telegram_raw_excerpt", F.col("title"), excerpt)), empty)
 
 
 def _groups(items: Column, kind: str, render) -> Column:
@@ -470,8 +470,8 @@ CHUNKERS = {"markdown": markdown, "yaml": manifests, "code": code, "git": histor
 VERSIONS = dict.fromkeys(CHUNKERS, CHUNKER_VERSION) | {"code": "2", "gitlab": "2", "jira": "2"}
 
 
-def chunked(docs: DataFrame, kind: str) -> DataFrame:
-    """Chunks of documents of one kind."""
+def chunked(docs: DataFrame, kind: str, **options) -> DataFrame:
+    """Chunks of documents of one kind; options go to its chunker."""
     if kind not in CHUNKERS:
         raise ValueError(f"no chunker for {kind!r}")
-    return CHUNKERS[kind](docs)
+    return CHUNKERS[kind](docs, **options)
