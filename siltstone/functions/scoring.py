@@ -19,7 +19,20 @@ def reciprocal_rank(rank) -> Column:
 
 
 def idf(total, df) -> Column:
-    return F.log1p(_c(total).cast("double") / (_c(df) + 1))
+    """Rounded as the SQL's ``ln(1 + n / (df + 1))``; the quotient is never small, so ``log1p`` would be no closer."""
+    return F.log(1 + _c(total).cast("double") / (_c(df) + 1))
+
+
+def rarity(terms) -> Column:
+    """The sum of the terms' rarity with what each addition rounds off, so that their order doesn't matter."""
+
+    def step(a: Column, x: Column) -> Column:
+        s, v = a["sum"], x["idf"]
+        t = s + v
+        lost = F.when(F.abs(s) >= F.abs(v), (s - t) + v).otherwise((v - t) + s)
+        return F.struct(t.alias("sum"), (a["lost"] + lost).alias("lost"))
+
+    return F.aggregate(_c(terms), F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost")), step, lambda a: a["sum"] + a["lost"])
 
 
 def seen_terms(terms, hay) -> Column:
@@ -28,20 +41,22 @@ def seen_terms(terms, hay) -> Column:
     return F.filter(_c(terms), lambda x: F.contains(h, x["term"]))
 
 
-def specific(score, terms, hay, total, seen=None) -> Column:
+def specific(score, terms, hay, total, seen=None, whole=None) -> Column:
     """A score times how much of the query's rarity a text has.
 
     ``terms`` is array<struct<term, idf>>. The factor is (1 + matched / total
     rarity), times 0.2 if the rarest terms (the anchors) are all missing; 1 where
     the query has a single term or the collection is empty. ``seen`` is a column
-    with the ``seen_terms``, so that the text isn't searched twice.
+    with the ``seen_terms``, so that the text isn't searched twice, and ``whole``
+    one with the query's ``rarity``, where it is known. Matched terms are summed
+    from left to right, as the SQL's list is; the SQL's whole has no order.
     """
     t, s = _c(terms), seen_terms(terms, hay) if seen is None else _c(seen)
-    rarity = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x["idf"])
+    matched = F.aggregate(s, F.lit(0.0), lambda a, x: a + x["idf"])
     rarest = lambda items: F.array_max(F.transform(items, lambda x: x["idf"]))
-    whole = rarity(t)
+    whole = rarity(t) if whole is None else _c(whole)
     missed = F.coalesce(rarest(s), F.lit(-1.0)) < ANCHOR_SHARE * rarest(t)
-    told = _c(score) * (1 + rarity(s) / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
+    told = _c(score) * (1 + matched / whole) * F.when(missed, MISSED_ANCHORS).otherwise(1.0)
     return F.when((F.size(t) <= 1) | (_c(total) <= 0) | (whole <= 0), _c(score)).otherwise(F.coalesce(told, _c(score)))
 
 
